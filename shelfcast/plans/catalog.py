@@ -75,3 +75,25 @@ def sql_cents_to_int(expr: str) -> str:
 
 def sql_cents_to_money(expr: str, scale: int = 2) -> str:
     return f"round_even(({expr}) / 100.0, {scale})"
+
+
+def sql_norm_text(x: str) -> str:
+    """DuckDB text of shelfcast.functions.text.norm_text."""
+    t = f"trim(regexp_replace(trim(CAST({x} AS VARCHAR)), '^''(.*)''$|^\"(.*)\"$', '\\1\\2'))"
+    return f"(CASE WHEN {x} IS NULL OR {t} IN ('None', 'nan', 'NaN') THEN '' ELSE {t} END)"
+
+
+def sql_ols(x: str, y: str, target) -> str:
+    """DuckDB text of shelfcast.operators.forecast.ols_predict."""
+    return (f"(CASE WHEN count({y}) = 0 THEN 0.0 WHEN regr_slope({y}, {x}) IS NULL THEN avg({y}) "
+            f"ELSE regr_slope({y}, {x}) * {float(target)} + regr_intercept({y}, {x}) END)")
+
+
+def sql_forecast_ctes(years, target) -> str:
+    """``py`` (quantity per base year) and ``fc`` (one row: total_quantity,
+    predicted_quantity) as CTE text, for queries that need the forecast."""
+    y = sql_years(*years)
+    return f"""py AS (SELECT sale_year, CAST(sum(coalesce(quantity, 0)) AS BIGINT) AS q FROM sales WHERE {y} GROUP BY sale_year),
+fc AS (SELECT CAST(coalesce(sum(q), 0) AS BIGINT) AS total_quantity,
+              greatest(0, CAST(round_even({sql_ols('sale_year', 'q', target)}, 0) AS BIGINT)) AS predicted_quantity,
+              'linear_trend' AS method FROM py)"""
