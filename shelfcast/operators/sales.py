@@ -333,3 +333,17 @@ def store_list_by_region(sales: DataFrame, continent: str | None = None,
     if country:
         out = out.filter(F.lower("country") == country.strip().lower())
     return out
+
+
+def sales_summary(sales: DataFrame, years=None, target: int | None = None) -> DataFrame:
+    """One row: total of rounded store totals, store count, and the
+    money forecast (D3) with its method. The child lists are B1/B3/B4/B7/B8
+    /B10 (each its own job)."""
+    from shelfcast.operators.forecast import sales_forecast_from_qty
+    from shelfcast.sources.tpch import BASE_YEARS, TARGET_YEAR
+    years = years or BASE_YEARS
+    d3 = sales_forecast_from_qty(sales, years, target or TARGET_YEAR)
+    box = sales_box(sales, years)
+    return box.select("total_sum", "store_count",
+                      d3.select("predicted_sales").scalar().alias("predicted_sales"),
+                      d3.select("method").scalar().alias("forecast_method"))
