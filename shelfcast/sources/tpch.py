@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 # 2001 is partial, so it is the prediction target, not a base year).
 BASE_YEARS = (1996, 2000)
 TARGET_YEAR = 2001
+# Parameter for the inventory synth (I2) on this data: the reference pushes
+# five named flagship products into overstock; these five part names play
+# that role here.
+OVERSTOCK_PRODUCTS = ["blue anvil", "blue bolt", "blue gear", "blue gizmo", "blue plate"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
