@@ -111,9 +111,9 @@ def charger_type(tags: Column | str, product_name: Column | str) -> Column:
             cond = _contains_any(t, words)
             expr = F.when(cond, F.lit(tag)) if expr is None else expr.when(cond, F.lit(tag))
         return expr
-    from_tags = F.element_at(
+    from_tags = F.try_element_at(
         F.filter(F.transform(F.coalesce(_c(tags), F.array().cast("array<string>")), tag_kind),
-                 lambda k: k.isNotNull()), 1)
+                 lambda k: k.isNotNull()), F.lit(1))
     name = F.lower(F.coalesce(_c(product_name), F.lit("")))
     from_name = None
     for tag, words in CHARGER_SPELLINGS_IN_NAME:
