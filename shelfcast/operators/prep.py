@@ -27,3 +27,94 @@ def synth_store_stock(sales: DataFrame) -> DataFrame:
     synth = F.greatest(F.lit(1), F.bround(q * (F.lit(lo) + F.lit(hi - lo) * hash_uniform("sale_id", "stock")), 0).cast("long"))
     cur = F.col("store_stock_quantity").cast("long") if "store_stock_quantity" in sales.columns else F.lit(None).cast("long")
     return sales.withColumn("store_stock_quantity", F.coalesce(cur, synth))
+
+
+def dedup_sales(sales: DataFrame, order_col: str = "_ingest_order") -> DataFrame:
+    """K1: one row per sale_id, the first by ingest order (a column the
+    reader adds, e.g. file name + line) or by (sale_date, sale_id)."""
+    order = [F.col(order_col)] if order_col in sales.columns else [F.col("sale_date"), F.col("sale_id")]
+    w = Window.partitionBy("sale_id").orderBy(*order)
+    return sales.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+
+
+def coerce_sales(raw: DataFrame) -> DataFrame:
+    """K2: integers and money coerced (bad -> 0), dates only when the first
+    ten characters look like yyyy-MM-dd, status defaulting to Normal."""
+    out = raw
+    for c in ["quantity", "store_stock_quantity", "inventory", "safety_stock"]:
+        if c in out.columns:
+            out = out.withColumn(c, F.coalesce(F.col(c).cast("string").try_cast("double").cast("long").cast("int"), F.lit(0)))
+    for c in ["price", "total_sales", "frozen_money"]:
+        if c in out.columns:
+            out = out.withColumn(c, F.coalesce(F.col(c).cast("string").try_cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)")))
+    for c in ["sale_date", "launch_date"]:
+        if c in out.columns:
+            s = F.substring(F.trim(F.col(c).cast("string")), 1, 10)
+            out = out.withColumn(c, F.when(s.rlike(DATE_PATTERN), F.try_to_date(s, "yyyy-MM-dd")))
+    if "status" in out.columns:
+        st = F.trim(F.col("status"))
+        out = out.withColumn("status", F.when(st.isNull() | (st == ""), F.lit(DEFAULT_STATUS)).otherwise(st))
+    return out
+
+
+def export_parts(sales: DataFrame, out_dir: str, parts: int = EXPORT_PARTS, fmt: str = "parquet") -> None:
+    """K4: write the table as ``parts`` sale_id ranges (range partitioning,
+    no driver loop). ``fmt='sql'`` writes one INSERT tuple per line with
+    quotes doubled."""
+    d = sales.repartitionByRange(parts, "sale_id")
+    if fmt == "sql":
+        def q(c):
+            return F.when(F.col(c).isNull(), F.lit("NULL")).otherwise(
+                F.concat(F.lit("'"), F.regexp_replace(F.col(c).cast("string"), "'", "''"), F.lit("'")))
+        line = F.concat(F.lit("("), F.concat_ws(", ", *[q(c) for c in sales.columns]), F.lit("),"))
+        d.select(line.alias("value")).write.mode("overwrite").text(out_dir)
+    else:
+        d.write.mode("overwrite").format(fmt).save(out_dir)
+
+
+def dashboard_sample(sales: DataFrame, n: int = SAMPLE_ROWS, min_year: int = SAMPLE_MIN_YEAR,
+                     stratify: bool = False) -> DataFrame:
+    """K5: year >= min_year, exactly n rows chosen by a hash order of
+    sale_id (a sampling feature, reproducible on any partitioning);
+    ``stratify`` keeps each country's share."""
+    s = sales.filter(F.col("sale_year") >= min_year).withColumn("_h", F.md5(F.col("sale_id").cast("string")))
+    if not stratify:
+        return s.orderBy("_h").limit(n).drop("_h")
+    per = s.groupBy("country").agg(F.count(F.lit(1)).alias("_c"))
+    total = s.select(F.count(F.lit(1))).scalar()
+    quota = per.select("country", F.ceil(F.col("_c") * n / total).alias("_q"))
+    w = Window.partitionBy("country").orderBy("_h")
+    return (s.join(quota, "country").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("_q"))
+             .drop("_h", "_r", "_q"))
+
+
+def enrich_inventory(sales: DataFrame, patch: DataFrame) -> DataFrame:
+    """K6: left look-up on (date, store, normalised product name, quantity,
+    price): matched rows take the patch's stock, inventory, frozen money,
+    safety stock and status (first patch row per key wins); ``_match`` is
+    matched / not_found."""
+    from shelfcast.functions.text import norm_name_key
+    key = ["sale_date", "store_name", "_pkey", "quantity", "price"]
+    p = patch.withColumn("_pkey", norm_name_key("product_name"))
+    w = Window.partitionBy(*key).orderBy(F.monotonically_increasing_id())
+    p = p.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
+    cols = ["store_stock_quantity", "inventory", "frozen_money", "safety_stock", "status"]
+    p = p.select(*key, *[F.col(c).alias(f"_p_{c}") for c in cols], F.lit(True).alias("_hit"))
+    j = sales.withColumn("_pkey", norm_name_key("product_name")).join(p, key, "left")
+    for c in cols:
+        cur = F.col(c) if c in sales.columns else F.lit(None)
+        j = j.withColumn(c, F.when(F.col("_hit"), F.col(f"_p_{c}")).otherwise(cur))
+    return (j.withColumn("_match", F.when(F.col("_hit"), "matched").otherwise("not_found"))
+             .drop("_pkey", "_hit", *[f"_p_{c}" for c in cols]))
+
+
+def scale_inventory(sales: DataFrame, divisor: int = SCALE_DIVISOR) -> DataFrame:
+    """K7: inventory = max(0, inventory // 100)."""
+    return sales.withColumn("inventory", F.greatest(F.floor(F.col("inventory") / divisor), F.lit(0)).cast("long"))
+
+
+def feedback_append(feedback: DataFrame, out_path: str, fmt: str = "json") -> DataFrame:
+    """K9: clicked_items = keys whose value is 1; appended to the log."""
+    out = feedback.withColumn("clicked_items", F.map_keys(F.map_filter("feedback", lambda k, v: v == 1)))
+    out.write.mode("append").format(fmt).save(out_path)
+    return out
