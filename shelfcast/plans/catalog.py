@@ -30,6 +30,7 @@ FAMILIES = [
     "shelfcast.plans.q_scoring",
     "shelfcast.plans.q_funnel",
     "shelfcast.plans.q_prep",
+    "shelfcast.plans.q_stream",
 ]
 
 
