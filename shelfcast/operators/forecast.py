@@ -112,3 +112,101 @@ def endpoint_trend(df: DataFrame, keys: list[str], year: str, value: str, target
     span = (last_y - first_y).cast("double")
     proj = F.when(span > 0, last_v + (last_v - first_v) / span * (F.lit(target) - last_y)).otherwise(last_v)
     return df.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.coalesce(actual.cast("double"), proj.cast("double"))).alias("forecast"))
+
+
+# ---- daily forecasts (D5-D7) ------------------------------------------------
+Z95 = 1.96
+MEAN_BAND = 0.15
+
+
+def daily_sales_dense(sales: DataFrame) -> DataFrame:
+    """Per store, daily sales (exact cents) on every calendar day between
+    its first and last sale, zero where nothing was sold."""
+    s = sales.filter(F.col("sale_date").isNotNull())
+    d = s.groupBy("store_id", "sale_date").agg(F.sum(cents(F.col("total_sales"))).alias("c"))
+    span = d.groupBy("store_id").agg(F.min("sale_date").alias("a"), F.max("sale_date").alias("b"))
+    cal = span.select("store_id", F.explode(F.sequence("a", "b")).alias("sale_date"))
+    return (cal.join(d, ["store_id", "sale_date"], "left")
+               .select("store_id", "sale_date", (F.coalesce("c", F.lit(0)) / 100.0).alias("value")))
+
+
+def store_sales_forecast(sales: DataFrame, days: int = 30) -> DataFrame:
+    """For every store: D5, IQR outlier removal, OLS of value on the
+    position 0..n-1 of the kept days, predictions for the next ``days``
+    days after the last kept day (floored at 0) with a +-1.96 sigma band
+    (sigma = population sd of residuals; of values when n <= 2; 0.1 x mean
+    when not positive)."""
+    from shelfcast.operators.filters import iqr_outlier
+    days = max(1, min(90, int(days)))
+    dense = daily_sales_dense(sales)
+    ok = dense.groupBy("store_id").agg(F.count(F.lit(1)).alias("_n0")).filter("_n0 >= 2").select("store_id")
+    kept = iqr_outlier(dense.join(ok, "store_id", "left_semi"), ["store_id"], "value")
+    w = Window.partitionBy("store_id").orderBy("sale_date")
+    kept = kept.withColumn("pos", (F.row_number().over(w) - 1).cast("double"))
+    fit = kept.groupBy("store_id").agg(
+        F.regr_slope("value", "pos").alias("b1"), F.regr_intercept("value", "pos").alias("b0"),
+        F.count(F.lit(1)).alias("n"), F.max("sale_date").alias("last"), F.avg("value").alias("mean"),
+        F.stddev_pop("value").alias("sd_y")).filter("n >= 2")
+    res = (kept.join(fit, "store_id").groupBy("store_id")
+               .agg(F.stddev_pop(F.col("value") - (F.col("b1") * F.col("pos") + F.col("b0"))).alias("sd_r")))
+    f = fit.join(res, "store_id")
+    sd = F.when(F.col("n") > 2, F.col("sd_r")).otherwise(F.col("sd_y"))
+    sd = F.when(sd.isNull() | F.isnan(sd) | (sd <= 0), F.col("mean") * 0.1).otherwise(sd)
+    f = f.withColumn("sd", sd).select("store_id", "b1", "b0", "n", "last", "sd",
+                                      F.explode(F.sequence(F.lit(1), F.lit(days))).alias("i"))
+    val = F.greatest(F.lit(0.0), F.col("b1") * (F.col("n") + F.col("i") - 1) + F.col("b0"))
+    return f.select("store_id", F.date_format(F.date_add("last", F.col("i")), "yyyy-MM-dd").alias("date"),
+                    F.bround(val, 2).alias("value"),
+                    F.bround(F.greatest(F.lit(0.0), val - Z95 * F.col("sd")), 2).alias("lower"),
+                    F.bround(val + Z95 * F.col("sd"), 2).alias("upper"))
+
+
+def mean_forecast(sales: DataFrame, days: int = 30) -> DataFrame:
+    """Fallback: the mean of the daily series, band +-15 %."""
+    dense = daily_sales_dense(sales)
+    m = dense.groupBy("store_id").agg(F.avg("value").alias("m"), F.max("sale_date").alias("last"))
+    f = m.select("store_id", "m", "last", F.explode(F.sequence(F.lit(1), F.lit(int(days)))).alias("i"))
+    return f.select("store_id", F.date_format(F.date_add("last", F.col("i")), "yyyy-MM-dd").alias("date"),
+                    F.bround("m", 2).alias("value"), F.bround(F.col("m") * (1 - MEAN_BAND), 2).alias("lower"),
+                    F.bround(F.col("m") * (1 + MEAN_BAND), 2).alias("upper"))
+
+
+# ---- quarterly fallback / override / merge (D10-D12) ------------------------
+GROWTH_CLIP = 0.25
+FALLBACK_QUARTERS = 6
+
+
+def quarter_growth_fallback(quarterly: DataFrame, quarters: int = FALLBACK_QUARTERS) -> DataFrame:
+    """Per product from its quarterly actuals (product_id, qi, q):
+    growth = (last - previous) / previous clipped to +-25 %; forecast
+    last x (1 + g)^i for the next ``quarters`` quarters."""
+    w = Window.partitionBy("product_id").orderBy("qi")
+    t = quarterly.withColumn("prev", F.lag("q").over(w))
+    last = t.groupBy("product_id").agg(F.max_by(F.struct("qi", "q", "prev"), "qi").alias("l"))
+    g = F.when(F.col("l.prev") > 0, (F.col("l.q") - F.col("l.prev")) / F.col("l.prev")).otherwise(0.0)
+    g = F.least(F.greatest(g, F.lit(-GROWTH_CLIP)), F.lit(GROWTH_CLIP))
+    f = last.select("product_id", F.col("l.qi").alias("qi0"), F.col("l.q").cast("double").alias("q0"), g.alias("growth"),
+                    F.explode(F.sequence(F.lit(1), F.lit(quarters))).alias("i"))
+    qi = F.col("qi0") + F.col("i")
+    return f.select("product_id", F.format_string("%d-Q%d", F.floor(qi / 4).cast("int"), (qi % 4 + 1).cast("int")).alias("month"),
+                    F.bround("growth", 4).alias("growth"),
+                    F.bround(F.col("q0") * F.pow(1 + F.col("growth"), F.col("i")), 2).alias("yhat"))
+
+
+def chart_override(actual: DataFrame, predicted_year: DataFrame, target: int) -> DataFrame:
+    """Actual quarterly rows before the target year, and the target
+    year's four quarters replaced by the product's yearly prediction / 4
+    (later quarters dropped). ``actual``: (product_id, month 'YYYY-Qn', yhat);
+    ``predicted_year``: (product_id, predicted_quantity)."""
+    a = actual.filter(F.substring("month", 1, 4).cast("int") < target).withColumn("is_predicted", F.lit(False))
+    p = predicted_year.select("product_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("qq"),
+                              (F.col("predicted_quantity") / 4.0).alias("yhat"))
+    p = p.select("product_id", F.format_string("%d-Q%d", F.lit(target), F.col("qq")).alias("month"),
+                 F.bround("yhat", 2).alias("yhat"), F.lit(True).alias("is_predicted"))
+    return a.select("product_id", "month", "yhat", "is_predicted").unionByName(p)
+
+
+def actual_predicted_merge(actual: DataFrame, forecast: DataFrame) -> DataFrame:
+    """Full outer merge of actual and forecast series by (product, month)."""
+    return actual.select("product_id", "month", F.col("yhat").alias("actual")).join(
+        forecast.select("product_id", "month", F.col("yhat").alias("predicted")), ["product_id", "month"], "full")

@@ -143,3 +143,70 @@ FROM b1"""))
 def b11(spark, d):
     from shelfcast.operators.sales import sales_summary
     return sales_summary(tpch_sales(spark, d))
+
+
+DENSE = f""",
+dd AS (SELECT store_id, sale_date, sum(CAST(round(coalesce(total_sales, 0) * 100) AS BIGINT)) AS c FROM sales
+       WHERE sale_date IS NOT NULL GROUP BY 1, 2),
+span AS (SELECT store_id, min(sale_date) AS a, max(sale_date) AS b FROM dd GROUP BY 1),
+cal AS (SELECT store_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS sale_date FROM span),
+dense AS (SELECT cal.store_id, cal.sale_date, coalesce(c, 0) / 100.0 AS value FROM cal LEFT JOIN dd USING (store_id, sale_date))"""
+
+
+@register("d5_daily_sales_dense", with_sales(DENSE + "\nSELECT store_id, strftime(sale_date, '%Y-%m-%d') AS sale_date, value FROM dense"))
+def d5(spark, d):
+    return D.daily_sales_dense(tpch_sales(spark, d)).select(
+        "store_id", F.date_format("sale_date", "yyyy-MM-dd").alias("sale_date"), "value")
+
+
+@register("d6_store_sales_forecast", with_sales(DENSE + """,
+ok AS (SELECT store_id FROM dense GROUP BY 1 HAVING count(*) >= 2),
+q AS (SELECT store_id, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM dense GROUP BY 1),
+kept0 AS (SELECT d.* FROM dense d JOIN q USING (store_id) WHERE store_id IN (SELECT store_id FROM ok)
+          AND (q3 - q1 <= 0 OR (value >= q1 - 1.5 * (q3 - q1) AND value <= q3 + 1.5 * (q3 - q1)))),
+kept AS (SELECT *, CAST(row_number() OVER (PARTITION BY store_id ORDER BY sale_date) - 1 AS DOUBLE) AS pos FROM kept0),
+fit AS (SELECT store_id, regr_slope(value, pos) AS b1, regr_intercept(value, pos) AS b0, count(*) AS n, max(sale_date) AS last,
+               avg(value) AS mean, stddev_pop(value) AS sd_y FROM kept GROUP BY 1 HAVING count(*) >= 2),
+res AS (SELECT kept.store_id, stddev_pop(value - (b1 * pos + b0)) AS sd_r FROM kept JOIN fit USING (store_id) GROUP BY 1),
+f AS (SELECT fit.*, CASE WHEN s IS NULL OR isnan(s) OR s <= 0 THEN mean * 0.1 ELSE s END AS sd FROM (
+        SELECT fit.*, CASE WHEN n > 2 THEN sd_r ELSE sd_y END AS s FROM fit JOIN res USING (store_id)) fit),
+g AS (SELECT store_id, last, i, sd, greatest(0.0, b1 * (n + i - 1) + b0) AS val FROM f, range(1, 31) r(i))
+SELECT store_id, strftime(last + CAST(i AS INTEGER), '%Y-%m-%d') AS date, round_even(val, 2) AS value,
+       round_even(greatest(0.0, val - 1.96 * sd), 2) AS lower, round_even(val + 1.96 * sd, 2) AS upper FROM g"""))
+def d6(spark, d):
+    return D.store_sales_forecast(tpch_sales(spark, d))
+
+
+@register("d7_mean_forecast", with_sales(DENSE + """,
+m AS (SELECT store_id, avg(value) AS m, max(sale_date) AS last FROM dense GROUP BY 1)
+SELECT store_id, strftime(last + CAST(i AS INTEGER), '%Y-%m-%d') AS date, round_even(m, 2) AS value,
+       round_even(m * 0.85, 2) AS lower, round_even(m * 1.15, 2) AS upper FROM m, range(1, 31) r(i)"""))
+def d7(spark, d):
+    return D.mean_forecast(tpch_sales(spark, d))
+
+
+def _quarterly(spark, d):
+    s = tpch_sales(spark, d).filter(F.col("sale_date").isNotNull())
+    return s.groupBy("product_id", (F.year("sale_date") * 4 + F.quarter("sale_date") - 1).alias("qi")) \
+            .agg(F.sum(F.coalesce("quantity", F.lit(0))).alias("q"))
+
+
+@register("d10_quarter_growth_fallback", None, note="rows-only")
+def d10(spark, d):
+    return D.quarter_growth_fallback(_quarterly(spark, d))
+
+
+@register("d11_chart_override", None, note="rows-only")
+def d11(spark, d):
+    from shelfcast.operators import demand as A
+    from shelfcast.operators.inventory import quarter_demand_chart
+    s = tpch_sales(spark, d)
+    return D.chart_override(quarter_demand_chart(s), A.product_year_pivot(s).select("product_id", "predicted_quantity"),
+                            TARGET_YEAR)
+
+
+@register("d12_actual_predicted_merge", None, note="rows-only")
+def d12(spark, d):
+    from shelfcast.operators.inventory import quarter_demand_chart, quarter_forecast_share
+    s = tpch_sales(spark, d)
+    return D.actual_predicted_merge(quarter_demand_chart(s), quarter_forecast_share(s))
