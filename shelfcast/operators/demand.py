@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.geo import city_lon_lat, continent_of_col, store_name_ko
 from shelfcast.functions.numeric import round_half_up_js, round_int
+from shelfcast.functions.rows import first_row
 from shelfcast.functions.text import norm_text, strip_brand
 from shelfcast.operators.filters import base_years, region_filter
 from shelfcast.operators.forecast import predicted_quantity
@@ -126,9 +127,11 @@ def product_year_pivot(sales: DataFrame, years=BASE_YEARS, target: int = TARGET_
     ys = _year_cols(years)
     launch = "launch_date" if "launch_date" in s.columns else None
     aggs = [F.sum(F.when(F.col("sale_year") == y, _qty())).cast("long").alias(f"quantity_{y}") for y in ys]
-    aggs += [_first("product_name").alias("_name"), _first("category_name").alias("_cat")]
-    aggs.append(_first(launch).alias("_launch") if launch else F.lit(None).cast("date").alias("_launch"))
+    attrs = ["product_name", "category_name"] + ([launch] if launch else [])
+    aggs.append(first_row(*attrs).alias("_f"))
     g = s.groupBy(F.trim("product_id").alias("product_id")).agg(*aggs).fillna(0, [f"quantity_{y}" for y in ys])
+    g = g.select("*", F.col("_f.product_name").alias("_name"), F.col("_f.category_name").alias("_cat"),
+                 (F.col(f"_f.{launch}") if launch else F.lit(None).cast("date")).alias("_launch"))
     total_q = s.select(F.sum(_qty())).scalar()
     pred = predicted_quantity(sales, years, target)
     q_sum = sum((F.col(f"quantity_{y}") for y in ys), F.lit(0))

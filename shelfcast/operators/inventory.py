@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.numeric import cents, hash_uniform, round_int
+from shelfcast.functions.rows import first_row
 from shelfcast.functions.text import norm_text
 from shelfcast.operators.forecast import predicted_quantity
 from shelfcast.sources.tpch import BASE_YEARS, TARGET_YEAR
@@ -104,11 +105,12 @@ def inventory_list(snap: DataFrame, statuses: list[str] | None = None, by_store:
     total frozen money; optional status filter; product-only variant."""
     s = snap if not statuses else snap.filter(F.col("status").isin(*statuses))
     keys = (["store_name"] if by_store else []) + ["product_id"]
-    return s.groupBy(*keys).agg(
-        _first("product_name").alias("product_name"), _first("inventory").alias("inventory"),
-        _first("safety_stock").alias("safety_stock"), _first("status").alias("status"),
-        F.bround(F.sum(cents(F.col("frozen_money"))) / 100.0, 2).alias("frozen_money"),
-        F.coalesce(_first("price"), F.lit(0.0)).alias("price"))
+    g = s.groupBy(*keys).agg(first_row("product_name", "inventory", "safety_stock", "status", "price").alias("_f"),
+                             F.sum(cents(F.col("frozen_money"))).alias("_fc"))
+    return g.select(*keys, F.col("_f.product_name").alias("product_name"), F.col("_f.inventory").alias("inventory"),
+                    F.col("_f.safety_stock").alias("safety_stock"), F.col("_f.status").alias("status"),
+                    F.bround(F.col("_fc") / 100.0, 2).alias("frozen_money"),
+                    F.coalesce(F.col("_f.price"), F.lit(0.0)).alias("price"))
 
 
 def kpi_summary(snap: DataFrame, sales: DataFrame, years=BASE_YEARS, target: int = TARGET_YEAR) -> DataFrame:
@@ -154,8 +156,9 @@ def overstock_top5(snap: DataFrame, n: int = 5) -> DataFrame:
     s = snap.filter(F.col("status") == "Overstock")
     a = s.groupBy("product_id").agg(F.sum("inventory").cast("long").alias("current_inventory"),
                                     F.sum("safety_stock").cast("long").alias("target_inventory"),
-                                    F.coalesce(_first("price"), F.lit(0.0)).alias("_p"),
-                                    _first("product_name").alias("product_name"))
+                                    first_row("price", "product_name").alias("_f"))
+    a = a.select("product_id", "current_inventory", "target_inventory",
+                 F.coalesce(F.col("_f.price"), F.lit(0.0)).alias("_p"), F.col("_f.product_name").alias("product_name"))
     a = a.withColumn("overstock_qty", F.greatest(F.col("current_inventory") - F.col("target_inventory"), F.lit(0)))
     a = a.filter(F.col("overstock_qty") > 0)
     return (a.select("product_id", "product_name", "current_inventory", "target_inventory", "overstock_qty",
@@ -171,8 +174,9 @@ def risky_top5(snap: DataFrame, n: int = 5) -> DataFrame:
     s = snap.filter(F.col("status") == "Danger")
     a = s.groupBy("product_id").agg(F.sum("inventory").cast("long").alias("current_inventory"),
                                     F.sum("safety_stock").cast("long").alias("target_inventory"),
-                                    F.coalesce(_first("price"), F.lit(0.0)).alias("_p"),
-                                    _first("product_name").alias("product_name"))
+                                    first_row("price", "product_name").alias("_f"))
+    a = a.select("product_id", "current_inventory", "target_inventory",
+                 F.coalesce(F.col("_f.price"), F.lit(0.0)).alias("_p"), F.col("_f.product_name").alias("product_name"))
     a = a.withColumn("order_quantity", F.greatest(F.col("target_inventory") - F.col("current_inventory"), F.lit(0)))
     a = a.filter(F.col("order_quantity") > 0).withColumn("expenditure", F.bround(F.col("order_quantity") * F.col("_p"), 0))
     top = a.orderBy(F.desc("expenditure"), "product_id").limit(n)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfcast.functions.rows import first_row
 from shelfcast.functions.text import charger_type, compat_tags
 
 # ---- fixed values (reference rules) ----------------------------------------
@@ -61,13 +62,14 @@ def engine_products(sales: DataFrame, as_of: str, per_store: bool = True) -> Dat
     inventory (1 when the data has none). ``per_store`` builds each store's
     own assortment (all stores at once)."""
     keys = (["store_id"] if per_store else []) + ["product_id"]
-    first = F.struct("sale_date", "sale_id")
-    aggs = [F.min_by("product_name", first).alias("product_name"), F.min_by("price", first).alias("_price"),
-            F.min_by("category_name", first).alias("_cat")]
+    aggs = [first_row("product_name", "price", "category_name").alias("_f")]
     aggs.append(F.min("launch_date").alias("_launch") if "launch_date" in sales.columns
                 else F.lit(None).cast("date").alias("_launch"))
     aggs.append(F.sum("inventory").alias("_inv") if "inventory" in sales.columns else F.lit(None).cast("long").alias("_inv"))
-    g = sales.groupBy(*keys).agg(*aggs).filter(F.trim("product_name") != "")
+    g = (sales.groupBy(*keys).agg(*aggs)
+              .select(*keys, F.col("_f.product_name").alias("product_name"), F.col("_f.price").alias("_price"),
+                      F.col("_f.category_name").alias("_cat"), "_launch", "_inv")
+              .filter(F.trim("product_name") != ""))
     age = F.coalesce(F.datediff(F.lit(as_of).cast("date"), F.col("_launch")), F.lit(0))
     return g.select(*keys, F.trim("product_name").alias("product_name"),
                     F.coalesce(F.col("_price").cast("double"), F.lit(DEFAULT_PRICE)).alias("price"),
