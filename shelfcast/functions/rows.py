@@ -14,6 +14,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ORDER = ("sale_date", "sale_id")
+# Up to this many values an exact percentile runs in one aggregation
+# buffer (a few hundred MB at most); above it, a distributed sort.
+SINGLE_BUFFER_MAX = 5_000_000
 
 
 def first_row(*cols: str) -> Column:
@@ -21,3 +24,24 @@ def first_row(*cols: str) -> Column:
     read fields as ``alias.col``)."""
     key = [F.col(c).alias(f"_k{i}") for i, c in enumerate(ORDER)]
     return F.min(F.struct(*key, *[F.col(c) for c in cols]))
+
+
+def exact_percentile(df, col: str, p: float) -> Column:
+    """Exact linear-interpolation percentile (pandas / NumPy default, DuckDB
+    ``quantile_cont``) of ``col`` over the whole DataFrame, as a scalar
+    subquery column. Distributed: a range-partitioned sort assigns global
+    ranks (no task holds all values, unlike ``percentile``), then only the
+    two rows around position (n-1)p are read."""
+    from shelfcast.operators.recommend import global_rank
+    v = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    count = v.count()  # size check (one job): small inputs use one buffer
+    if count <= SINGLE_BUFFER_MAX:
+        return v.select(F.percentile("_v", float(p))).scalar()
+    n = F.lit(count)
+    pos = (n - 1) * float(p)
+    lo, hi = F.floor(pos), F.ceil(pos)
+    ranked = global_rank(v, F.asc("_v"))
+    pair = ranked.filter((F.col("rank") - 1 == lo) | (F.col("rank") - 1 == hi))
+    v_lo = F.max(F.when(F.col("rank") - 1 == lo, F.col("_v")))
+    v_hi = F.max(F.when(F.col("rank") - 1 == hi, F.col("_v")))
+    return pair.select(v_lo + (pos - lo) * (v_hi - v_lo)).scalar()

@@ -211,7 +211,8 @@ def frozen_money_alert(snap: DataFrame) -> DataFrame:
     """I7 rows flagged when frozen money is above the interpolated P75
     of all rows and the status is Normal (English or Korean)."""
     lst = inventory_list(snap)
-    p75 = lst.select(F.percentile("frozen_money", 0.75)).scalar()
+    from shelfcast.functions.rows import exact_percentile
+    p75 = exact_percentile(lst, "frozen_money", 0.75)
     return lst.withColumn("investor_alert", (F.col("frozen_money") > p75) & F.col("status").isin(*NORMAL_WORDS))
 
 

@@ -56,3 +56,19 @@ def test_grade_edges(spark):
     perf = spark.createDataFrame([("c", "A", 8000), ("c", "B", 7990), ("c", "C", 10000)], "country string, store_name string, c long")
     got = {r["store_name"]: r["grade"] for r in _grade(perf, F.lit(100.0)).collect()}
     assert got == {"A": "A", "B": "C", "C": "S"}
+
+
+def test_exact_percentile_both_paths(spark):
+    import numpy as np
+    from shelfcast.functions import rows
+    vals = np.random.default_rng(1).normal(size=501).round(3)
+    df = spark.createDataFrame([(float(x),) for x in vals], "x double")
+    want = float(np.percentile(vals, 75))
+    old = rows.SINGLE_BUFFER_MAX
+    try:
+        rows.SINGLE_BUFFER_MAX = 10          # force the distributed sort path
+        a = df.select(rows.exact_percentile(df, "x", 0.75)).first()[0]
+    finally:
+        rows.SINGLE_BUFFER_MAX = old
+    b = df.select(rows.exact_percentile(df, "x", 0.75)).first()[0]
+    assert abs(a - want) < 1e-9 and abs(b - want) < 1e-9
