@@ -229,3 +229,29 @@ def quarter_from_year(sales: DataFrame, years=BASE_YEARS, target: int = TARGET_Y
     out = y.select("year", "is_predicted", "q", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("quarter"))
     return out.select(F.format_string("%d-Q%d", "year", "quarter").alias("period"), "year", "quarter",
                       round_half_up_js(F.col("q") / 4.0).cast("long").alias("quantity"), "is_predicted")
+
+
+LEVELS = {"continent": "continent", "country": "country", "store": "store_id", "city": "city"}
+
+
+def demand_dashboard(sales: DataFrame, level: str = "continent", year: int = BASE_YEARS[1]) -> DataFrame:
+    """A12 for every region of a level at once: category demand in ``year``
+    (quantity > 0) and the region's total; a region with no rows that year
+    falls back to the global category demand (``is_fallback``). The global
+    list (one row per category) is carried as one array and exploded for
+    the regions that need it, so no region x category join is formed."""
+    col = LEVELS[level]
+    reg = (continent_col(sales) if level == "continent" else norm_text(col)).alias("region")
+    s = sales.select(reg, norm_text("category_name").alias("category"), "sale_year", _qty().alias("q"))
+    per = (s.filter(F.col("sale_year") == int(year)).groupBy("region", "category")
+             .agg(F.sum("q").cast("long").alias("quantity")).filter(F.col("quantity") > 0))
+    glob = (s.filter(F.col("sale_year") == int(year)).groupBy("category").agg(F.sum("q").cast("long").alias("quantity"))
+             .filter(F.col("quantity") > 0))
+    glob_list = glob.agg(F.collect_list(F.struct("category", "quantity")).alias("l")).scalar()
+    regions = s.select("region").distinct()
+    missing = regions.join(per.select("region").distinct(), "region", "left_anti")
+    fb = missing.select("region", F.explode(glob_list).alias("g")).select(
+        "region", F.col("g.category").alias("category"), F.col("g.quantity").alias("quantity"), F.lit(True).alias("is_fallback"))
+    rows = per.withColumn("is_fallback", F.lit(False)).unionByName(fb)
+    tot = F.sum("quantity").over(Window.partitionBy("region"))
+    return rows.withColumn("total_demand", tot.cast("long"))

@@ -169,3 +169,16 @@ SELECT year || '-Q' || quarter AS period, CAST(year AS INTEGER) AS year, CAST(qu
 FROM y, range(1, 5) r(quarter)"""))
 def a15(spark, d):
     return A.quarter_from_year(tpch_sales(spark, d))
+
+
+@register("a12_demand_dashboard", with_sales(f""",
+s AS (SELECT coalesce(continent, 'Other') AS region, {NT('category_name')} AS category, sale_year, coalesce(quantity, 0) AS q FROM sales),
+per AS (SELECT region, category, CAST(sum(q) AS BIGINT) AS quantity FROM s WHERE sale_year = {BASE_YEARS[1]}
+        GROUP BY 1, 2 HAVING sum(q) > 0),
+gl AS (SELECT category, CAST(sum(q) AS BIGINT) AS quantity FROM s WHERE sale_year = {BASE_YEARS[1]} GROUP BY 1 HAVING sum(q) > 0),
+missing AS (SELECT DISTINCT region FROM s WHERE region NOT IN (SELECT region FROM per)),
+r AS (SELECT region, category, quantity, false AS is_fallback FROM per
+      UNION ALL SELECT m.region, g.category, g.quantity, true FROM missing m, gl g)
+SELECT *, CAST(sum(quantity) OVER (PARTITION BY region) AS BIGINT) AS total_demand FROM r"""))
+def a12(spark, d):
+    return A.demand_dashboard(tpch_sales(spark, d))
