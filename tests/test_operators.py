@@ -72,3 +72,16 @@ def test_exact_percentile_both_paths(spark):
         rows.SINGLE_BUFFER_MAX = old
     b = df.select(rows.exact_percentile(df, "x", 0.75)).first()[0]
     assert abs(a - want) < 1e-9 and abs(b - want) < 1e-9
+
+
+def test_demand_dashboard_fallback(spark):
+    import datetime as dt
+    from shelfcast.operators.demand import demand_dashboard
+    rows = [("1", dt.date(2000, 1, 5), 2000, "Asia", "X", 3), ("2", dt.date(2000, 2, 5), 2000, "Asia", "Y", 2),
+            ("3", dt.date(1999, 2, 5), 1999, "Europe", "X", 7)]
+    df = spark.createDataFrame(rows, "sale_id string, sale_date date, sale_year int, continent string, "
+                                     "category_name string, quantity int").withColumn("country", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("c"))
+    got = {(r["region"], r["category"]): (r["quantity"], r["is_fallback"], r["total_demand"])
+           for r in demand_dashboard(df, "continent", 2000).collect()}
+    assert got[("Asia", "X")] == (3, False, 5)
+    assert got[("Europe", "X")] == (3, True, 5) and got[("Europe", "Y")] == (2, True, 5)
