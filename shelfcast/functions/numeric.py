@@ -67,3 +67,11 @@ def cents_to_int(c: Column) -> Column:
 
 def cents_to_money(c: Column, scale: int = 2) -> Column:
     return F.bround(c / F.lit(100.0), scale)
+
+
+def round_decimal(c: Column, scale: int) -> Column:
+    """Round a computed double half-up in decimal arithmetic: the value is
+    first snapped to 12 decimal places (removing binary noise such as
+    24.0249999...), so exact ties round the same on every engine. DuckDB:
+    ``CAST(round(CAST(x AS DECIMAL(38,12)), s) AS DOUBLE)``."""
+    return F.round(c.cast("decimal(38,12)"), scale).cast("double")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.functions.numeric import cents, cents_to_int, round_int
+from shelfcast.functions.numeric import cents, cents_to_int, round_decimal, round_int
 from shelfcast.operators.filters import base_years
 from shelfcast.sources.tpch import BASE_YEARS, TARGET_YEAR
 
@@ -190,7 +190,7 @@ def quarter_growth_fallback(quarterly: DataFrame, quarters: int = FALLBACK_QUART
     qi = F.col("qi0") + F.col("i")
     return f.select("product_id", F.format_string("%d-Q%d", F.floor(qi / 4).cast("int"), (qi % 4 + 1).cast("int")).alias("month"),
                     F.bround("growth", 4).alias("growth"),
-                    F.bround(F.col("q0") * F.pow(1 + F.col("growth"), F.col("i")), 2).alias("yhat"))
+                    round_decimal(F.col("q0") * F.pow(1 + F.col("growth"), F.col("i")), 2).alias("yhat"))
 
 
 def chart_override(actual: DataFrame, predicted_year: DataFrame, target: int) -> DataFrame:

@@ -83,20 +83,21 @@ _QLIST = ", ".join(f"quantity_{y}" for y in YS)
 _PRED = ("CAST(CASE WHEN t.tq > 0 AND fc.predicted_quantity > 0 AND ({qs}) > 0 THEN "
          "greatest(0, CAST(round_even(fc.predicted_quantity * (({qs}) / t.tq), 0) AS BIGINT)) ELSE 0 END AS BIGINT)")
 
-A9_SQL = with_sales(f""", {FC},
-s AS (SELECT * FROM sales_l WHERE {Y}),
-t AS (SELECT sum(coalesce(quantity, 0)) AS tq FROM s),
+A9_BODY = f""", {FC},
+s9 AS (SELECT * FROM sales_l WHERE {Y}),
+t AS (SELECT sum(coalesce(quantity, 0)) AS tq FROM s9),
 g AS (SELECT trim(product_id) AS product_id, {_QCOLS},
              arg_min(product_name, (sale_date, sale_id)) AS _name,
              arg_min(category_name, (sale_date, sale_id)) AS _cat,
              arg_min(launch_date, (sale_date, sale_id)) AS _launch
-      FROM s GROUP BY trim(product_id)),
+      FROM s9 GROUP BY trim(product_id)),
 o AS (SELECT product_id,
              CASE WHEN {NT('_name')} = '' THEN product_id ELSE {NT('_name')} END AS product_name,
              {NT('_cat')} AS category,
              CAST(least(greatest(coalesce(year(_launch), {YS[0]}), {YS[0]}), {TARGET_YEAR}) AS INTEGER) AS launch_year,
              {_QLIST}, {_PRED.format(qs=_QSUM)} AS predicted_quantity
-      FROM g, t, fc)
+      FROM g, t, fc)"""
+A9_SQL = with_sales(A9_BODY + f"""
 SELECT * FROM o WHERE {_QSUM} + predicted_quantity > 0""", launch=True)
 
 

@@ -191,12 +191,33 @@ def _quarterly(spark, d):
             .agg(F.sum(F.coalesce("quantity", F.lit(0))).alias("q"))
 
 
-@register("d10_quarter_growth_fallback", None, note="rows-only")
+@register("d10_quarter_growth_fallback", with_sales(""",
+q AS (SELECT product_id, year(sale_date) * 4 + quarter(sale_date) - 1 AS qi, sum(coalesce(quantity, 0)) AS q
+      FROM sales WHERE sale_date IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT *, lag(q) OVER (PARTITION BY product_id ORDER BY qi) AS prev FROM q),
+l AS (SELECT product_id, max(qi) AS qi0, arg_max({'q': q, 'prev': prev}, qi) AS r FROM t GROUP BY 1),
+g AS (SELECT product_id, qi0, CAST(r.q AS DOUBLE) AS q0,
+             least(greatest(CASE WHEN r.prev > 0 THEN (r.q - r.prev) / r.prev ELSE 0.0 END, -0.25), 0.25) AS growth FROM l),
+f AS (SELECT g.*, i, qi0 + i AS qi FROM g, range(1, 7) r(i))
+SELECT product_id, CAST(floor(qi / 4) AS INTEGER) || '-Q' || CAST(qi % 4 + 1 AS INTEGER) AS month,
+       round_even(growth, 4) AS growth, CAST(round(CAST(q0 * pow(1 + growth, i) AS DECIMAL(38, 12)), 2) AS DOUBLE) AS yhat
+FROM f"""))
 def d10(spark, d):
     return D.quarter_growth_fallback(_quarterly(spark, d))
 
 
-@register("d11_chart_override", None, note="rows-only")
+def _d11_sql():
+    from shelfcast.plans.q_demand import A9_BODY, _QSUM
+    from shelfcast.plans.q_inventory import D8_CTES
+    return with_sales(A9_BODY + D8_CTES + f""",
+a9 AS (SELECT * FROM o WHERE {_QSUM} + predicted_quantity > 0)
+SELECT product_id, month, yhat, false AS is_predicted FROM d8 WHERE CAST(substr(month, 1, 4) AS INTEGER) < {TARGET_YEAR}
+UNION ALL
+SELECT product_id, '{TARGET_YEAR}-Q' || CAST(qq AS INTEGER), round_even(predicted_quantity / 4.0, 2), true
+FROM a9, range(1, 5) r(qq)""", launch=True)
+
+
+@register("d11_chart_override", _d11_sql())
 def d11(spark, d):
     from shelfcast.operators import demand as A
     from shelfcast.operators.inventory import quarter_demand_chart
@@ -205,7 +226,12 @@ def d11(spark, d):
                             TARGET_YEAR)
 
 
-@register("d12_actual_predicted_merge", None, note="rows-only")
+def _d12_sql():
+    from shelfcast.plans.q_inventory import D12_SQL
+    return D12_SQL
+
+
+@register("d12_actual_predicted_merge", _d12_sql())
 def d12(spark, d):
     from shelfcast.operators.inventory import quarter_demand_chart, quarter_forecast_share
     s = tpch_sales(spark, d)

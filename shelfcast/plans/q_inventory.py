@@ -227,22 +227,35 @@ def i22(spark, d):
     return I.overstock_filters(I.overstock_by_region(snap(spark, d)))
 
 
-@register("d9_quarter_forecast_share", with_sales(SHARE + """,
+D9_BODY = """,
 f AS (SELECT product_id, split, product_total, i FROM share, range(1, 7) r(i)),
 g AS (SELECT product_id, split + i AS qi, greatest(product_total / 6.0, 0.0) AS yhat FROM f)
 SELECT product_id, CAST(floor(qi / 4) AS INTEGER) || '-Q' || CAST(qi % 4 + 1 AS INTEGER) AS month,
        round_even(yhat, 2) AS yhat, round_even(yhat * 0.85, 2) AS yhat_lower, round_even(yhat * 1.15, 2) AS yhat_upper,
-       round_even(yhat * 1.125, 2) AS store_stock_quantity FROM g"""))
+       round_even(yhat * 1.125, 2) AS store_stock_quantity FROM g"""
+
+
+@register("d9_quarter_forecast_share", with_sales(SHARE + D9_BODY))
 def d9(spark, d):
     return I.quarter_forecast_share(tpch_sales(spark, d))
 
 
-@register("d8_quarter_demand_chart", with_sales(f""",
+D8_CTES = f""",
 s AS (SELECT *, greatest(1, CAST(round_even(coalesce(quantity, 0) * (0.95 + 0.35 * {U('sale_id', 'stock')}), 0) AS BIGINT)) AS stock
       FROM sales WHERE sale_date IS NOT NULL),
-ok AS (SELECT product_id FROM s GROUP BY product_id HAVING count(DISTINCT sale_date) >= 2)
-SELECT product_id, year(sale_date) || '-Q' || quarter(sale_date) AS month, CAST(sum(coalesce(quantity, 0)) AS DOUBLE) AS yhat,
+ok AS (SELECT product_id FROM s GROUP BY product_id HAVING count(DISTINCT sale_date) >= 2),
+d8 AS (SELECT product_id, year(sale_date) || '-Q' || quarter(sale_date) AS month, CAST(sum(coalesce(quantity, 0)) AS DOUBLE) AS yhat,
        CAST(sum(stock) AS DOUBLE) AS store_stock_quantity
-FROM s WHERE product_id IN (SELECT product_id FROM ok) AND sale_year >= {BASE_YEARS[0]} GROUP BY 1, 2"""))
+FROM s WHERE product_id IN (SELECT product_id FROM ok) AND sale_year >= {BASE_YEARS[0]} GROUP BY 1, 2)"""
+
+
+@register("d8_quarter_demand_chart", with_sales(D8_CTES + "\nSELECT * FROM d8"))
 def d8(spark, d):
     return I.quarter_demand_chart(tpch_sales(spark, d))
+
+
+D12_SQL = with_sales(SHARE + D9_BODY.replace("\nSELECT product_id, CAST(floor(qi / 4)", ",\nd9 AS (SELECT product_id, CAST(floor(qi / 4)")
+                     + ")" + D8_CTES + """
+SELECT coalesce(a.product_id, p.product_id) AS product_id, coalesce(a.month, p.month) AS month,
+       a.yhat AS actual, p.yhat AS predicted
+FROM d8 a FULL OUTER JOIN d9 p ON a.product_id = p.product_id AND a.month = p.month""")
