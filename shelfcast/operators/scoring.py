@@ -186,7 +186,8 @@ def bundle_rank(products: DataFrame, mains: DataFrame, campaign: bool = False,
     ct = products.select("store_id", "product_id", "product_name", "price", "margin", F.col(age_col).alias("age"), "stock",
                          F.lit(None).cast("double").alias("eta_hours"),
                          F.explode(F.array_distinct(F.transform("compatibility_tags", F.lower))).alias("tag"))
-    pairs = mt.join(ct, ["store_id", "tag"]).drop("tag").dropDuplicates(["store_id", "main_id", "product_id"])
+    pairs = (mt.join(ct, ["store_id", "tag"]).drop("tag").filter(F.col("product_id") != F.col("main_id"))
+               .dropDuplicates(["store_id", "main_id", "product_id"]))
     pairs = pairs.filter((F.col("stock") > 0) | ((F.col("stock") == 0) & (F.col("eta_hours") <= BUNDLE_ETA_HOURS)))
     ratio = F.when(F.col("main_price") > 0, F.col("price") / F.col("main_price")).otherwise(0.0)
     base = F.when(F.col("main_price") <= 0, F.lit(0.5)).otherwise(F.least(F.col("price") / F.col("main_price"), F.lit(1.2)))
@@ -199,8 +200,13 @@ def bundle_rank(products: DataFrame, mains: DataFrame, campaign: bool = False,
     p = pairs.select("store_id", "main_id", "product_id", "product_name", "main_price",
                      F.bround(bn, 4).alias("ceo_score"), F.bround(F.least(inv, F.lit(1.5)), 4).alias("investor_score"),
                      F.bround(_clamp(F.lit(seller_score), 0.0, 1.0), 4).alias("seller_score"))
-    p = p.withColumn("total_score", F.bround(w[0] * F.col("ceo_score") + w[1] * F.col("investor_score")
-                                             + w[2] * F.col("seller_score"), 4))
+    # exact total (see score_products): weights in 1e-4 units here, since
+    # the campaign weights are not whole tenths
+    def units(c: str) -> Column:
+        return F.round(F.col(c) * 10000).cast("long")
+    wu = [int(round(x * 10000)) for x in w]
+    t8 = wu[0] * units("ceo_score") + wu[1] * units("investor_score") + wu[2] * units("seller_score")
+    p = p.withColumn("total_score", F.bround(t8 / 10000.0, 0) / 10000.0)
     r = BUNDLE_REASONS
     clauses = F.array_compact(F.array(
         F.lit(r["compatible"]),

@@ -36,6 +36,7 @@ def w1(spark, d):
                     F.array_join("compatibility_tags", ",").alias("tags"), "stock")
 
 
+marker = "SELECT store_id, product_id, product_name, passed, ceo_score, investor_score, operation_score, score,"
 W5_SQL = with_sales(W1_CTE + """,
 t AS (SELECT store_id, list(DISTINCT replace(lower(trim(category_name)), ' ', '_')) FILTER (WHERE trim(category_name) <> '') AS tt
       FROM sales GROUP BY 1),
@@ -72,13 +73,52 @@ def w5(spark, d):
                      "operation_score", "score", "reason", "rank")
 
 
-@register("w8_growth_fallback", None, note="rows-only: stores with no passing product")
+def _w8_sql():
+    body = W5_SQL.replace(marker, ", w5 AS (\n" + marker)
+    return body + """),
+empty AS (SELECT DISTINCT store_id FROM sales WHERE store_id NOT IN (SELECT store_id FROM w5 WHERE passed))
+SELECT e.store_id, f.product_id, f.product_name, CAST(f.score AS DOUBLE) AS score, CAST(f.rank AS INTEGER) AS rank
+FROM empty e, (VALUES ('FB-1', 'AppleCare+', 0.9, 1), ('FB-2', 'USB-C 어댑터', 0.85, 2),
+                      ('FB-3', 'MagSafe 충전기', 0.8, 3)) f(product_id, product_name, score, rank)"""
+
+
+@register("w8_growth_fallback", _w8_sql())
 def w8(spark, d):
     s, sc = _scored(spark, d)
     return W.growth_fallback(s, sc)
 
 
-@register("w10_bundle_rank", None, note="rows-only")
+W10_SQL = with_sales(W1_CTE + """,
+mx AS (SELECT store_id, max(price) AS mp FROM w1 GROUP BY 1),
+m AS (SELECT w1.store_id, min(w1.product_id) AS main_id FROM w1 JOIN mx ON w1.store_id = mx.store_id AND w1.price = mx.mp GROUP BY 1),
+mm AS (SELECT m.store_id, m.main_id, w1.price AS main_price, list_transform(w1.compatibility_tags, lambda t: lower(t)) AS mtags
+       FROM m JOIN w1 ON w1.store_id = m.store_id AND w1.product_id = m.main_id),
+pr AS (SELECT mm.store_id, mm.main_id, mm.main_price, c.product_id, c.price, c.margin, c.stock_age
+       FROM mm JOIN w1 c ON c.store_id = mm.store_id AND c.product_id <> mm.main_id
+       WHERE list_has_any(mm.mtags, list_transform(c.compatibility_tags, lambda t: lower(t))) AND c.stock > 0),
+sc AS (SELECT *, CASE WHEN main_price <= 0 THEN 0.5 ELSE least(price / main_price, 1.2) END AS base,
+              CASE WHEN main_price > 0 THEN price / main_price ELSE 0.0 END AS ratio FROM pr),
+sc2 AS (SELECT *, least(greatest(base, 0.1), 1.0) AS bn0,
+               least(greatest(margin, 0.0), 1.0) * CASE WHEN stock_age >= 90 THEN 1.5 ELSE 1.0 END AS inv FROM sc),
+sc3 AS (SELECT *, round_even(CASE WHEN main_price >= 1000.0 THEN CASE WHEN ratio < 0.2 THEN bn0 * 0.6 WHEN ratio < 0.4 THEN bn0 * 0.8
+                                  ELSE bn0 END ELSE bn0 END, 4) AS ceo_score,
+               round_even(least(inv, 1.5), 4) AS investor_score, 0.5 AS seller_score FROM sc2),
+sc4 AS (SELECT *, round_even((3000 * CAST(round(ceo_score * 10000) AS BIGINT) + 4000 * CAST(round(investor_score * 10000) AS BIGINT)
+                             + 3000 * CAST(round(seller_score * 10000) AS BIGINT)) / 10000.0, 0) / 10000.0 AS total_score,
+               list_filter(['메인 기기와 호환성이 높아 번들 제안에 자연스럽습니다',
+                            CASE WHEN main_price >= 1000.0 AND ceo_score >= 0.8 THEN '프리미엄 메인 기기와 가격·브랜드 톤이 잘 맞습니다'
+                                 WHEN ceo_score >= 0.7 THEN '가격대와 브랜드 포지션이 메인 기기와 균형을 이룹니다' END,
+                            CASE WHEN investor_score > 1.0 THEN '재고령이 길어 마진과 재고 턴오버 개선에 유리합니다'
+                                 WHEN investor_score >= 0.8 THEN '마진과 재고 상태가 양호해 점포 수익성에 기여합니다' END,
+                            CASE WHEN seller_score >= 0.8 THEN '설명이 간단하고 교차 판매 제안이 쉬워 판매자 입장에서 다루기 편합니다' END],
+                           lambda x: x IS NOT NULL) AS clauses FROM sc3)
+SELECT store_id, main_id, product_id, total_score, ceo_score, investor_score, seller_score,
+       '이 제품은 ' || array_to_string(clauses[1:2], ' 그리고 ') || '로 인해 현재 가장 적합한 추천입니다' AS reason,
+       CAST(row_number() OVER (PARTITION BY store_id, main_id ORDER BY total_score DESC, product_id) AS INTEGER) AS rank
+FROM sc4""", launch=True)
+
+
+@register("w10_bundle_rank", W10_SQL)
 def w10(spark, d):
     s = tpch_sales(spark, d, launch=True)
     prods = W.engine_products(s, AS_OF)

@@ -85,3 +85,22 @@ def test_demand_dashboard_fallback(spark):
            for r in demand_dashboard(df, "continent", 2000).collect()}
     assert got[("Asia", "X")] == (3, False, 5)
     assert got[("Europe", "X")] == (3, True, 5) and got[("Europe", "Y")] == (2, True, 5)
+
+
+def test_growth_fallback_when_nothing_passes(spark):
+    from shelfcast.operators import scoring as W
+    prods = spark.createDataFrame(
+        [("s1", "p1", "Widget", 50.0, 0.35, 100, ["economy"], 1, None),
+         ("s2", "p2", "Widget", 50.0, 0.35, 10, ["promo"], 1, None)],
+        "store_id string, product_id string, product_name string, price double, margin double, stock_age int, "
+        "compatibility_tags array<string>, stock long, expected_eta string")
+    targets = spark.createDataFrame([("s1", ["large"], 900.0, None), ("s2", ["promo"], 900.0, None)],
+                                    "store_id string, target_tags array<string>, main_device_price double, target_charger string")
+    scored = W.score_products(prods, targets)
+    got = {r["store_id"]: r for r in scored.collect()}
+    assert got["s1"]["passed"] is False and got["s2"]["passed"] is True
+    # stock age 100 > 90: investor 0.35 x 1.5; operation 100/180
+    assert got["s2"]["rank"] == 1 and got["s1"]["rank"] is None
+    sales = spark.createDataFrame([("s1",), ("s2",)], "store_id string")
+    fb = {(r["store_id"], r["rank"]): r["product_id"] for r in W.growth_fallback(sales, scored).collect()}
+    assert fb == {("s1", 1): "FB-1", ("s1", 2): "FB-2", ("s1", 3): "FB-3"}
