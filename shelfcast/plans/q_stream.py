@@ -14,14 +14,16 @@ SELECT strftime(time_bucket(INTERVAL 10 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS win
 FROM (SELECT ts, json_extract_string(props, '$.k') AS product_id, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS v
       FROM events WHERE event_type IN ('click', 'view')) GROUP BY 1, 2""")
 def x1(spark, d):
-    out = X.run_available_now(X.stream_feedback(X.events_stream(spark, f"{d}/events.parquet")), "feedback")
+    out = X.run_available_now(X.stream_feedback(X.events_stream(spark, f"{d}/events.parquet")), "feedback",
+                              keys=["w", "product_id"])
     return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "product_id",
                       "impressions", "clicks")
 
 
 @register("x2_stream_funnel", None, note="approximate distinct users; rows-only")
 def x2(spark, d):
-    out = X.run_available_now(X.stream_funnel(X.events_stream(spark, f"{d}/events.parquet")), "funnel")
+    out = X.run_available_now(X.stream_funnel(X.events_stream(spark, f"{d}/events.parquet")), "funnel",
+                              keys=["w", "stage"])
     return out.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "stage", "users")
 
 

@@ -33,19 +33,30 @@ def _scratch(spark: SparkSession, name: str) -> tuple[str, str]:
     return f"{base}/stream-{name}-{run}/out", f"{base}/stream-{name}-{run}/checkpoint"
 
 
-def run_available_now(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drain a streaming DataFrame once; each micro-batch's result replaces
-    (complete) or extends (append/update) a Parquet table; return it."""
+def run_available_now(df: DataFrame, name: str, mode: str = "update", keys: list[str] | None = None) -> DataFrame:
+    """Drain a streaming DataFrame once (``availableNow``) into a Parquet
+    table and return the current result.
+
+    ``update`` (default for aggregations): each micro-batch appends the
+    rows it changed, tagged with the batch id; reading keeps the latest
+    version per ``keys``. Watermarks evict old state, so state stays
+    bounded and the sink never rewrites what it already holds.
+    ``append``: rows are final when emitted (e.g. alerts)."""
     spark = df.sparkSession
     out, ckpt = _scratch(spark, name)
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.withColumn("_batch", F.lit(int(epoch))).write.mode("append").parquet(out)
 
     q = (df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", ckpt)
            .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    res = spark.read.parquet(out)
+    if mode == "update" and keys:
+        from pyspark.sql import Window
+        w = Window.partitionBy(*keys).orderBy(F.desc("_batch"))
+        res = res.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    return res.drop("_batch")
 
 
 def file_glob(path: str) -> str:

@@ -26,7 +26,8 @@ def test_entry_smoke(spark):
 
 def test_stream_feedback_equals_batch(spark):
     from shelfcast.streaming import jobs as X
-    s = X.run_available_now(X.stream_feedback(X.events_stream(spark, f"{SMOKE}/events.parquet")), "t1")
+    s = X.run_available_now(X.stream_feedback(X.events_stream(spark, f"{SMOKE}/events.parquet")), "t1",
+                            keys=["w", "product_id"])
     ev = spark.read.parquet(f"{SMOKE}/events.parquet")
     b = X.stream_feedback(ev)  # same plan as a batch query
     key = ["w", "product_id", "impressions", "clicks"]
