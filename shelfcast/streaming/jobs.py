@@ -91,39 +91,56 @@ def stream_funnel(events: DataFrame) -> DataFrame:
 
 
 ALERT_SCHEMA = "store_name string, product_id string, sale_id string, stock long, safety_stock long, health_index double"
+STATE_SCHEMA = "products array<string>, stock array<long>, safety array<long>, alerted array<boolean>"
+STATE_BUCKETS = 16
 
 
 def _stock_alerts(key, pdfs, state):
-    """Per (store, product): running stock = opening inventory - sold
-    quantity, in (sale_date, sale_id) order; one alert the first time the
-    health index drops below 70."""
-    store, product = key
+    """State per (store, product bucket): running stock, safety stock and an
+    alerted flag for each product, as parallel arrays. Each micro-batch is
+    processed vectorised: rows sorted by (product, sale_date, sale_id),
+    running stock = opening (or carried) stock - cumulative quantity, and
+    one alert per product the first time the health index drops below 70."""
+    store = key[0]
+    pdf = pd.concat(list(pdfs), ignore_index=True)
     if state.exists:
-        stock, safety, alerted = state.get
+        p0, s0, f0, a0 = state.get
+        prev = pd.DataFrame({"product_id": list(p0), "carry": list(s0), "sf0": list(f0), "was": list(a0)})
     else:
-        stock, safety, alerted = None, None, False
-    rows = []
-    for pdf in pdfs:
-        pdf = pdf.sort_values(["sale_date", "sale_id"])
-        for sid, q, inv0, sf in zip(pdf["sale_id"], pdf["quantity"], pdf["inventory"], pdf["safety_stock"]):
-            if stock is None:
-                stock, safety = int(inv0), int(sf)
-            stock -= int(q)
-            health = stock / safety * 100.0 if safety > 0 else 0.0
-            if not alerted and health < CRITICAL_HEALTH:
-                alerted = True
-                rows.append((store, product, sid, stock, safety, round(health, 1)))
-    state.update((stock, safety, alerted))
-    yield pd.DataFrame(rows, columns=["store_name", "product_id", "sale_id", "stock", "safety_stock", "health_index"])
+        prev = pd.DataFrame({"product_id": pd.Series([], dtype=object), "carry": pd.Series([], dtype="int64"),
+                             "sf0": pd.Series([], dtype="int64"), "was": pd.Series([], dtype=bool)})
+    pdf = pdf.sort_values(["product_id", "sale_date", "sale_id"], kind="mergesort").merge(prev, on="product_id", how="left")
+    start = pdf["carry"].where(pdf["carry"].notna(), pdf.groupby("product_id")["inventory"].transform("first"))
+    safety = pdf["sf0"].where(pdf["sf0"].notna(), pdf.groupby("product_id")["safety_stock"].transform("first"))
+    pdf["stock"] = (start - pdf.groupby("product_id")["quantity"].cumsum()).astype("int64")
+    pdf["safety"] = safety.astype("int64")
+    pdf["health"] = (pdf["stock"] / pdf["safety"].where(pdf["safety"] > 0) * 100.0).fillna(0.0)
+    was = pdf["was"].fillna(False).astype(bool)
+    low = (pdf["health"] < CRITICAL_HEALTH) & ~was
+    first_low = low & (low.groupby(pdf["product_id"]).cumsum() == 1)
+    hits = pdf[first_low]
+    last = pdf.groupby("product_id").agg(stock=("stock", "last"), safety=("safety", "last"))
+    alerted = (low.groupby(pdf["product_id"]).any() | was.groupby(pdf["product_id"]).any()).reindex(last.index)
+    keep = prev[~prev["product_id"].isin(last.index)]
+    state.update((list(keep["product_id"]) + list(last.index),
+                  [int(x) for x in keep["carry"]] + [int(x) for x in last["stock"]],
+                  [int(x) for x in keep["sf0"]] + [int(x) for x in last["safety"]],
+                  [bool(x) for x in keep["was"]] + [bool(x) for x in alerted]))
+    yield pd.DataFrame({"store_name": store, "product_id": hits["product_id"].astype(str), "sale_id": hits["sale_id"].astype(str),
+                        "stock": hits["stock"].astype("int64"), "safety_stock": hits["safety"].astype("int64"),
+                        "health_index": hits["health"].round(1)})
 
 
 def stream_critical_alerts(sales_stream: DataFrame, opening: DataFrame) -> DataFrame:
     """Stateful running stock per (store, product) with
     ``applyInPandasWithState``; ``opening`` (static: store_name, product_id,
-    inventory, safety_stock) is joined to the stream."""
+    inventory, safety_stock) is joined to the stream. State is keyed by
+    (store, product-hash bucket) so each call handles many products at once
+    and a large store is still spread over several keys."""
     s = sales_stream.join(opening, ["store_name", "product_id"])
-    return s.groupBy("store_name", "product_id").applyInPandasWithState(
-        _stock_alerts, ALERT_SCHEMA, "stock long, safety long, alerted boolean", "append", GroupStateTimeout.NoTimeout)
+    s = s.withColumn("_bucket", F.pmod(F.xxhash64("product_id"), F.lit(STATE_BUCKETS)))
+    return s.groupBy("store_name", "_bucket").applyInPandasWithState(
+        _stock_alerts, ALERT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
 def critical_alerts_batch(sales: DataFrame, opening: DataFrame) -> DataFrame:
