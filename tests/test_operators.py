@@ -104,3 +104,32 @@ def test_growth_fallback_when_nothing_passes(spark):
     sales = spark.createDataFrame([("s1",), ("s2",)], "store_id string")
     fb = {(r["store_id"], r["rank"]): r["product_id"] for r in W.growth_fallback(sales, scored).collect()}
     assert fb == {("s1", 1): "FB-1", ("s1", 2): "FB-2", ("s1", 3): "FB-3"}
+
+
+def test_latent_demand_matches_numpy_svd(spark):
+    import datetime as dt
+    import numpy as np
+    from shelfcast.operators import recommend as R
+    rng = np.random.default_rng(3)
+    n_s, n_p = 7, 12
+    x = np.where(rng.random((n_s, n_p)) < 0.45, rng.integers(1, 9, (n_s, n_p)), 0).astype(float)
+    rows, k = [], 0
+    for i in range(n_s):
+        for j in range(n_p):
+            if x[i, j] > 0:
+                k += 1
+                rows.append((f"t{k}", dt.date(2000, 1, 1), f"s{i}", f"p{j:02d}", int(x[i, j])))
+    sales = spark.createDataFrame(rows, "sale_id string, sale_date date, store_id string, product_id string, quantity int")
+    got = {}
+    for r in R.latent_demand(sales, top_n=3, max_rank=3).collect():
+        got.setdefault(r["store_id"], []).append((r["rank"], r["product_id"], r["predicted_sales"]))
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    kk = max(2, min(3, n_s - 1, n_p - 1))
+    xk = (u[:, :kk] * s[:kk]) @ vt[:kk]
+    for i in range(n_s):
+        cand = [(-xk[i, j], f"p{j:02d}") for j in range(n_p) if x[i, j] == 0 and xk[i, j] > 1e-9]
+        want = [p for _, p in sorted(cand)[:3]]
+        mine = [p for _, p, _ in sorted(got.get(f"s{i}", []))]
+        assert mine == want
+        for _, p, v in got.get(f"s{i}", []):
+            assert abs(v - round(xk[i, int(p[1:])], 2)) < 0.011
