@@ -71,7 +71,8 @@ def cents_to_money(c: Column, scale: int = 2) -> Column:
 
 def round_decimal(c: Column, scale: int) -> Column:
     """Round a computed double half-up in decimal arithmetic: the value is
-    first snapped to 12 decimal places (removing binary noise such as
+    first snapped to 6 decimal places (removing binary noise such as
     24.0249999...), so exact ties round the same on every engine. DuckDB:
-    ``CAST(round(CAST(x AS DECIMAL(38,12)), s) AS DOUBLE)``."""
-    return F.round(c.cast("decimal(38,12)"), scale).cast("double")
+    ``CAST(round(CAST(x AS DECIMAL(38,6)), s) AS DOUBLE)``; 6 places keep the
+    scaled value well inside exact double range on both engines."""
+    return F.round(c.cast("decimal(38,6)"), scale).cast("double")

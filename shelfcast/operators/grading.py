@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.functions.numeric import cents, round_int
+from shelfcast.functions.numeric import cents, round_decimal, round_int
 from shelfcast.functions.text import strip_brand
 from shelfcast.operators.forecast import endpoint_trend, sales_forecast_from_qty
 from shelfcast.sources.tpch import BASE_YEARS, TARGET_YEAR
@@ -108,7 +108,7 @@ def price_demand_scatter(sales: DataFrame, product_name: str | None = None, limi
         s = s.filter(F.col("product_name") == product_name.strip())
     w = Window.partitionBy("product_name").orderBy("sale_date", "sale_id")
     return (s.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
-             .select("product_name", F.bround("p", 2).alias("price"), round_int(F.col("q")).alias("quantity")))
+             .select("product_name", round_decimal(F.col("p"), 2).alias("price"), round_int(F.col("q")).alias("quantity")))
 
 
 def top20_achievement(graded: DataFrame, n: int = 20) -> DataFrame:

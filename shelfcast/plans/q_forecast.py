@@ -200,7 +200,7 @@ g AS (SELECT product_id, qi0, CAST(r.q AS DOUBLE) AS q0,
              least(greatest(CASE WHEN r.prev > 0 THEN (r.q - r.prev) / r.prev ELSE 0.0 END, -0.25), 0.25) AS growth FROM l),
 f AS (SELECT g.*, i, qi0 + i AS qi FROM g, range(1, 7) r(i))
 SELECT product_id, CAST(floor(qi / 4) AS INTEGER) || '-Q' || CAST(qi % 4 + 1 AS INTEGER) AS month,
-       round_even(growth, 4) AS growth, CAST(round(CAST(q0 * pow(1 + growth, i) AS DECIMAL(38, 12)), 2) AS DOUBLE) AS yhat
+       round_even(growth, 4) AS growth, CAST(round(CAST(q0 * pow(1 + growth, i) AS DECIMAL(38, 6)), 2) AS DOUBLE) AS yhat
 FROM f"""))
 def d10(spark, d):
     return D.quarter_growth_fallback(_quarterly(spark, d))
@@ -236,3 +236,14 @@ def d12(spark, d):
     from shelfcast.operators.inventory import quarter_demand_chart, quarter_forecast_share
     s = tpch_sales(spark, d)
     return D.actual_predicted_merge(quarter_demand_chart(s), quarter_forecast_share(s))
+
+
+@register("g4_price_demand_scatter", with_sales("""
+SELECT product_name, CAST(round(CAST(p AS DECIMAL(38, 6)), 2) AS DOUBLE) AS price, CAST(round_even(q, 0) AS BIGINT) AS quantity FROM (
+  SELECT trim(product_name) AS product_name, total_sales / quantity AS p, CAST(quantity AS DOUBLE) AS q,
+         row_number() OVER (PARTITION BY trim(product_name) ORDER BY sale_date, sale_id) AS rn
+  FROM sales WHERE quantity IS NOT NULL AND total_sales IS NOT NULL AND total_sales / quantity IS NOT NULL)
+WHERE rn <= 500"""))
+def g4s(spark, d):
+    s = tpch_sales(spark, d).withColumn("unit_price", F.col("total_sales") / F.col("quantity"))
+    return G.price_demand_scatter(s, price_col="unit_price")

@@ -63,3 +63,11 @@ def test_store_name_candidates():
     c = store_name_candidates("소호(SoHo)")
     assert c[0] == "SoHo" and "소호(SoHo)" in c
     assert "Rideau Center" in store_name_candidates("Rideau Centre")
+
+
+def test_period_labels(spark):
+    import datetime as dt
+    from shelfcast.functions.calendar import period_label, quarter_index
+    df = spark.createDataFrame([(dt.date(2020, 2, 29),), (dt.date(2021, 12, 31),)], "d date")
+    r = df.select(period_label("d").alias("en"), period_label("d", "ko").alias("ko"), quarter_index("d").alias("qi")).collect()
+    assert [(x["en"], x["ko"], x["qi"]) for x in r] == [("2020-Q1", "2020 1분기", 8080), ("2021-Q4", "2021 4분기", 8087)]
