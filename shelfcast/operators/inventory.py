@@ -347,3 +347,23 @@ def quarter_demand_chart(sales: DataFrame, start_year: int = BASE_YEARS[0]) -> D
     return s.groupBy("product_id", _quarter_label().alias("month")).agg(
         F.sum(F.coalesce("quantity", F.lit(0))).cast("double").alias("yhat"),
         F.sum("store_stock_quantity").cast("double").alias("store_stock_quantity"))
+
+
+def tolerant_stock_signal(lst: DataFrame, product_name: str, store_name: str | None = None) -> DataFrame:
+    """J8 + I21 for one request: the first I7 row (largest frozen money
+    first) whose product name equals, contains or is contained in
+    ``product_name`` and whose store matches (blank, equal or containing
+    ``store_name``); if no row matches the store, the first product-only
+    match. Returns at most one row with ``signal`` red / green (green when
+    safety stock is 0). The request values are literals: a filter, no join."""
+    p = (product_name or "").strip()
+    if not p:
+        return lst.limit(0).withColumn("signal", F.lit(None).cast("string"))
+    name = F.coalesce(F.col("product_name"), F.lit(""))
+    prod_ok = (name == p) | name.contains(p) | F.lit(p).contains(name)
+    st = F.coalesce(F.col("store_name"), F.lit(""))
+    store_ok = (st == "") | F.lit(not store_name) | (st == (store_name or "")) | st.contains(store_name or "\u0000")
+    cand = lst.filter(prod_ok).withColumn("_pref", F.when(store_ok, 0).otherwise(1))
+    best = cand.orderBy("_pref", F.desc("frozen_money"), "store_name", "product_id").limit(1).drop("_pref")
+    signal = F.when(F.col("safety_stock") <= 0, "green").when(F.col("inventory") < F.col("safety_stock"), "red").otherwise("green")
+    return best.withColumn("signal", signal)

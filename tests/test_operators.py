@@ -133,3 +133,19 @@ def test_latent_demand_matches_numpy_svd(spark):
         assert mine == want
         for _, p, v in got.get(f"s{i}", []):
             assert abs(v - round(xk[i, int(p[1:])], 2)) < 0.011
+
+
+def test_tolerant_stock_signal(spark):
+    from shelfcast.operators.inventory import tolerant_stock_signal
+    lst = spark.createDataFrame(
+        [("Apple SoHo", "p1", "MacBook Pro 16-inch", 2, 5, "Danger", 50.0, 1.0),
+         ("Apple Ginza", "p1", "MacBook Pro 16-inch", 9, 5, "Normal", 90.0, 1.0),
+         ("Apple SoHo", "p2", "iPad", 1, 0, "Normal", 10.0, 1.0)],
+        "store_name string, product_id string, product_name string, inventory long, safety_stock long, "
+        "status string, frozen_money double, price double")
+    r = tolerant_stock_signal(lst, "MacBook Pro", "SoHo").collect()
+    assert len(r) == 1 and r[0]["store_name"] == "Apple SoHo" and r[0]["signal"] == "red"
+    r = tolerant_stock_signal(lst, "MacBook Pro 16-inch (2023)", "Nowhere").collect()
+    assert r[0]["store_name"] == "Apple Ginza" and r[0]["signal"] == "green"   # product-only fallback, most frozen
+    assert tolerant_stock_signal(lst, "iPad", None).collect()[0]["signal"] == "green"   # safety 0
+    assert tolerant_stock_signal(lst, "", None).count() == 0
