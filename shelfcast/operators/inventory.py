@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.numeric import cents, hash_uniform, round_int
 from shelfcast.functions.rows import first_row
-from shelfcast.functions.text import norm_text
 from shelfcast.operators.forecast import predicted_quantity
 from shelfcast.sources.tpch import BASE_YEARS, TARGET_YEAR
 

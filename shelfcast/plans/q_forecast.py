@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.operators import forecast as D
 from shelfcast.operators import grading as G
-from shelfcast.plans.catalog import MS, register, sql_forecast_ctes, sql_norm_text as NT, sql_ols, sql_years
+from shelfcast.plans.catalog import MS, register, sql_forecast_ctes, sql_ols, sql_years
 from shelfcast.sources.tpch import BASE_YEARS, TARGET_YEAR, tpch_sales, with_sales
 
 Y = sql_years(*BASE_YEARS)

@@ -57,7 +57,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives the
-    loss of executors, unlike a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a table written once into the shared checkpoint
+    folder and read back (Parquet). Unlike ``Dataset.checkpoint`` without a
+    cache, the plan runs once; unlike a local checkpoint, the result
+    survives the loss of executors."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex[:16]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
