@@ -83,9 +83,15 @@ def dashboard_sample(sales: DataFrame, n: int = SAMPLE_ROWS, min_year: int = SAM
     per = s.groupBy("country").agg(F.count(F.lit(1)).alias("_c"))
     total = s.select(F.count(F.lit(1))).scalar()
     quota = per.select("country", F.ceil(F.col("_c") * n / total).alias("_q"))
+    # The literal bound (no country needs more than n rows, plus rounding)
+    # lets Spark insert a partial WindowGroupLimit before the shuffle, so a
+    # country holding a third of all rows still sends at most that many rows
+    # per partition; each country's own quota is applied afterwards.
+    bound = int(n) + 1
     w = Window.partitionBy("country").orderBy("_h")
-    return (s.join(quota, "country").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("_q"))
-             .drop("_h", "_r", "_q"))
+    ranked = s.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= bound)
+    return (ranked.join(F.broadcast(quota), "country").filter(F.col("_r") <= F.col("_q"))
+              .drop("_h", "_r", "_q"))
 
 
 def enrich_inventory(sales: DataFrame, patch: DataFrame) -> DataFrame:

@@ -75,3 +75,18 @@ def test_export_enrich_append(spark):
     res = K.feedback_append(fb, log).collect()[0]
     assert sorted(res["clicked_items"]) == ["p1", "p3"]
     assert spark.read.json(log).count() == 1
+
+
+def test_stratified_sample_quotas(spark):
+    from shelfcast.operators.prep import dashboard_sample
+    from shelfcast.sources.tpch import tpch_sales
+    s = tpch_sales(spark, SMOKE)
+    out = dashboard_sample(s, n=600, min_year=1996, stratify=True)
+    got = {r["country"]: r["c"] for r in out.groupBy("country").count().withColumnRenamed("count", "c").collect()}
+    base = s.filter("sale_year >= 1996")
+    total = base.count()
+    for r in base.groupBy("country").count().collect():
+        import math
+        assert got.get(r["country"], 0) == min(r["count"], math.ceil(r["count"] * 600 / total))
+    plain = dashboard_sample(s, n=600, min_year=1996).count()
+    assert plain == 600
