@@ -90,3 +90,24 @@ def test_stratified_sample_quotas(spark):
         assert got.get(r["country"], 0) == min(r["count"], math.ceil(r["count"] * 600 / total))
     plain = dashboard_sample(s, n=600, min_year=1996).count()
     assert plain == 600
+
+
+def test_csv_and_feedback_readers(spark):
+    import json
+    from shelfcast.sources.files import scan_csv, scan_feedback
+    d = tempfile.mkdtemp(prefix="csv-")
+    with open(os.path.join(d, "a.csv"), "w", encoding="utf-8") as f:
+        f.write("﻿sale_id,Sale_Date,store_id,Product_Name,quantity,price,Store_Name,Country\n")
+        f.write("s1,2024-01-05 10:00,ST-1,'MacBook Pro',2,10.50,Apple SoHo,nan\n")
+        f.write("s2,bad-date,ST-1,iPad,x,3,Apple SoHo,United States\n")
+    rows = {r["sale_id"]: r for r in scan_csv(spark, d).collect()}
+    assert str(rows["s1"]["sale_date"]) == "2024-01-05" and rows["s1"]["product_name"] == "MacBook Pro"
+    assert rows["s1"]["total_sales"] == 21.0 and rows["s1"]["country"] == ""
+    assert rows["s2"]["sale_date"] is None and rows["s2"]["quantity"] == 0 and rows["s2"]["total_sales"] == 0.0
+    assert rows["s2"]["city"] == "" and rows["s2"]["inventory"] is None
+    fd = tempfile.mkdtemp(prefix="fbjson-")
+    with open(os.path.join(fd, "feedback_20260224.json"), "w", encoding="utf-8") as f:
+        json.dump([{"ts": "2026-02-24T10:00:00", "store_id": "ST-1", "user_id": 1,
+                    "feedback": {"p1": 1, "p2": 0}, "clicked_items": ["p1"]}], f)
+    fb = scan_feedback(spark, fd).collect()
+    assert len(fb) == 1 and fb[0]["feedback"] == {"p1": 1, "p2": 0} and fb[0]["clicked_items"] == ["p1"]
