@@ -111,3 +111,22 @@ def test_csv_and_feedback_readers(spark):
                     "feedback": {"p1": 1, "p2": 0}, "clicked_items": ["p1"]}], f)
     fb = scan_feedback(spark, fd).collect()
     assert len(fb) == 1 and fb[0]["feedback"] == {"p1": 1, "p2": 0} and fb[0]["clicked_items"] == ["p1"]
+
+
+def test_coerce_and_scan_sales(spark):
+    from shelfcast.operators.prep import coerce_sales
+    from shelfcast.sources.files import scan_sales
+    raw = spark.createDataFrame([("a", "12", "9.999", "2024-03-01xx", "", None), ("b", "oops", "x", "24-3-1", "Danger", "3")],
+                                "sale_id string, quantity string, price string, sale_date string, status string, inventory string")
+    got = {r["sale_id"]: r for r in coerce_sales(raw).collect()}
+    assert got["a"]["quantity"] == 12 and str(got["a"]["price"]) == "10.00" and str(got["a"]["sale_date"]) == "2024-03-01"
+    assert got["a"]["status"] == "Normal" and got["a"]["inventory"] == 0
+    assert got["b"]["quantity"] == 0 and str(got["b"]["price"]) == "0.00" and got["b"]["sale_date"] is None
+    assert got["b"]["status"] == "Danger" and got["b"]["inventory"] == 3
+    d = tempfile.mkdtemp(prefix="pq-")
+    spark.createDataFrame([("s1", "2023-05-06", "ST-2", "AirPods", 3, 100.0, "Apple Ginza")],
+                          "sale_id string, Sale_Date string, store_id string, Product_Name string, quantity int, "
+                          "price double, Store_Name string").write.mode("overwrite").parquet(d + "/t")
+    r = scan_sales(spark, d + "/t").collect()[0]
+    assert r["product_name"] == "AirPods" and r["store_name"] == "Apple Ginza" and r["sale_year"] == 2023
+    assert r["total_sales"] == 300.0 and r["safety_stock"] is None
