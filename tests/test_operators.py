@@ -149,3 +149,42 @@ def test_tolerant_stock_signal(spark):
     assert r[0]["store_name"] == "Apple Ginza" and r[0]["signal"] == "green"   # product-only fallback, most frozen
     assert tolerant_stock_signal(lst, "iPad", None).collect()[0]["signal"] == "green"   # safety 0
     assert tolerant_stock_signal(lst, "", None).count() == 0
+
+
+def _sales(spark, rows):
+    import datetime as dt
+    return spark.createDataFrame(
+        [(f"x{i}", dt.date.fromordinal(d), s, p, b, q, 1.0 * q) for i, (d, s, p, b, q) in enumerate(rows)],
+        "sale_id string, sale_date date, store_id string, product_id string, basket_id string, quantity int, total_sales double")
+
+
+def test_fixture_gap_days(spark):
+    import datetime as dt
+    from shelfcast.operators.forecast import daily_sales_dense
+    d0 = dt.date(2024, 1, 1).toordinal()
+    s = _sales(spark, [(d0, "s", "p", "b1", 2), (d0 + 1, "s", "p", "b2", 3), (d0 + 9, "s", "p", "b3", 4)])
+    out = daily_sales_dense(s).collect()
+    assert len(out) == 10 and sum(1 for r in out if r["value"] == 0) == 7
+
+
+def test_fixture_windows_90d(spark):
+    import datetime as dt
+    from shelfcast.operators.recommend import trend
+    last = dt.date(2024, 6, 30).toordinal()
+    s = _sales(spark, [(last, "s1", "Z", "b1", 1), (last - 90, "s2", "A", "b2", 5),
+                       (last - 180, "s2", "B", "b3", 4), (last, "s2", "B", "b4", 10)])
+    got = {(r["store_id"], r["product_id"]): (r["growth_rate"], r["recent_sales"]) for r in trend(s).collect()}
+    assert got[("s1", "A")] == (999.0, 5)        # L-90 is inside the recent window; new product
+    assert got[("s1", "B")] == (150.0, 10)       # L-180 is inside the previous window
+    assert ("s2", "A") not in got and ("s2", "B") not in got   # owned products are never recommended
+
+
+def test_fixture_baskets(spark):
+    import datetime as dt
+    from shelfcast.operators.recommend import association
+    d = dt.date(2024, 1, 1).toordinal()
+    s = _sales(spark, [(d, "s1", "p1", "b1", 5), (d, "s2", "p2", "b1", 1), (d, "s1", "p1", "b2", 5),
+                       (d, "s2", "p2", "b2", 1), (d, "s3", "p3", "b3", 1), (d, "s3", "p4", "b4", 1)])
+    got = {(r["store_id"], r["product_id"]): (r["lift"], r["confidence"], r["support"]) for r in association(s).collect()}
+    assert got[("s1", "p2")] == (2.0, 1.0, 0.5) and got[("s2", "p1")] == (2.0, 1.0, 0.5)
+    assert not any(k[0] == "s3" for k in got)   # single-item baskets give no pairs
