@@ -188,3 +188,34 @@ def test_fixture_baskets(spark):
     got = {(r["store_id"], r["product_id"]): (r["lift"], r["confidence"], r["support"]) for r in association(s).collect()}
     assert got[("s1", "p2")] == (2.0, 1.0, 0.5) and got[("s2", "p1")] == (2.0, 1.0, 0.5)
     assert not any(k[0] == "s3" for k in got)   # single-item baskets give no pairs
+
+
+def test_fixture_vectors(spark):
+    import datetime as dt
+    from shelfcast.operators.recommend import store_neighbours
+    d = dt.date(2024, 1, 1).toordinal()
+    s = _sales(spark, [(d, "a", "p1", "b", 1), (d, "a", "p2", "b", 1), (d, "b", "p1", "b", 1), (d, "b", "p2", "b", 1),
+                       (d, "c", "p1", "b", 1), (d, "c", "p3", "b", 1), (d, "d", "p4", "b", 1)])
+    got = {(r["store_id"], r["other_store"]): round(r["similarity"], 9) for r in store_neighbours(s, k=3).collect()}
+    assert got[("a", "b")] == 1.0 and got[("a", "c")] == 0.5 and got[("a", "d")] == 0.0
+
+
+def test_fixture_half_even(spark):
+    import datetime as dt
+    from shelfcast.operators.sales import store_sales
+    rows = [("s1", 0.5), ("s2", 1.5), ("s3", 2.5), ("s3", 0.0)]
+    df = spark.createDataFrame([(st, "c", "k", v, dt.date(1998, 1, 1), 1998) for st, v in rows],
+                               "store_id string, city string, country string, total_sales double, sale_date date, sale_year int")
+    got = {r["store_id"]: r["total_sales"] for r in store_sales(df, (1996, 2000)).collect()}
+    assert got == {"s1": 0, "s2": 2, "s3": 2}
+
+
+def test_fixture_names(spark):
+    from pyspark.sql import functions as F
+    from shelfcast.operators.filters import store_name_match
+    df = spark.createDataFrame([("Apple SoHo",), ("Apple Store SoHo",), ("SoHo",), ("Apple Rideau Center",), ("Apple Ginza",)],
+                               "n string")
+    hit = lambda name: sorted(r["n"] for r in df.filter(store_name_match(F.col("n"), name)).collect())
+    assert hit("소호(SoHo)") == ["Apple SoHo", "Apple Store SoHo", "SoHo"]
+    assert hit("Rideau Centre") == ["Apple Rideau Center"]
+    assert hit("") == []
