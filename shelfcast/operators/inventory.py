@@ -80,12 +80,17 @@ def inventory_snapshot(sales: DataFrame, product_col: str = "product_id", noise:
     inv = F.when(u("sale_id", "danger") < DANGER_SHARE,
                  F.greatest(F.floor(F.coalesce(safety, F.lit(1)) * factor), F.lit(0)).cast("long")).otherwise(inv)
     s = s.withColumn("inventory", inv.cast("long"))
-    status = (F.when(F.col("inventory") < safety, "Danger")
-               .when(F.col("inventory") > safety * OVERSTOCK_FACTOR, "Overstock").otherwise("Normal"))
-    return (s.withColumn("status", status)
+    return (s.withColumn("status", inventory_status(F.col("inventory"), safety))
              .withColumn("frozen_money", F.greatest((F.col("inventory") - q) * price, F.lit(0.0))))
 
 
+def inventory_status(inventory: Column, safety: Column) -> Column:
+    """Danger below safety stock, Overstock above 3 x safety, else
+    Normal (first match wins)."""
+    return (F.when(inventory < safety, "Danger")
+             .when(inventory > safety * OVERSTOCK_FACTOR, "Overstock").otherwise("Normal"))
+
+
 def health_index() -> Column:
     return F.when(F.col("safety_stock") > 0, F.col("inventory") / F.col("safety_stock") * 100.0).otherwise(0.0)
 

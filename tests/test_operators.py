@@ -219,3 +219,20 @@ def test_fixture_names(spark):
     assert hit("소호(SoHo)") == ["Apple SoHo", "Apple Store SoHo", "SoHo"]
     assert hit("Rideau Centre") == ["Apple Rideau Center"]
     assert hit("") == []
+
+
+def test_fixture_stock_edges(spark):
+    from shelfcast.operators.inventory import inventory_status
+    df = spark.createDataFrame([(10, 10), (30, 10), (31, 10), (9, 10), (0, 0), (1, 0)], "inv long, safety long")
+    got = [r["s"] for r in df.select(inventory_status(F.col("inv"), F.col("safety")).alias("s")).collect()]
+    assert got == ["Normal", "Normal", "Overstock", "Danger", "Normal", "Overstock"]
+
+
+def test_fixture_outlier_days(spark):
+    from shelfcast.operators.filters import iqr_outlier
+    vals = [8.0, 10.0, 12.0, 9.0, 11.0, 100.0, 10.0]
+    df = spark.createDataFrame([("s", i, v) for i, v in enumerate(vals)], "store_id string, day int, value double")
+    kept = sorted(r["day"] for r in iqr_outlier(df, ["store_id"], "value").collect())
+    assert kept == [0, 1, 2, 3, 4, 6]
+    flat = spark.createDataFrame([("s", i, 5.0) for i in range(4)] + [("s", 9, 50.0)], "store_id string, day int, value double")
+    assert iqr_outlier(flat, ["store_id"], "value").count() == 5   # IQR = 0: nothing removed
