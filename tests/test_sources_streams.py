@@ -130,3 +130,15 @@ def test_coerce_and_scan_sales(spark):
     r = scan_sales(spark, d + "/t").collect()[0]
     assert r["product_name"] == "AirPods" and r["store_name"] == "Apple Ginza" and r["sale_year"] == 2023
     assert r["total_sales"] == 300.0 and r["safety_stock"] is None
+
+
+def test_invariants_on_smoke_data(spark):
+    from shelfcast.operators import recommend as R
+    from shelfcast.operators.sales import country_category_share
+    from shelfcast.sources.tpch import tpch_sales
+    s = tpch_sales(spark, SMOKE)
+    tot = country_category_share(s).groupBy("country").agg(F.sum("pct").alias("t")).collect()
+    assert all(abs(r["t"] - 100.0) <= 0.5 for r in tot)
+    own = R.owned(s)
+    for df in (R.association(s), R.similar_store(s), R.latent_fallback(s), R.trend(s)):
+        assert df.join(own, ["store_id", "product_id"], "left_semi").count() == 0
