@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -237,3 +237,14 @@ def _across(state: DataFrame) -> DataFrame:
            .selectExpr("key", "rep AS x", "comp AS comp_x"))
     return (C.stored(few).join(state.hint("merge"), "key").filter("comp <> comp_x")
             .select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct())
+
+
+def deduplicated(docs: DataFrame, **kw) -> DataFrame:
+    """Rows of ``docs``, all columns: one document of each group of near
+    duplicates (its smallest doc_id), and of repeated rows one."""
+    kept = (near_duplicates(docs, **kw).filter("kept")
+            .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id")).distinct())
+    one = Window.partitionBy("__id", "__th").orderBy(F.lit(1))
+    return (docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+            .withColumn("__th", C.text_hash()).join(kept.hint("merge"), "__id", "left_semi")
+            .withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns))

@@ -190,6 +190,11 @@ def fit(stats: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, featur
     return model
 
 
+def stats_of(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return C.stored(rows.mapInArrow(stat_rows, "doc_id long, x array<float>"))
+
+
 def scores(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, threshold: float = 0.5) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of ``docs``.
 
@@ -197,8 +202,7 @@ def scores(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, thre
     are scored like any other. Without labels of both classes every score is
     0.5. Of several labels of a doc_id the larger counts. Extra columns are
     ignored; repeated rows score alike."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    stats = C.stored(rows.mapInArrow(stat_rows, "doc_id long, x array<float>"))
+    stats = stats_of(docs)
     model = fit(stats, labels, mod, held)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,3 +213,19 @@ def scores(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, thre
     out = stats.mapInArrow(score, "doc_id long, score double")
     return out.select("doc_id", (C.fold(mod) == held).alias("held_out"), "score",
                       (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, threshold: float = 0.5) -> DataFrame:
+    """Rows of ``docs``, all columns, that score ``threshold`` or more. Texts
+    are scored where they lie: only the labelled rows' statistics move."""
+    model = fit(stats_of(docs), labels, mod, held)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = np.full(b.num_rows, 0.5)
+            for at, texts in C.slices(b.column("text")):
+                if model:
+                    s[at:at + len(texts)] = model.score(statistics(texts).astype(np.float32).astype(float))
+            yield b.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
