@@ -9,13 +9,15 @@ table with probability 7e-6.
 Links are confirmed on full shingle sets. A pair need not be examined when
 both documents are already in one component, so groups are closed in rounds:
 
-* rounds of stars: in each bucket, members against one centre;
-* a last pass: in each bucket that still holds several components, the
-  members outside its largest component against all members of other ones.
+* stars: in each bucket, all members against ``PIVOTS`` of them (those first in
+  as many hash orders, so buckets that share members share pivots);
+* then, in each bucket that still holds several components, the members
+  outside its largest component against all members of other ones.
 
 No bucket, partner or candidate is capped. Two exact bounds drop pairs before
-their sets are fetched: set sizes, and a parity bitmap of the set (bits that
-differ are at least as many elements that differ).
+their sets are fetched: set sizes, and a parity bitmap of the set (at least as
+many elements differ as bits differ). The second step checks them inside the
+join.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from .components import components
 SHINGLE = 5
 HALVES, ROWS = 12, 2
 BITS = 1024
+PIVOTS = 8
 LINK = 85  # percent
 #: doc_id of rows without one sorts last.
 NO_ID = (1 << 63) - 1
@@ -87,13 +90,14 @@ def signature_rows(size: int, halves: int, rows: int, seeds: np.ndarray):
                     row = np.repeat(np.arange(m), n)
                     cell = np.bincount(row * BITS + (s >> np.uint64(54)).astype(np.int64), minlength=m * BITS)
                     bits = (cell & 1).astype(np.uint8).reshape(m, BITS)
-                packed = np.packbits(bits, axis=1)
+                packed = np.packbits(bits, axis=1).reshape(-1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(at, m), pa.array(n.astype(np.int64)), pa.array(C.as_long(s1)),
                      pa.array(C.as_long(s2)),
                      pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * halves),
                                               pa.array(C.as_long(half.reshape(-1)))),
-                     pa.array([x.tobytes() for x in packed], pa.binary())],
+                     pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * (BITS // 64)),
+                                              pa.array(packed))],
                     ["id", "n", "s1", "s2", "halves", "bits"])
     return run
 
@@ -109,19 +113,13 @@ def set_rows(size: int):
     return run
 
 
-def may_link(link: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                    for c in ("bits_a", "bits_b"))
-            differ = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
-            total = np.asarray(b.column("n_a")) + np.asarray(b.column("n_b"))
-            # J >= link/100  <=>  |A xor B| <= total * (100 - link) / (100 + link)
-            ok = pa.array(differ * (100 + link) <= total * (100 - link))
-            yield b.select(["a", "b"]).filter(ok)
-    return run
+def may_link(link: int, a: str, b: str) -> str:
+    """SQL condition that every linked pair meets: the sizes allow it, and not
+    too many bits of the two parity bitmaps differ.
+    J >= link/100  <=>  |A xor B| <= (|A| + |B|) * (100 - link) / (100 + link)."""
+    bits = " + ".join(f"bit_count({a}.bits[{i}] ^ {b}.bits[{i}])" for i in range(BITS // 64))
+    return (f"100 * least({a}.n, {b}.n) >= {link} * greatest({a}.n, {b}.n) "
+            f"AND ({bits}) * {100 + link} <= ({a}.n + {b}.n) * {100 - link}")
 
 
 def confirmed(link: int):
@@ -149,96 +147,69 @@ def near_duplicates(docs: DataFrame, link: int = LINK, shingle: int = SHINGLE, h
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
     sig = C.stored(base.withColumnRenamed("id", "doc_id").select("doc_id", "text").mapInArrow(
         signature_rows(shingle, halves, rows, _SEEDS[: 2 * halves * rows]),
-        "id long, n long, s1 long, s2 long, halves array<long>, bits binary"))
+        "id long, n long, s1 long, s2 long, halves array<long>, bits array<long>"))
     # one representative per distinct set: its smallest id
     reps = C.stored(sig.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))
     one = sig.select(F.col("id").alias("rep"), "s1", "s2", "n", "halves", "bits")
     one = C.stored(one.join(reps.hint("merge"), ["rep", "s1", "s2", "n"], "left_semi")
                    .dropDuplicates(["rep", "s1", "s2", "n"]))
 
-    half = one.select("rep", F.explode("halves").alias("half")).distinct()
+    half = one.select("rep", F.explode("halves").alias("half"))
     shared = C.stored(half.groupBy("half").count().filter("count > 1").select("half"))
-    mine = (half.join(shared.hint("merge"), "half").groupBy("rep").agg(F.sort_array(F.collect_set("half")).alias("h"))
-            .filter("size(h) > 1"))
+    mine = C.stored(half.join(shared.hint("merge"), "half").groupBy("rep")
+                    .agg(F.sort_array(F.collect_set("half")).alias("h")).filter("size(h) > 1"))
     # the tables: every pair of shared halves
     pairs = F.expr("flatten(transform(sequence(0, size(h) - 2), i -> transform(sequence(i + 1, size(h) - 1), "
                    "j -> xxhash64(h[i], h[j]))))")
     tables = mine.select("rep", F.explode(pairs).alias("key"))
-    full = C.stored(tables.groupBy("key").count().filter("count > 1").select("key"))
-    buckets = C.stored(tables.join(full.hint("merge"), "key").select("key", "rep"))
+    pivots = [F.min(F.struct(F.xxhash64("rep", F.lit(i)), "rep"))["rep"] for i in range(PIVOTS)]
+    stars = C.stored(tables.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.array_distinct(F.array(*pivots)).alias("p"))
+                     .filter("c > 1").select("key", "p"))
+    buckets = C.stored(tables.join(stars.hint("merge"), "key"))
 
-    wanted = buckets.select(F.col("rep").alias("id")).distinct()
+    wanted = C.stored(buckets.select(F.col("rep").alias("id")).distinct())
     sets = C.stored(base.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(
         set_rows(shingle), "id long, set binary"))
     about = C.stored(one.join(wanted.withColumnRenamed("id", "rep").hint("merge"), "rep", "left_semi")
                      .select("rep", "n", "bits"))
 
-    def verified(cand: DataFrame) -> DataFrame:
-        """Of distinct pairs a < b, those that link."""
-        x = about.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-        y = about.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-        left = (cand.join(x.hint("merge"), "a").join(y.hint("merge"), "b")
-                .filter(f"100 * least(n_a, n_b) >= {link} * greatest(n_a, n_b)")
-                .mapInArrow(may_link(link), "a long, b long").distinct())
-        left = C.stored(left)
+    def confirmed_links(cand: DataFrame) -> DataFrame:
+        """Of distinct pairs a < b, those that link on their full sets."""
         u = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
         v = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-        return C.stored(left.join(u.hint("merge"), "a").join(v.hint("merge"), "b")
-                        .mapInArrow(confirmed(link), "a long, b long").distinct())
-
-    links, tested = None, None
-    state = buckets.select("key", "rep", F.col("rep").alias("comp"))
-    for centre in ("min(rep)", "max(rep)", "min_by(rep, xxhash64(rep))", None):
-        if centre:
-            stars = C.stored(state.groupBy("key").agg(F.expr(centre).alias("c"), F.min("comp").alias("lo"),
-                                                      F.max("comp").alias("hi")).filter("lo < hi").select("key", "c"))
-            cand = state.join(stars.hint("merge"), "key").filter("rep <> c")
-            at = state.select(F.col("rep").alias("c"), F.col("comp").alias("comp_c")).distinct()
-            cand = (cand.select("rep", "comp", "c").distinct().join(at.hint("merge"), "c")
-                    .filter("comp <> comp_c"))
-            cand = cand.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-        else:
-            cand = _across(state)
-        if tested is not None:
-            cand = cand.join(tested.hint("merge"), ["a", "b"], "left_anti")
-        cand = C.stored(cand)
-        if cand.isEmpty():
-            break
-        new = verified(cand)
-        links = new if links is None else links.unionAll(new)
-        tested = cand if tested is None else tested.unionAll(cand)
+        return C.stored(cand.join(u.hint("merge"), "a").join(v.hint("merge"), "b")
+                        .mapInArrow(confirmed(link), "a long, b long"))
+
+    star = buckets.select("rep", F.explode("p").alias("q")).filter("rep <> q")
+    star = star.select(F.least("rep", "q").alias("a"), F.greatest("rep", "q").alias("b")).distinct()
+    x, y = (about.select(F.col("rep").alias(c), F.struct("n", "bits").alias(f"x_{c}")) for c in "ab")
+    tested = C.stored(star.join(x.hint("merge"), "a").join(y.hint("merge"), "b")
+                      .filter(may_link(link, "x_a", "x_b")).select("a", "b"))
+    links = confirmed_links(tested)
+    comp = C.stored(components(links)).withColumnRenamed("id", "rep")
+    state = C.stored(buckets.select("key", "rep").join(comp.hint("merge"), "rep", "left")
+                     .selectExpr("key", "rep", "coalesce(comp, rep) AS comp"))
+    size = state.groupBy("key", "comp").count()
+    mixed = C.stored(size.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"),
+                                             F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "main"))
+    state = C.stored(state.join(mixed.hint("merge"), "key").join(about.hint("merge"), "rep"))
+    m = state.alias("m")
+    o = state.alias("o")
+    cand = m.filter("comp <> main").join(
+        o.hint("merge"), F.expr(f"m.key = o.key AND m.comp <> o.comp AND {may_link(link, 'm', 'o')}"))
+    cand = cand.select(F.expr("least(m.rep, o.rep)").alias("a"), F.expr("greatest(m.rep, o.rep)").alias("b")).distinct()
+    cand = C.stored(cand.join(tested.hint("merge"), ["a", "b"], "left_anti"))
+    if not cand.isEmpty():
+        links = confirmed_links(cand).unionAll(comp.filter("rep <> comp").selectExpr("rep AS a", "comp AS b"))
         comp = C.stored(components(links)).withColumnRenamed("id", "rep")
-        if centre:
-            state = C.stored(buckets.join(comp.hint("merge"), "rep", "left")
-                             .selectExpr("key", "rep", "coalesce(comp, rep) AS comp"))
-            mixed = C.stored(state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                             .filter("lo < hi").select("key"))
-            state = C.stored(state.join(mixed.hint("merge"), "key", "left_semi"))
-            if state.isEmpty():
-                break
-    whole = reps.select("s1", "s2", "n", "rep")
-    if links is not None:
-        whole = C.stored(whole.join(comp.hint("merge"), "rep", "left")
-                         .select("s1", "s2", "n", F.coalesce("comp", "rep").alias("c")))
-    else:
-        whole = whole.withColumnRenamed("rep", "c")
+    whole = C.stored(reps.join(comp.hint("merge"), "rep", "left")
+                     .select("s1", "s2", "n", F.coalesce("comp", "rep").alias("c")))
     out = sig.select("id", "n", "s1", "s2").join(whole.hint("merge"), ["s1", "s2", "n"], "left")
     comp_id = F.coalesce("c", "id")
     return out.select(F.expr(f"nullif(id, {NO_ID})").alias("doc_id"), F.col("n").alias("n_shingles"),
                       F.when(comp_id != NO_ID, comp_id).alias("component_id"), (F.col("id") == comp_id).alias("kept"))
 
 
-def _across(state: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components, one of them outside the
-    bucket's largest component."""
-    size = state.groupBy("key", "comp").count()
-    main = C.stored(size.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main")))
-    few = (state.join(main.hint("merge"), "key").filter("comp <> main")
-           .selectExpr("key", "rep AS x", "comp AS comp_x"))
-    return (C.stored(few).join(state.hint("merge"), "key").filter("comp <> comp_x")
-            .select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct())
-
-
 def deduplicated(docs: DataFrame, **kw) -> DataFrame:
     """Rows of ``docs``, all columns: one document of each group of near
     duplicates (its smallest doc_id), and of repeated rows one."""
