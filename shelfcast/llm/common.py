@@ -111,6 +111,19 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, list]]:
         yield first, out
 
 
+def pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of texts of at most about SLICE_BYTES."""
+    size, out = 0, []
+    for t in texts:
+        if out and size + len(t) > SLICE_BYTES:
+            yield out
+            size, out = 0, []
+        out.append(t)
+        size += len(t) + 1
+    if out:
+        yield out
+
+
 class Words:
     """Words of a list of encoded texts: byte spans, row of each word, 64-bit hashes.
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Labelled rows that training may use, in the order of a hash of doc_id.
-SAMPLE = 8000
+SAMPLE = 5000
 LENGTH, STRIDE = 24, 12
 WORDS, GRAMS = 1 << 15, 1 << 12
 LONG, EVIDENCE = (5, 7), 1 << 18
@@ -38,47 +38,63 @@ FEW, SURE, CALIBRATE = 4, 2.5, 5
 SEED = 9
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0]+size[0]-1, start[1] .. and so on."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+
+
 class Tokens:
     """Word ids of texts, trigram lists of the distinct words, and windows."""
 
     def __init__(self, texts: list[bytes]):
-        w = C.Words(texts, lower=True)
-        h = w.hashes()
-        self.uniq, at, self.word = np.unique(h, return_index=True, return_inverse=True)
-        self.id = (self.uniq % np.uint64(WORDS)).astype(np.int64)
-        size = w.end[at] - w.start[at]
-        off = np.append(0, np.cumsum(size))
-        pos = np.arange(off[-1]) - np.repeat(off[:-1], size) + np.repeat(w.start[at], size)
-        data = np.append(np.append(32, C._LOWER[w.data]), 32).astype(np.uint64)
-        data[(data >= 9) & (data <= 13)] = 32
-        gram = (data[pos] * np.uint64(65536) + data[pos + 1] * np.uint64(256) + data[pos + 2]) + np.uint64(1)
-        self.gram = (C.mix64(gram * C._MUL) % np.uint64(GRAMS)).astype(np.int64)
-        self.off, self.size = off, size
-        # longer n-grams from each byte of a word on, one blank before and behind it
+        hashes, firsts, uniq, sizes, letters = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], [], [], []
+        for piece in C.pieces(texts):  # the words' bytes are only kept once
+            w = C.Words(piece, lower=True)
+            h = w.hashes()
+            firsts.append(w.first[1:] + firsts[-1][-1])
+            hashes.append(h)
+            u, at = np.unique(h, return_index=True)
+            size = w.end[at] - w.start[at]
+            uniq.append(u), sizes.append(size), letters.append(C._LOWER[w.data[_ranges(w.start[at], size)]])
+        first, words = np.concatenate(firsts), np.concatenate(hashes)
+        uniq, sizes, letters = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (uniq, sizes, letters))
+        starts = np.cumsum(sizes) - sizes
+        self.uniq, at = np.unique(uniq, return_index=True)
+        word = np.searchsorted(self.uniq, words)
+        self.id = (self.uniq.astype(np.uint64) % np.uint64(WORDS)).astype(np.int64)
+        self.size = size = sizes[at]
+        self.off = off = np.append(0, np.cumsum(size))
+        # every distinct word between two blanks
+        pos = _ranges(off[:-1] + 2 * np.arange(len(size)) + 1, size)
+        data = np.full(off[-1] + 2 * len(size) + 1, 32, np.uint64)
+        data[pos] = letters[_ranges(starts[at], size)]
+        gram = (data[pos - 1] * np.uint64(65536) + data[pos] * np.uint64(256) + data[pos + 1]) + np.uint64(1)
+        self.gram = (C.mix64(gram * C._MUL) % np.uint64(GRAMS)).astype(np.int32)
+        # longer n-grams from each byte on, with one blank before and behind the word
         data = data + np.uint64(1)
-        stop = np.repeat(w.end[at], size) + 2
+        stop = np.repeat(off[1:] + 2 * np.arange(len(size)) + 2, size)
         self.longer = np.stack([
-            (C.span_hashes(data, C._SEQ_BASES[0], pos, np.minimum(pos + n, stop)) % np.uint64(EVIDENCE)).astype(np.int64)
-            for n in LONG]) if len(pos) else np.zeros((len(LONG), 0), np.int64)
-        n = np.diff(w.first)
+            (C.span_hashes(data, C._SEQ_BASES[0], pos - 1, np.minimum(pos - 1 + n, stop)) % np.uint64(EVIDENCE))
+            .astype(np.int32) for n in LONG])
+        n = np.diff(first)
         count = np.where(n > 0, np.maximum(-(-(n - LENGTH) // STRIDE), 0) + 1, 0)
         self.row = np.repeat(np.arange(len(texts)), count)
         k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        at = w.first[:-1][self.row] + k * STRIDE
-        idx = at[:, None] + np.arange(LENGTH)[None, :]
-        pad = idx >= w.first[1:][self.row][:, None]
+        idx = (first[:-1][self.row] + k * STRIDE)[:, None] + np.arange(LENGTH)[None, :]
         # the id len(uniq) is padding
-        self.window = np.where(pad, len(self.uniq), np.append(self.word, 0)[np.minimum(idx, len(self.word))])
+        self.window = np.append(word, 0)[np.minimum(idx, len(word))].astype(np.int32)
+        self.window[idx >= first[1:][self.row][:, None]] = len(self.uniq)
 
-    def inputs(self, p: dict) -> np.ndarray:
+    def inputs(self, p: dict, chunk: int = 50_000) -> np.ndarray:
         """Input of each distinct word."""
-        if not len(self.uniq):
-            return np.zeros((0, DX), np.float32)
-        chars = np.add.reduceat(p["C"][self.gram], self.off[:-1], axis=0) / self.size[:, None]
-        return np.concatenate([p["W"][self.id], chars, self.evidence(p)], axis=1)
-
-    def evidence(self, p: dict) -> np.ndarray:
-        return np.maximum.reduceat(p["E"][self.longer].max(axis=0), self.off[:-1])[:, None]
+        out = np.zeros((len(self.uniq), DX), np.float32)
+        for i in range(0, len(out), chunk):
+            j = min(i + chunk, len(out))
+            lo, hi = self.off[i], self.off[j]
+            out[i:j, :DW] = p["W"][self.id[i:j]]
+            out[i:j, DW:DW + DC] = np.add.reduceat(p["C"][self.gram[lo:hi]], self.off[i:j] - lo) / self.size[i:j, None]
+            out[i:j, -1] = np.maximum.reduceat(p["E"][self.longer[:, lo:hi]].max(axis=0), self.off[i:j] - lo)
+        return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -159,9 +175,10 @@ def gradients(p: dict, tok: Tokens, windows: np.ndarray, y: np.ndarray, weight:
         pad = len(ids)
     size = tok.size[ids]
     off = np.append(0, np.cumsum(size))
-    gram = tok.gram[np.arange(off[-1]) - np.repeat(off[:-1], size) + np.repeat(tok.off[:-1][ids], size)]
+    chars = _ranges(tok.off[:-1][ids], size)
+    gram = tok.gram[chars]
     x = np.concatenate([p["W"][tok.id[ids]], np.add.reduceat(p["C"][gram], off[:-1], axis=0) / size[:, None],
-                        tok.evidence(p)[ids]], axis=1)
+                        np.maximum.reduceat(p["E"][tok.longer[:, chars]].max(axis=0), off[:-1])[:, None]], axis=1)
     real = w < pad
     st = {d: gru(p, d, gate_table(p, d, x), w, True) for d in "fb"}
     a, v = pooled(p, st["f"][0], st["b"][0], real)
@@ -244,7 +261,7 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = SEED) -> Model:
         words = np.unique(tok.window[ends[r]:ends[r + 1]])
         words = words[words < len(tok.uniq)]
         size = tok.size[words]
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(tok.off[:-1][words], size)
+        at = _ranges(tok.off[:-1][words], size)
         for ids, counts in ((tok.id[words], (c0, c1)), (tok.longer[:, at].reshape(-1), (e0, e1))):
             counts[int(y[r])][np.unique(ids)] += 1
 
@@ -257,7 +274,7 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = SEED) -> Model:
     odds = odds_of(c1, c0)
     p["W"][:, 0], p["E"] = odds, odds_of(e1, e0)
     learned = odds != 0
-    strength = odds[tok.id] + tok.evidence(p)[:, 0] if len(tok.uniq) else odds[:0]
+    strength = odds[tok.id] + tok.inputs(p)[:, -1] if len(tok.uniq) else odds[:0]
     strongest = np.append(strength, -9)[tok.window].max(axis=1) if len(tok.window) else np.zeros(0)
     logits = strongest + 1e-6 * rng.random(len(strongest))
     opt = Adagrad(p, RATE, learned)
