@@ -35,6 +35,7 @@ ROUNDS, EPOCHS, BATCH, RATE = 3, 4, 128, 0.05
 #: Documents that a word must be in to be learned, standard errors that its
 #: first log odds must exceed, and one in so many sampled documents calibrates.
 FEW, SURE, CALIBRATE = 4, 2.5, 5
+CHUNK = 20_000  # distinct words or windows of one vectorised step
 SEED = 9
 
 
@@ -43,6 +44,22 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
 
 
+def _grams(letters: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of some words, each between two blanks: its trigram and
+    the longer n-grams that start a byte before it."""
+    off = np.append(0, np.cumsum(size))
+    pos = _ranges(off[:-1] + 2 * np.arange(len(size)) + 1, size)
+    data = np.full(off[-1] + 2 * len(size) + 1, 32, np.uint64)
+    data[pos] = letters
+    gram = (data[pos - 1] * np.uint64(65536) + data[pos] * np.uint64(256) + data[pos + 1]) + np.uint64(1)
+    gram = (C.mix64(gram * C._MUL) % np.uint64(GRAMS)).astype(np.int32)
+    data = data + np.uint64(1)
+    stop = np.repeat(off[1:] + 2 * np.arange(len(size)) + 2, size)
+    longer = np.stack([(C.span_hashes(data, C._SEQ_BASES[0], pos - 1, np.minimum(pos - 1 + n, stop)) % np.uint64(EVIDENCE))
+                       .astype(np.int32) for n in LONG])
+    return gram, longer
+
+
 class Tokens:
     """Word ids of texts, trigram lists of the distinct words, and windows."""
 
@@ -64,32 +81,28 @@ class Tokens:
         self.id = (self.uniq.astype(np.uint64) % np.uint64(WORDS)).astype(np.int64)
         self.size = size = sizes[at]
         self.off = off = np.append(0, np.cumsum(size))
-        # every distinct word between two blanks
-        pos = _ranges(off[:-1] + 2 * np.arange(len(size)) + 1, size)
-        data = np.full(off[-1] + 2 * len(size) + 1, 32, np.uint64)
-        data[pos] = letters[_ranges(starts[at], size)]
-        gram = (data[pos - 1] * np.uint64(65536) + data[pos] * np.uint64(256) + data[pos + 1]) + np.uint64(1)
-        self.gram = (C.mix64(gram * C._MUL) % np.uint64(GRAMS)).astype(np.int32)
-        # longer n-grams from each byte on, with one blank before and behind the word
-        data = data + np.uint64(1)
-        stop = np.repeat(off[1:] + 2 * np.arange(len(size)) + 2, size)
-        self.longer = np.stack([
-            (C.span_hashes(data, C._SEQ_BASES[0], pos - 1, np.minimum(pos - 1 + n, stop)) % np.uint64(EVIDENCE))
-            .astype(np.int32) for n in LONG])
+        grams = [_grams(letters[_ranges(starts[at[i:i + CHUNK]], size[i:i + CHUNK])], size[i:i + CHUNK])
+                 for i in range(0, max(len(size), 1), CHUNK)]
+        self.gram = np.concatenate([g for g, _ in grams])
+        self.longer = np.concatenate([x for _, x in grams], axis=1)
         n = np.diff(first)
         count = np.where(n > 0, np.maximum(-(-(n - LENGTH) // STRIDE), 0) + 1, 0)
         self.row = np.repeat(np.arange(len(texts)), count)
         k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        idx = (first[:-1][self.row] + k * STRIDE)[:, None] + np.arange(LENGTH)[None, :]
-        # the id len(uniq) is padding
-        self.window = np.append(word, 0)[np.minimum(idx, len(word))].astype(np.int32)
-        self.window[idx >= first[1:][self.row][:, None]] = len(self.uniq)
-
-    def inputs(self, p: dict, chunk: int = 50_000) -> np.ndarray:
+        begin, stop = first[:-1][self.row] + k * STRIDE, first[1:][self.row]
+        word = np.append(word, 0).astype(np.int32)
+        self.window = np.zeros((len(begin), LENGTH), np.int32)
+        for i in range(0, len(begin), CHUNK):
+            idx = begin[i:i + CHUNK, None] + np.arange(LENGTH)[None, :]
+            # the id len(uniq) is padding
+            self.window[i:i + CHUNK] = np.where(idx >= stop[i:i + CHUNK, None], len(self.uniq),
+                                                word[np.minimum(idx, len(word) - 1)])
+
+    def inputs(self, p: dict) -> np.ndarray:
         """Input of each distinct word."""
         out = np.zeros((len(self.uniq), DX), np.float32)
-        for i in range(0, len(out), chunk):
-            j = min(i + chunk, len(out))
+        for i in range(0, len(out), CHUNK):
+            j = min(i + CHUNK, len(out))
             lo, hi = self.off[i], self.off[j]
             out[i:j, :DW] = p["W"][self.id[i:j]]
             out[i:j, DW:DW + DC] = np.add.reduceat(p["C"][self.gram[lo:hi]], self.off[i:j] - lo) / self.size[i:j, None]
@@ -274,8 +287,10 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = SEED) -> Model:
     odds = odds_of(c1, c0)
     p["W"][:, 0], p["E"] = odds, odds_of(e1, e0)
     learned = odds != 0
-    strength = odds[tok.id] + tok.inputs(p)[:, -1] if len(tok.uniq) else odds[:0]
-    strongest = np.append(strength, -9)[tok.window].max(axis=1) if len(tok.window) else np.zeros(0)
+    strength = np.append(odds[tok.id] + tok.inputs(p)[:, -1], np.float32(-9))
+    strongest = np.zeros(len(tok.window), np.float32)
+    for t in range(LENGTH):
+        np.maximum(strongest, strength[tok.window[:, t]], out=strongest)
     logits = strongest + 1e-6 * rng.random(len(strongest))
     opt = Adagrad(p, RATE, learned)
     every = np.flatnonzero(np.diff(ends))
