@@ -162,9 +162,15 @@ def store_sales_forecast(sales: DataFrame, days: int = 30) -> DataFrame:
 
 
 def mean_forecast(sales: DataFrame, days: int = 30) -> DataFrame:
-    """Fallback: the mean of the daily series, band +-15 %."""
+    """Fallback: the mean of the daily series without its IQR outliers,
+    continued from the last kept day, band +-15 %; stores with fewer than
+    two (kept) days give no rows."""
+    from shelfcast.operators.filters import iqr_outlier
     dense = daily_sales_dense(sales)
-    m = dense.groupBy("store_id").agg(F.avg("value").alias("m"), F.max("sale_date").alias("last"))
+    several = dense.groupBy("store_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").select("store_id")
+    kept = iqr_outlier(dense.join(several, "store_id", "left_semi"), ["store_id"], "value")
+    m = kept.groupBy("store_id").agg(F.avg("value").alias("m"), F.max("sale_date").alias("last"),
+                                     F.count(F.lit(1)).alias("n")).filter("n >= 2")
     f = m.select("store_id", "m", "last", F.explode(F.sequence(F.lit(1), F.lit(int(days)))).alias("i"))
     return f.select("store_id", F.date_format(F.date_add("last", F.col("i")), "yyyy-MM-dd").alias("date"),
                     F.bround("m", 2).alias("value"), F.bround(F.col("m") * (1 - MEAN_BAND), 2).alias("lower"),
@@ -179,10 +185,12 @@ FALLBACK_QUARTERS = 6
 def quarter_growth_fallback(quarterly: DataFrame, quarters: int = FALLBACK_QUARTERS) -> DataFrame:
     """Per product from its quarterly actuals (product_id, qi, q):
     growth = (last - previous) / previous clipped to +-25 %; forecast
-    last x (1 + g)^i for the next ``quarters`` quarters."""
+    last x (1 + g)^i for the next ``quarters`` quarters; products with one
+    quarter give no rows."""
     w = Window.partitionBy("product_id").orderBy("qi")
     t = quarterly.withColumn("prev", F.lag("q").over(w))
-    last = t.groupBy("product_id").agg(F.max_by(F.struct("qi", "q", "prev"), "qi").alias("l"))
+    last = t.groupBy("product_id").agg(F.max_by(F.struct("qi", "q", "prev"), "qi").alias("l"),
+                                       F.count(F.lit(1)).alias("n")).filter("n >= 2")
     g = F.when(F.col("l.prev") > 0, (F.col("l.q") - F.col("l.prev")) / F.col("l.prev")).otherwise(0.0)
     g = F.least(F.greatest(g, F.lit(-GROWTH_CLIP)), F.lit(GROWTH_CLIP))
     f = last.select("product_id", F.col("l.qi").alias("qi0"), F.col("l.q").cast("double").alias("q0"), g.alias("growth"),

@@ -139,10 +139,10 @@ def overstock_by_region(snap: DataFrame) -> DataFrame:
     the largest excess (ties: smallest name)."""
     s = snap.filter(F.col("status") == "Overstock")
     cont = F.col("continent") if "continent" in s.columns else F.lit(None).cast("string")
-    from shelfcast.functions.geo import continent_of_col
+    from shelfcast.functions.geo import INVENTORY_COUNTRY_TO_CONTINENT, continent_of_col
     country = F.trim(F.coalesce("country", F.lit("")))
     s = s.select(F.col("store_name"), country.alias("country"),
-                 F.coalesce(cont, continent_of_col(country, None), F.when(country != "", country), F.lit("Unknown")).alias("continent"),
+                 F.coalesce(cont, continent_of_col(country, None, INVENTORY_COUNTRY_TO_CONTINENT), F.when(country != "", country), F.lit("Unknown")).alias("continent"),
                  F.trim(F.coalesce("category_name", F.lit(""))).alias("category"),
                  F.greatest(F.col("inventory") - F.col("safety_stock"), F.lit(0)).alias("x"),
                  cents(F.col("frozen_money")).alias("fc"))
@@ -212,12 +212,12 @@ def _first_expr(c: Column) -> Column:
 
 
 def frozen_money_alert(snap: DataFrame) -> DataFrame:
-    """I7 rows flagged when frozen money is above the interpolated P75
+    """I7 rows flagged when frozen money is at or above the interpolated P75
     of all rows and the status is Normal (English or Korean)."""
     lst = inventory_list(snap)
     from shelfcast.functions.rows import exact_percentile
     p75 = exact_percentile(lst, "frozen_money", 0.75)
-    return lst.withColumn("investor_alert", (F.col("frozen_money") > p75) & F.col("status").isin(*NORMAL_WORDS))
+    return lst.withColumn("investor_alert", (F.col("frozen_money") >= p75) & F.col("status").isin(*NORMAL_WORDS))
 
 
 def _quarter_label() -> Column:
@@ -284,9 +284,9 @@ def normal_below_safety(lst: DataFrame) -> DataFrame:
 
 
 def frozen_ratio_top20(lst: DataFrame, n: int = 20) -> DataFrame:
-    """Frozen money per unit of inventory, top n by frozen money."""
+    """Frozen money per unit of inventory (2 decimals, half up), top n by frozen money."""
     r = lst.withColumn("frozen_ratio", F.when(F.col("inventory") > 0,
-                                              F.bround(F.col("frozen_money") / F.col("inventory"), 4)).otherwise(0.0))
+                                              F.round((F.col("frozen_money") / F.col("inventory")).cast("decimal(38,10)"), 2).cast("double")).otherwise(0.0))
     return r.orderBy(F.desc("frozen_money"), "store_name", "product_id").limit(n)
 
 

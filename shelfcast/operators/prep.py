@@ -95,16 +95,18 @@ def dashboard_sample(sales: DataFrame, n: int = SAMPLE_ROWS, min_year: int = SAM
 
 
 def enrich_inventory(sales: DataFrame, patch: DataFrame) -> DataFrame:
-    """K6: left look-up on (date, store, normalised product name, quantity,
+    """K6: left look-up on (date, store id, normalised product name, quantity,
     price): matched rows take the patch's stock, inventory, frozen money,
-    safety stock and status (first patch row per key wins); ``_match`` is
-    matched / not_found."""
+    safety stock and status; ``_match`` is matched / not_found. Of several
+    patch rows of a key the first by ``ingest_order`` wins (without that
+    column: the smallest by its values, so the choice never depends on how
+    rows are partitioned)."""
     from shelfcast.functions.text import norm_name_key
-    key = ["sale_date", "store_name", "_pkey", "quantity", "price"]
+    key = ["sale_date", "store_id", "_pkey", "quantity", "price"]
     p = patch.withColumn("_pkey", norm_name_key("product_name"))
-    w = Window.partitionBy(*key).orderBy(F.monotonically_increasing_id())
-    p = p.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
     cols = ["store_stock_quantity", "inventory", "frozen_money", "safety_stock", "status"]
+    first = ["ingest_order"] if "ingest_order" in patch.columns else cols
+    p = p.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*first))).filter("_rn = 1")
     p = p.select(*key, *[F.col(c).alias(f"_p_{c}") for c in cols], F.lit(True).alias("_hit"))
     j = sales.withColumn("_pkey", norm_name_key("product_name")).join(p, key, "left")
     for c in cols:

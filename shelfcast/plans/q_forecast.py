@@ -178,7 +178,10 @@ def d6(spark, d):
 
 
 @register("d7_mean_forecast", with_sales(DENSE + """,
-m AS (SELECT store_id, avg(value) AS m, max(sale_date) AS last FROM dense GROUP BY 1)
+q AS (SELECT store_id, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM dense GROUP BY 1 HAVING count(*) >= 2),
+kept AS (SELECT d.* FROM dense d JOIN q USING (store_id)
+         WHERE q3 <= q1 OR value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)),
+m AS (SELECT store_id, avg(value) AS m, max(sale_date) AS last FROM kept GROUP BY 1 HAVING count(*) >= 2)
 SELECT store_id, strftime(last + CAST(i AS INTEGER), '%Y-%m-%d') AS date, round_even(m, 2) AS value,
        round_even(m * 0.85, 2) AS lower, round_even(m * 1.15, 2) AS upper FROM m, range(1, 31) r(i)"""))
 def d7(spark, d):
@@ -195,7 +198,8 @@ def _quarterly(spark, d):
 q AS (SELECT product_id, year(sale_date) * 4 + quarter(sale_date) - 1 AS qi, sum(coalesce(quantity, 0)) AS q
       FROM sales WHERE sale_date IS NOT NULL GROUP BY 1, 2),
 t AS (SELECT *, lag(q) OVER (PARTITION BY product_id ORDER BY qi) AS prev FROM q),
-l AS (SELECT product_id, max(qi) AS qi0, arg_max({'q': q, 'prev': prev}, qi) AS r FROM t GROUP BY 1),
+l AS (SELECT product_id, max(qi) AS qi0, arg_max({'q': q, 'prev': prev}, qi) AS r FROM t
+      GROUP BY 1 HAVING count(*) >= 2),
 g AS (SELECT product_id, qi0, CAST(r.q AS DOUBLE) AS q0,
              least(greatest(CASE WHEN r.prev > 0 THEN (r.q - r.prev) / r.prev ELSE 0.0 END, -0.25), 0.25) AS growth FROM l),
 f AS (SELECT g.*, i, qi0 + i AS qi FROM g, range(1, 7) r(i))

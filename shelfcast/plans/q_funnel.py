@@ -8,12 +8,12 @@ from shelfcast.operators import funnel as U
 from shelfcast.operators import inventory as I
 from shelfcast.plans.catalog import register
 from shelfcast.plans.q_inventory import SNAP
-from shelfcast.sources.tpch import OVERSTOCK_PRODUCTS, spread, tpch_sales, with_sales
+from shelfcast.sources.tpch import OVERSTOCK_PRODUCTS, tpch_sales, with_sales
 from shelfcast.sources.tpch import table as _table
 
 
 def table(spark, d, name):
-    return spread(_table(spark, d, name), "user_id")
+    return _table(spark, d, name)
 
 STAGE_SQL = ("CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 END")
 NAME_SQL = ("CASE event_type WHEN 'view' THEN 'Main_Exposure' WHEN 'click' THEN 'Product_Click' "

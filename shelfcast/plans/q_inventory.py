@@ -45,11 +45,6 @@ def i1(spark, d):
     return I.safety_stock(tpch_sales(spark, d))
 
 
-@register("i2_inventory_synth", with_sales(SNAP + "\nSELECT sale_id, safety_stock, inventory FROM snap"))
-def i2(spark, d):
-    return snap(spark, d).select("sale_id", "safety_stock", "inventory")
-
-
 @register("i3_inventory_status", with_sales(SNAP + "\nSELECT sale_id, status FROM snap"))
 def i3(spark, d):
     return snap(spark, d).select("sale_id", "status")
@@ -156,7 +151,7 @@ def i12(spark, d):
 
 
 @register("i13_frozen_money_alert", with_sales(SNAP + LIST + """
-SELECT *, frozen_money > (SELECT quantile_cont(frozen_money, 0.75) FROM lst) AND status IN ('Normal', '정상') AS investor_alert
+SELECT *, frozen_money >= (SELECT quantile_cont(frozen_money, 0.75) FROM lst) AND status IN ('Normal', '정상') AS investor_alert
 FROM lst"""))
 def i13(spark, d):
     return I.frozen_money_alert(snap(spark, d))
@@ -206,7 +201,7 @@ def i19(spark, d):
 
 
 @register("i20_frozen_ratio_top20", with_sales(SNAP + LIST + """
-SELECT *, CASE WHEN inventory > 0 THEN round_even(frozen_money / inventory, 4) ELSE 0.0 END AS frozen_ratio
+SELECT *, CASE WHEN inventory > 0 THEN CAST(round(CAST(frozen_money / inventory AS DECIMAL(38, 10)), 2) AS DOUBLE) ELSE 0.0 END AS frozen_ratio
 FROM lst ORDER BY frozen_money DESC, store_name, product_id LIMIT 20"""))
 def i20(spark, d):
     return I.frozen_ratio_top20(I.inventory_list(snap(spark, d)))

@@ -18,13 +18,6 @@ def k1(spark, d):
         "sale_id", F.date_format("sale_date", "yyyy-MM-dd").alias("sale_date"), "store_id", "product_id")
 
 
-@register("k3_synth_store_stock", with_sales(f"""
-SELECT sale_id, greatest(1, CAST(round_even(coalesce(quantity, 0) * (0.95 + 0.35 * {U('sale_id', 'stock')}), 0) AS BIGINT))
-       AS store_stock_quantity FROM sales"""))
-def k3(spark, d):
-    return K.synth_store_stock(tpch_sales(spark, d)).select("sale_id", "store_stock_quantity")
-
-
 @register("k5_dashboard_sample", with_sales("""
 SELECT sale_id, country, strftime(sale_date, '%Y-%m-%d') AS sale_date FROM sales WHERE sale_year >= 1996 ORDER BY md5(sale_id) LIMIT 20000"""))
 def k5(spark, d):

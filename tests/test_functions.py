@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from shelfcast.functions import geo, text
-from shelfcast.operators.filters import store_name_candidates
+from shelfcast.operators.filters import store_name_match, store_name_spellings
 
 
 def one(spark, col, value, dtype="string"):
@@ -59,10 +59,20 @@ def test_geo(spark):
     assert one(spark, lambda c: geo.continent_of_col(c), "UAE") == "Asia"
 
 
-def test_store_name_candidates():
-    c = store_name_candidates("소호(SoHo)")
-    assert c[0] == "SoHo" and "소호(SoHo)" in c
-    assert "Rideau Center" in store_name_candidates("Rideau Centre")
+def test_store_name_spellings(spark):
+    c = one(spark, store_name_spellings, "소호 (SoHo)")
+    assert "SoHo" in c and "소호(SoHo)" in c
+    assert "Rideau Center" in one(spark, store_name_spellings, "Rideau Centre")
+    for stored, asked, hit in (("Apple Store SoHo", "소호(SoHo)", True), ("Rideau Center", "Rideau Centre", True),
+                               ("apple soho", "SoHo", True), ("Apple Ginza", "SoHo", False), ("Apple Ginza", "", False)):
+        assert one(spark, lambda col: store_name_match(col, asked), stored) is hit, (stored, asked)
+
+
+def test_inventory_continents(spark):
+    for country, continent in (("Switzerland", "Europe"), ("Hong Kong", "Asia"), ("Macau", "Asia"), ("India", "Asia"),
+                               ("New Zealand", "Oceania"), ("Brazil", "South America"), ("Argentina", "South America"),
+                               ("United Arab Emirates", "Asia")):
+        assert one(spark, lambda c: geo.continent_of_col(c, None, geo.INVENTORY_COUNTRY_TO_CONTINENT), country) == continent
 
 
 def test_period_labels(spark):

@@ -26,7 +26,7 @@ def test_topk_unowned_matches_brute_force(spark):
     items = [(f"p{i}", rnd.random()) for i in range(40)]
     owned = [(f"s{s}", f"p{i}") for s in range(6) for i in range(40) if rnd.random() < 0.4]
     g = spark.createDataFrame(items, "product_id string, v double")
-    ranked = R.global_rank(g, F.desc("v"), F.asc("product_id"))
+    ranked = R.global_rank(g, "v", "product_id")
     assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, 41))
     own = spark.createDataFrame(owned, "store_id string, product_id string")
     stores = spark.createDataFrame([(f"s{s}",) for s in range(6)], "store_id string")
@@ -58,20 +58,46 @@ def test_grade_edges(spark):
     assert got == {"A": "A", "B": "C", "C": "S"}
 
 
-def test_exact_percentile_both_paths(spark):
+def test_exact_percentile(spark):
     import numpy as np
     from shelfcast.functions import rows
-    vals = np.random.default_rng(1).normal(size=501).round(3)
-    df = spark.createDataFrame([(float(x),) for x in vals], "x double")
-    want = float(np.percentile(vals, 75))
-    old = rows.SINGLE_BUFFER_MAX
-    try:
-        rows.SINGLE_BUFFER_MAX = 10          # force the distributed sort path
-        a = df.select(rows.exact_percentile(df, "x", 0.75)).first()[0]
-    finally:
-        rows.SINGLE_BUFFER_MAX = old
-    b = df.select(rows.exact_percentile(df, "x", 0.75)).first()[0]
-    assert abs(a - want) < 1e-9 and abs(b - want) < 1e-9
+    for n, p in ((501, 0.75), (4, 0.25), (1, 0.75), (30_000, 0.9)):
+        vals = np.random.default_rng(1).normal(size=n).round(2)  # many ties
+        df = spark.createDataFrame([(float(x),) for x in vals], "x double")
+        got = df.select(rows.exact_percentile(df, "x", p)).first()[0]
+        assert abs(got - float(np.percentile(vals, 100 * p))) < 1e-9
+
+
+def test_global_rank_of_many_wide_rows(spark):
+    from shelfcast.functions.rows import global_rank
+    n = 200_000
+    df = spark.range(n).select(F.concat(F.lit("p"), F.col("id")).alias("product_id"), (F.col("id") % 977).cast("double").alias("v"),
+                               F.repeat(F.lit("x"), 200).alias("wide"))
+    r = global_rank(df, "v", "product_id")
+    got = r.agg(F.count("*"), F.countDistinct("rank"), F.min("rank"), F.max("rank")).first()
+    assert tuple(got) == (n, n, 1, n)
+    # the order is by falling v, ties by id
+    top = [(x.v, x.product_id) for x in r.filter("rank <= 300").orderBy("rank").collect()]
+    assert top == sorted(top, key=lambda t: (-t[0], t[1]))
+    # a store that owns most of the head of the list still gets its items
+    own = r.filter("rank <= 1000 AND rank % 5 < 3").selectExpr("'s' AS store_id", "product_id")
+    got = R.topk_unowned(r, own, spark.createDataFrame([("s",)], "store_id string"), 5).collect()
+    assert sorted(x["rank"] for x in got)[:5] == [3, 4, 8, 9, 13]
+
+
+def test_mean_forecast_drops_outlier_days_and_short_series(spark):
+    import datetime as dt
+    days = [(f"{i}", "s", dt.date(2024, 1, i), 10.0 + i % 2) for i in range(1, 10)] + [("x", "s", dt.date(2024, 1, 10), 9000.0),
+                                                                                       ("y", "t", dt.date(2024, 1, 1), 5.0)]
+    df = spark.createDataFrame(days, "sale_id string, store_id string, sale_date date, total_sales double")
+    got = D.mean_forecast(df, 1).collect()
+    assert [(r["store_id"], r["date"], r["value"]) for r in got] == [("s", "2024-01-10", 10.56)]
+
+
+def test_growth_fallback_needs_two_quarters(spark):
+    q = spark.createDataFrame([("a", 8000, 10), ("b", 8000, 10), ("b", 8001, 11)], "product_id string, qi int, q long")
+    assert {r["product_id"] for r in D.quarter_growth_fallback(q).collect()} == {"b"}
+
 
 
 def test_demand_dashboard_fallback(spark):
