@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -37,8 +37,8 @@ HALVES, ROWS = 12, 2
 BITS = 1024
 PIVOTS = 8
 LINK = 85  # percent
-#: doc_id of rows without one sorts last.
-NO_ID = (1 << 63) - 1
+#: Rows without a doc_id get one from their text, in this range.
+NO_ID = 1 << 62
 _SEEDS = np.random.default_rng(20240611).integers(1, 2**63, 2 * HALVES * ROWS, dtype=np.uint64)
 
 
@@ -92,13 +92,14 @@ def signature_rows(size: int, halves: int, rows: int, seeds: np.ndarray):
                     bits = (cell & 1).astype(np.uint8).reshape(m, BITS)
                 packed = np.packbits(bits, axis=1).reshape(-1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(at, m), pa.array(n.astype(np.int64)), pa.array(C.as_long(s1)),
+                    [b.column("id").slice(at, m), b.column("lost").slice(at, m), pa.array(n.astype(np.int64)),
+                     pa.array(C.as_long(s1)),
                      pa.array(C.as_long(s2)),
                      pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * halves),
                                               pa.array(C.as_long(half.reshape(-1)))),
                      pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * (BITS // 64)),
                                               pa.array(packed))],
-                    ["id", "n", "s1", "s2", "halves", "bits"])
+                    ["id", "lost", "n", "s1", "s2", "halves", "bits"])
     return run
 
 
@@ -134,22 +135,37 @@ def confirmed(link: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, link: int = LINK, shingle: int = SHINGLE, halves: int = HALVES,
-                    rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``.
+def row_id() -> Column:
+    """doc_id, or where that is null a number made from the text."""
+    from_text = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))
+    return F.coalesce(F.col("doc_id").cast("long"), from_text)
+
+
+def near_duplicates(docs: DataFrame, **kw) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``;
+    for the parameters see :func:`groups`.
 
     Empty and null texts have no shingles and no links. Rows of one doc_id
-    are one document; rows with null doc_id sort last and are kept (with a
-    null component) only if nothing else is in their group. Repeated rows
-    share a component. Extra columns are ignored.
+    are one document. Rows with null doc_id are documents of their own (equal
+    texts: one); a component of such rows alone has a null component_id.
+    Repeated rows share a component. Extra columns are ignored.
     """
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
+    return groups(docs, **kw).drop("id")
+
+
+def groups(docs: DataFrame, link: int = LINK, shingle: int = SHINGLE, halves: int = HALVES,
+           rows: int = ROWS) -> DataFrame:
+    """:func:`near_duplicates` with the ``id`` that stands for each row."""
+    base = docs.select(row_id().alias("id"), F.col("doc_id").isNull().alias("lost"),
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    sig = C.stored(base.withColumnRenamed("id", "doc_id").select("doc_id", "text").mapInArrow(
+    sig = C.stored(base.mapInArrow(
         signature_rows(shingle, halves, rows, _SEEDS[: 2 * halves * rows]),
-        "id long, n long, s1 long, s2 long, halves array<long>, bits array<long>"))
+        "id long, lost boolean, n long, s1 long, s2 long, halves array<long>, bits array<long>"))
     # one representative per distinct set: its smallest id
-    reps = C.stored(sig.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))
+    reps = C.stored(sig.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "lost")).alias("r"))
+                    .select("s1", "s2", "n", F.col("r.id").alias("rep"), F.col("r.lost").alias("lost")))
+    lost = reps.filter("lost").select(F.col("rep").alias("c"), "lost").distinct()
+    reps = reps.drop("lost")
     one = sig.select(F.col("id").alias("rep"), "s1", "s2", "n", "halves", "bits")
     one = C.stored(one.join(reps.hint("merge"), ["rep", "s1", "s2", "n"], "left_semi")
                    .dropDuplicates(["rep", "s1", "s2", "n"]))
@@ -203,19 +219,19 @@ def near_duplicates(docs: DataFrame, link: int = LINK, shingle: int = SHINGLE, h
         links = confirmed_links(cand).unionAll(comp.filter("rep <> comp").selectExpr("rep AS a", "comp AS b"))
         comp = C.stored(components(links)).withColumnRenamed("id", "rep")
     whole = C.stored(reps.join(comp.hint("merge"), "rep", "left")
-                     .select("s1", "s2", "n", F.coalesce("comp", "rep").alias("c")))
-    out = sig.select("id", "n", "s1", "s2").join(whole.hint("merge"), ["s1", "s2", "n"], "left")
+                     .select("s1", "s2", "n", F.coalesce("comp", "rep").alias("c"))
+                     .join(lost.hint("merge"), "c", "left").withColumnRenamed("lost", "c_lost"))
+    out = sig.select("id", "lost", "n", "s1", "s2").join(whole.hint("merge"), ["s1", "s2", "n"], "left")
     comp_id = F.coalesce("c", "id")
-    return out.select(F.expr(f"nullif(id, {NO_ID})").alias("doc_id"), F.col("n").alias("n_shingles"),
-                      F.when(comp_id != NO_ID, comp_id).alias("component_id"), (F.col("id") == comp_id).alias("kept"))
+    no_comp = F.coalesce("c_lost", F.col("c").isNull() & F.col("lost"))
+    return out.select("id", F.when(~F.col("lost"), F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"),
+                      F.when(~no_comp, comp_id).alias("component_id"), (F.col("id") == comp_id).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, **kw) -> DataFrame:
     """Rows of ``docs``, all columns: one document of each group of near
     duplicates (its smallest doc_id), and of repeated rows one."""
-    kept = (near_duplicates(docs, **kw).filter("kept")
-            .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id")).distinct())
+    kept = groups(docs, **kw).filter("kept").select(F.col("id").alias("__id")).distinct()
     one = Window.partitionBy("__id", "__th").orderBy(F.lit(1))
-    return (docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-            .withColumn("__th", C.text_hash()).join(kept.hint("merge"), "__id", "left_semi")
+    return (docs.withColumn("__id", row_id()).withColumn("__th", C.text_hash()).join(kept.hint("merge"), "__id", "left_semi")
             .withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns))
