@@ -31,6 +31,7 @@ FAMILIES = [
     "shelfcast.plans.q_funnel",
     "shelfcast.plans.q_prep",
     "shelfcast.plans.q_stream",
+    "shelfcast.plans.q_select",
 ]
 
 

@@ -1,62 +1,52 @@
 """Structured Streaming jobs X1-X3.
 
-Sources are file streams (Parquet/JSON directories); sinks are Parquet
-tables under the session's checkpoint folder (``spark.checkpoint.dir`` on
-a cluster), written per micro-batch with ``foreachBatch`` so results never
-pass through the driver. ``run_available_now`` drains the input once
-(``trigger(availableNow=True)``), which is how tests compare stream and
-batch results.
+Sources are file streams (Parquet/JSON directories). Every micro-batch
+replaces its own folder of a Parquet table under the session's checkpoint
+folder (``spark.checkpoint.dir`` on a cluster), so a batch that is run again
+after a failure does not count twice, and results never pass through the
+driver.
+
+X1 and X2 append what can be merged (counts; distinct users): readers merge
+the batches, so rows count whenever they arrive, in any order, without a
+watermark and without state. X3 depends on the order of sales: its state keeps
+the sales that the watermark has not passed and corrects its alert when an
+earlier sale turns up.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from shelfcast.operators.funnel import CLICK_EVENT, STAGES, VIEW_EVENT
+from shelfcast.operators.funnel import CLICK_EVENT, STAGES, VIEW_EVENT, journey_funnel
 from shelfcast.session import ensure_checkpoint_dir
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-WATERMARK = "1 hour"
 FEEDBACK_WINDOW = "10 minutes"
-FUNNEL_WINDOW = "1 day"
 CRITICAL_HEALTH = 70.0
+#: How far out of order sales may arrive before X3 reports them as late.
+DELAY = "30 days"
 
 
-def _scratch(spark: SparkSession, name: str) -> tuple[str, str]:
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    run = uuid.uuid4().hex[:12]
-    return f"{base}/stream-{name}-{run}/out", f"{base}/stream-{name}-{run}/checkpoint"
-
-
-def run_available_now(df: DataFrame, name: str, mode: str = "update", keys: list[str] | None = None) -> DataFrame:
-    """Drain a streaming DataFrame once (``availableNow``) into a Parquet
-    table and return the current result.
-
-    ``update`` (default for aggregations): each micro-batch appends the
-    rows it changed, tagged with the batch id; reading keeps the latest
-    version per ``keys``. Watermarks evict old state, so state stays
-    bounded and the sink never rewrites what it already holds.
-    ``append``: rows are final when emitted (e.g. alerts)."""
+def drain(df: DataFrame, name: str, each: Callable[[DataFrame], DataFrame] = lambda b: b, mode: str = "append") -> DataFrame:
+    """Run a stream over all input there is (``availableNow``); the rows that
+    ``each`` made of every micro-batch, with its number as ``batch``."""
     spark = df.sparkSession
-    out, ckpt = _scratch(spark, name)
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:12]}"
+    shape = each(spark.createDataFrame([], df.schema))
+    shape.write.parquet(f"{base}/out/batch=-1")  # a stream without input has a table too
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("_batch", F.lit(int(epoch))).write.mode("append").parquet(out)
+    def sink(batch: DataFrame, number: int) -> None:
+        each(batch).write.mode("overwrite").parquet(f"{base}/out/batch={int(number)}")
 
-    q = (df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", ckpt)
-           .trigger(availableNow=True).start())
-    q.awaitTermination()
-    res = spark.read.parquet(out)
-    if mode == "update" and keys:
-        from pyspark.sql import Window
-        w = Window.partitionBy(*keys).orderBy(F.desc("_batch"))
-        res = res.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-    return res.drop("_batch")
+    (df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint")
+       .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(shape.schema.add("batch", "long")).parquet(f"{base}/out")
 
 
 def file_glob(path: str) -> str:
@@ -71,82 +61,115 @@ def events_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+# ---- X1 ------------------------------------------------------------------------
+def feedback_rows(events: DataFrame, window: str = FEEDBACK_WINDOW) -> DataFrame:
+    """Window, product (props.k), click (1) or view (0) of each feedback event."""
+    e = events.filter(F.col("event_type").isin(CLICK_EVENT, VIEW_EVENT))
+    return e.select(F.window(F.col("ts").cast("timestamp"), window).alias("w"),
+                    F.get_json_object("props", "$.k").alias("product_id"),
+                    (F.col("event_type") == CLICK_EVENT).cast("long").alias("v"))
+
+
+def feedback_counts(rows: DataFrame) -> DataFrame:
+    """Impressions and clicks per window and product."""
+    return rows.groupBy("w", "product_id").agg(F.count(F.lit(1)).alias("impressions"), F.sum("v").alias("clicks"))
+
+
 def stream_feedback(events: DataFrame) -> DataFrame:
-    """Click feedback from the event stream (product = props.k, click = 1,
-    view = 0) in 10-minute tumbling windows with a 1-hour watermark."""
-    e = events.filter(F.col("event_type").isin(CLICK_EVENT, VIEW_EVENT)).select(
-        F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").alias("product_id"),
-        F.when(F.col("event_type") == CLICK_EVENT, 1).otherwise(0).alias("v"))
-    return (e.withWatermark("ts", WATERMARK)
-             .groupBy(F.window("ts", FEEDBACK_WINDOW).alias("w"), "product_id")
-             .agg(F.count(F.lit(1)).alias("impressions"), F.sum("v").cast("long").alias("clicks")))
+    """Click feedback of an event stream in tumbling windows. Batches add
+    up, so late rows are counted like any other."""
+    parts = drain(feedback_rows(events), "feedback", feedback_counts)
+    return parts.groupBy("w", "product_id").agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"))
 
 
+# ---- X2 ------------------------------------------------------------------------
 def stream_funnel(events: DataFrame) -> DataFrame:
-    """Approximate unique users per funnel stage per day window."""
-    stage = F.create_map(*[x for e, o, n, w in STAGES for x in (F.lit(e), F.lit(n))])
-    e = events.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", F.element_at(stage, F.col("event_type")).alias("stage")).filter("stage IS NOT NULL")
-    return (e.withWatermark("ts", WATERMARK).groupBy(F.window("ts", FUNNEL_WINDOW).alias("w"), "stage")
-             .agg(F.approx_count_distinct("user_id").alias("users")))
-
-
-ALERT_SCHEMA = "store_name string, product_id string, sale_id string, stock long, safety_stock long, health_index double"
-STATE_SCHEMA = "products array<string>, stock array<long>, safety array<long>, alerted array<boolean>"
-STATE_BUCKETS = 16
-
-
-def _stock_alerts(key, pdfs, state):
-    """State per (store, product bucket): running stock, safety stock and an
-    alerted flag for each product, as parallel arrays. Each micro-batch is
-    processed vectorised: rows sorted by (product, sale_date, sale_id),
-    running stock = opening (or carried) stock - cumulative quantity, and
-    one alert per product the first time the health index drops below 70."""
-    store = key[0]
-    pdf = pd.concat(list(pdfs), ignore_index=True)
+    """The daily funnel (U1) of an event stream, exact: each batch keeps
+    its distinct (day, stage, user) rows."""
+    e = events.filter(F.col("event_type").isin(*[s[0] for s in STAGES]))
+    e = e.select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), "event_type", "user_id")
+    return journey_funnel(drain(e, "funnel", lambda b: b.distinct()).drop("batch"))
+
+
+# ---- X3 ------------------------------------------------------------------------
+ALERT_SCHEMA = ("store_name string, product_id string, sale_id string, stock long, safety_stock long, "
+                "health_index double, late_sale string")
+STATE_SCHEMA = ("stock long, safety long, settled_to long, settled boolean, alert_id string, alert_stock long, "
+                "dates array<long>, ids array<string>, quantities array<long>")
+
+
+def health(stock: int, safety: int) -> float:
+    return stock / safety * 100.0 if safety > 0 else 0.0
+
+
+def _stock_alerts(key, frames, state):
+    """One product of one store. State: stock after the sales that the
+    watermark has passed (``settled_to``), the sales after it in order, and
+    the alert last told. A changed alert is told again."""
+    stock, safety, settled_to, settled, alert, pending = None, 0, -1, False, (None, None), []
     if state.exists:
-        p0, s0, f0, a0 = state.get
-        prev = pd.DataFrame({"product_id": list(p0), "carry": list(s0), "sf0": list(f0), "was": list(a0)})
-    else:
-        prev = pd.DataFrame({"product_id": pd.Series([], dtype=object), "carry": pd.Series([], dtype="int64"),
-                             "sf0": pd.Series([], dtype="int64"), "was": pd.Series([], dtype=bool)})
-    pdf = pdf.sort_values(["product_id", "sale_date", "sale_id"], kind="mergesort").merge(prev, on="product_id", how="left")
-    start = pdf["carry"].where(pdf["carry"].notna(), pdf.groupby("product_id")["inventory"].transform("first"))
-    safety = pdf["sf0"].where(pdf["sf0"].notna(), pdf.groupby("product_id")["safety_stock"].transform("first"))
-    pdf["stock"] = (start - pdf.groupby("product_id")["quantity"].cumsum()).astype("int64")
-    pdf["safety"] = safety.astype("int64")
-    pdf["health"] = (pdf["stock"] / pdf["safety"].where(pdf["safety"] > 0) * 100.0).fillna(0.0)
-    was = pdf["was"].fillna(False).astype(bool)
-    low = (pdf["health"] < CRITICAL_HEALTH) & ~was
-    first_low = low & (low.groupby(pdf["product_id"]).cumsum() == 1)
-    hits = pdf[first_low]
-    last = pdf.groupby("product_id").agg(stock=("stock", "last"), safety=("safety", "last"))
-    alerted = (low.groupby(pdf["product_id"]).any() | was.groupby(pdf["product_id"]).any()).reindex(last.index)
-    keep = prev[~prev["product_id"].isin(last.index)]
-    state.update((list(keep["product_id"]) + list(last.index),
-                  [int(x) for x in keep["carry"]] + [int(x) for x in last["stock"]],
-                  [int(x) for x in keep["sf0"]] + [int(x) for x in last["safety"]],
-                  [bool(x) for x in keep["was"]] + [bool(x) for x in alerted]))
-    yield pd.DataFrame({"store_name": store, "product_id": hits["product_id"].astype(str), "sale_id": hits["sale_id"].astype(str),
-                        "stock": hits["stock"].astype("int64"), "safety_stock": hits["safety"].astype("int64"),
-                        "health_index": hits["health"].round(1)})
-
-
-def stream_critical_alerts(sales_stream: DataFrame, opening: DataFrame) -> DataFrame:
-    """Stateful running stock per (store, product) with
-    ``applyInPandasWithState``; ``opening`` (static: store_name, product_id,
-    inventory, safety_stock) is joined to the stream. State is keyed by
-    (store, product-hash bucket) so each call handles many products at once
-    and a large store is still spread over several keys."""
-    s = sales_stream.join(opening, ["store_name", "product_id"])
-    s = s.withColumn("_bucket", F.pmod(F.xxhash64("product_id"), F.lit(STATE_BUCKETS)))
-    return s.groupBy("store_name", "_bucket").applyInPandasWithState(
-        _stock_alerts, ALERT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        stock, safety, settled_to, settled, *told, dates, ids, quantities = state.get
+        alert = tuple(told)
+        pending = list(zip(dates, ids, quantities))
+    late = []
+    for pdf in frames:
+        for ms, sale, q, inventory, safe in zip(pdf["ms"], pdf["sale_id"], pdf["quantity"], pdf["inventory"], pdf["safety_stock"]):
+            if stock is None:
+                stock, safety = int(inventory), int(safe)
+            pending.append((int(ms), sale, int(q)))
+            if ms <= settled_to:
+                late.append(sale)
+    pending.sort()
+    passed = state.getCurrentWatermarkMs()
+    left, now, first = stock, stock, alert if settled else (None, None)
+    keep = []
+    for ms, sale, q in pending:
+        now -= q
+        if first[0] is None and health(now, safety) < CRITICAL_HEALTH:
+            first = (sale, now)
+        if ms <= passed:
+            left, settled_to, settled = now, max(settled_to, ms), first[0] is not None
+        else:
+            keep.append((ms, sale, q))
+    rows = [(*first, safety, health(first[1], safety) if first[0] else None, None)] if first != alert else []
+    rows += [(None, None, safety, None, sale) for sale in late]
+    dates, ids, quantities = ([r[i] for r in keep] for i in range(3))
+    state.update((left, safety, settled_to, settled, *first, dates, ids, quantities))
+    if not rows:
+        return
+    out = pd.DataFrame(rows, columns=["sale_id", "stock", "safety_stock", "health_index", "late_sale"])
+    out.insert(0, "product_id", key[1])
+    out.insert(0, "store_name", key[0])
+    yield out.astype({"stock": "Int64", "safety_stock": "Int64", "health_index": "float64"})
+
+
+def alert_log(sales: DataFrame, opening: DataFrame, delay: str = DELAY) -> DataFrame:
+    """What X3 tells per batch: alerts as they change, and sales that came
+    after the watermark (``late_sale``; they still reduce the stock)."""
+    s = sales.join(opening, ["store_name", "product_id"])
+    at = F.col("sale_date").cast("timestamp")
+    s = s.select("store_name", "product_id", "sale_id", "quantity", "inventory", "safety_stock", at.alias("at"),
+                 F.unix_millis(at).alias("ms")).withWatermark("at", delay)
+    # no timeout: with one, Spark drops late rows before the function sees them
+    told = s.groupBy("store_name", "product_id").applyInPandasWithState(
+        _stock_alerts, ALERT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
+    return drain(told, "alerts", mode="update")
+
+
+def stream_critical_alerts(sales: DataFrame, opening: DataFrame, delay: str = DELAY) -> DataFrame:
+    """Per (store, product) the first sale, in order of time, that takes
+    the health index below 70. ``opening`` (static: store_name, product_id,
+    inventory, safety_stock) is the stock before the first sale."""
+    last = Window.partitionBy("store_name", "product_id").orderBy(F.desc("batch"))
+    log = alert_log(sales, opening, delay).filter("late_sale IS NULL")
+    return (log.withColumn("_r", F.row_number().over(last)).filter("_r = 1 AND sale_id IS NOT NULL")
+            .select("store_name", "product_id", "sale_id", "stock", "safety_stock",
+                    F.bround("health_index", 1).alias("health_index")))
 
 
 def critical_alerts_batch(sales: DataFrame, opening: DataFrame) -> DataFrame:
     """Batch twin of X3: cumulative quantity per key and the first row whose
     health falls below 70."""
-    from pyspark.sql import Window
     s = sales.join(opening, ["store_name", "product_id"])
     w = Window.partitionBy("store_name", "product_id").orderBy("sale_date", "sale_id")
     s = s.withColumn("stock", (F.first("inventory").over(w) - F.sum("quantity").over(w)).cast("long"))

@@ -1,3 +1,4 @@
+import datetime as dt
 import os
 import tempfile
 
@@ -24,28 +25,46 @@ def test_entry_smoke(spark):
     assert len(rows) > 0 and set(rows[0].asDict()) == {"country", "total_sales"}
 
 
-def test_stream_feedback_equals_batch(spark):
+def in_files(df, order, n=4):
+    """``df`` as ``n`` Parquet files that a stream reads one by one; ``order`` deals the rows."""
+    out = tempfile.mkdtemp(prefix="stream-in-")
+    for i in range(n):
+        df.filter(F.pmod(order, F.lit(n)) == i).coalesce(1).write.mode("append").parquet(out)
+    return out
+
+
+def test_event_streams_in_any_order_equal_batch(spark):
+    from shelfcast.operators.funnel import journey_funnel
     from shelfcast.streaming import jobs as X
-    s = X.run_available_now(X.stream_feedback(X.events_stream(spark, f"{SMOKE}/events.parquet")), "t1",
-                            keys=["w", "product_id"])
     ev = spark.read.parquet(f"{SMOKE}/events.parquet")
-    b = X.stream_feedback(ev)  # same plan as a batch query
-    key = ["w", "product_id", "impressions", "clicks"]
-    assert sorted(map(tuple, s.select(*key).collect())) == sorted(map(tuple, b.select(*key).collect()))
-
-
-def test_stream_alerts_equal_batch(spark):
-    from shelfcast.plans.q_stream import x3
-    from shelfcast.operators import inventory as I
-    from shelfcast.sources.tpch import OVERSTOCK_PRODUCTS, tpch_sales
-    from shelfcast.streaming.jobs import critical_alerts_batch
-    got = x3(spark, SMOKE)
-    sales = tpch_sales(spark, SMOKE).select("sale_id", "sale_date", "store_name", "product_id", "quantity")
-    opening = I.inventory_list(I.inventory_snapshot(tpch_sales(spark, SMOKE), overstock_products=OVERSTOCK_PRODUCTS)).select(
-        "store_name", "product_id", "inventory", "safety_stock")
-    want = critical_alerts_batch(sales, opening)
-    cols = ["store_name", "product_id", "sale_id", "stock", "safety_stock", "health_index"]
-    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+    # days dealt to files backwards: most rows come late
+    path = in_files(ev, 100 - F.dayofmonth("ts"))
+    want = X.feedback_counts(X.feedback_rows(ev))
+    got = X.stream_feedback(X.events_stream(spark, path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, X.stream_funnel(X.events_stream(spark, path)).collect())) == sorted(
+        map(tuple, journey_funnel(ev).collect()))
+    nothing = X.events_stream(spark, in_files(ev.limit(0), F.lit(0), 1))
+    assert X.stream_feedback(nothing).count() == 0
+
+
+def test_stream_alerts_in_any_order_equal_batch(spark):
+    from shelfcast.streaming import jobs as X
+    rows = [(f"{s}{p}-{i:02d}", dt.date(2020, 1, 1) + dt.timedelta(days=(i * 7 + ord(p)) % 40), s, p, 1 + (i * 5) % 4)
+            for s in "ab" for p in "xyz" for i in range(12)]
+    sales = spark.createDataFrame(rows, "sale_id string, sale_date date, store_name string, product_id string, quantity int")
+    opening = spark.createDataFrame([("a", "x", 30, 20), ("a", "y", 25, 30), ("a", "z", 500, 10), ("b", "x", 21, 0), ("b", "y", 40, 40)],
+                                    "store_name string, product_id string, inventory long, safety_stock long")
+    want = sorted(map(tuple, X.critical_alerts_batch(sales, opening).collect()))
+    assert len(want) == 4
+    path = in_files(sales, 400 - F.dayofyear("sale_date"), 5)
+    source = lambda: spark.readStream.schema(sales.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    assert sorted(map(tuple, X.stream_critical_alerts(source(), opening, "60 days").collect())) == want
+    # with a short delay every sale that comes after the watermark is told, and none is lost
+    log = X.alert_log(source(), opening, "1 day")
+    assert log.filter("late_sale IS NOT NULL").count() > 0
+    assert log.filter("late_sale IS NOT NULL").join(sales, F.col("late_sale") == sales.sale_id).count() == log.filter(
+        "late_sale IS NOT NULL").count()
 
 
 def test_export_enrich_append(spark):
