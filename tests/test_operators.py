@@ -262,3 +262,23 @@ def test_fixture_outlier_days(spark):
     assert kept == [0, 1, 2, 3, 4, 6]
     flat = spark.createDataFrame([("s", i, 5.0) for i in range(4)] + [("s", 9, 50.0)], "store_id string, day int, value double")
     assert iqr_outlier(flat, ["store_id"], "value").count() == 5   # IQR = 0: nothing removed
+
+
+def test_fallback_rows_and_leading_engine_per_store(spark):
+    from shelfcast.operators import recommend as R
+    sales = spark.createDataFrame(
+        [(f"s{i}", "2020-01-01", st, f"store {st}", p, f"name {p}", 1, 10.0 * i) for i, (st, p) in
+         enumerate([("a", "p"), ("a", "q"), ("b", "q"), ("c", "r")], 1)],
+        "sale_id string, sale_date string, store_id string, store_name string, product_id string, product_name string, "
+        "quantity int, total_sales double")
+    one = spark.createDataFrame([("a", "r", 2.0, 1), ("b", "r", 0.5, 1)], "store_id string, product_id string, lift double, rank int")
+    two = spark.createDataFrame([("a", "x", 1.0, 1), ("a", "y", 2.0, 2)], "store_id string, product_id string, g double, rank int")
+    recs = R.store_recommendations(sales, {"one": one, "two": two}, {"one": "lift", "two": "g"})
+    fall = recs.filter("is_fallback").select("store_id", "engine", "product_id", "rank", "score").collect()
+    assert sorted(map(tuple, fall)) == sorted((st, e, p, r, 0.0) for st, e in [("b", "two"), ("c", "one"), ("c", "two")]
+                                              for r, p in enumerate("qrp", 1))
+    assert {(r.store_id, r.store_total_sales, r.store_product_count) for r in recs.collect()} == {
+        ("a", 30.0, 2), ("b", 30.0, 1), ("c", 40.0, 1)}
+    got = {(r.store_id, r.engine): (r.avg_score, r.n_products, r.is_best) for r in R.engine_leader(recs).collect()}
+    assert got == {("a", "one"): (2.0, 1, True), ("a", "two"): (1.5, 2, False), ("b", "one"): (0.5, 1, True),
+                   ("b", "two"): (0.0, 3, False), ("c", "one"): (0.0, 3, False), ("c", "two"): (0.0, 3, False)}
