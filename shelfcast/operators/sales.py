@@ -168,10 +168,11 @@ def sales_box(sales: DataFrame, years=None) -> DataFrame:
                   F.count(F.lit(1)).alias("store_count"))
 
 
-def retail_overview(sales: DataFrame, top: int = 10) -> DataFrame:
+def retail_overview(sales: DataFrame, top: int = 10, snapshot: DataFrame | None = None) -> DataFrame:
     """Overview over all rows, long form ``(section, key, sales, n)``:
     summary (total 2 dec., rows, average order value), sales by category
-    (all), top-10 countries, top-10 products, last date."""
+    (all), top-10 countries, top-10 products, last date, and rows per stock
+    status where the ``snapshot`` (I4) is given."""
     money = cents(F.col("total_sales"))
     summary = sales.agg(F.sum(money).alias("t"), F.count(F.lit(1)).alias("n"),
                         F.max("sale_date").alias("last"))
@@ -193,6 +194,9 @@ def retail_overview(sales: DataFrame, top: int = 10) -> DataFrame:
                   .orderBy(F.desc("t"), "key").limit(top))
         rows.append(g.select(F.lit(section).alias("section"), "key", cents_to_money(F.col("t"), 0).alias("sales"),
                              F.lit(None).cast("long").alias("n")))
+    if snapshot is not None:
+        rows.append(snapshot.groupBy(F.col("status").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit("inventory_status").alias("section"), "key", F.lit(None).cast("double").alias("sales"), "n"))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

@@ -240,3 +240,19 @@ def i19(spark, d):
     lst = I.inventory_list(snap(spark, d)).join(orders, ["store_name", "product_id"], "left")
     lst = lst.withColumn("inventory", F.col("inventory") - F.coalesce("_q", F.lit(0))).drop("_q")
     return I.normal_below_safety(lst)
+
+
+# ---- overview with stock --------------------------------------------------------
+@register("b13_overview_with_stock", with_sales(SNAP + f""",
+s AS (SELECT {MS} AS t, count(*) AS n, max(sale_date) AS last FROM sales)
+SELECT 'summary' AS section, 'total_sales' AS key, round_even(t / 100.0, 2) AS sales, n FROM s
+UNION ALL SELECT 'summary', 'avg_order_value', round_even(CASE WHEN n > 0 THEN t / 100.0 / n ELSE 0 END, 2), n FROM s
+UNION ALL SELECT 'summary', 'last_updated:' || strftime(last, '%Y-%m-%d'), NULL, NULL FROM s
+UNION ALL SELECT 'category', category_name, round_even({MS} / 100.0, 0), NULL FROM sales GROUP BY category_name
+UNION ALL SELECT 'country', key, round_even(t / 100.0, 0), NULL FROM (
+   SELECT country AS key, {MS} AS t FROM sales GROUP BY country ORDER BY t DESC, key LIMIT 10)
+UNION ALL SELECT 'product', key, round_even(t / 100.0, 0), NULL FROM (
+   SELECT product_name AS key, {MS} AS t FROM sales GROUP BY product_name ORDER BY t DESC, key LIMIT 10)
+UNION ALL SELECT 'inventory_status', status, NULL, count(*) FROM snap GROUP BY status"""))
+def b13(spark, d):
+    return S.retail_overview(tpch_sales(spark, d), snapshot=snap(spark, d))
