@@ -1,18 +1,19 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
 1. Word n-grams of the benchmark are looked up in every document (one pass,
-   vectorised); hits and their corpus counts are kept as tables.
-2. An item's *seeds* are its rare n-grams: those whose corpus count is at most
-   ``RARE`` times the item's lower quartile (plus a few). The bound is relative
-   to the item, so an item that leaked into very many documents keeps seeds,
-   and only phrases far more common than the item itself drop out.
-3. Seed hits join documents to items; hits on nearby diagonals make a passage.
+   vectorised). Every n-gram that a document shares with an item is a seed,
+   however often it occurs in the corpus.
+2. A pair is dropped before alignment only if it cannot be a leak: an
+   alignment of score ``LEAK`` matches at least that share of the item's words,
+   so fewer of them present in the document, or in the passage, rule it out.
+3. Passages reach as far from a seed as an alignment of that score can;
+   overlapping ones are one.
 4. Each passage is aligned with its item by words (local alignment, linear
    gaps), which scores edited and paraphrased copies. A pair is a leak if the
    score is at least ``LEAK`` of a perfect copy's.
 
 The benchmark is worked off in blocks of at most ``BLOCK`` items, so what is
-sent to all tasks is bounded whatever its size.
+sent to all tasks is bounded whatever its size. Only leaks leave the pass.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ from pyspark.sql import functions as F
 from . import common as C
 
 N = 3
-RARE, FEW = 4.0, 20
 LEAK = 0.4
 MATCH, MISS, GAP = 2, -1, -1
 #: Items (their words and n-grams) that go to all tasks at a time.
 BLOCK = 20_000
+#: Pairs of an n-gram in a document and in an item that one step holds.
+HITS = 1 << 20
 
 _DROP = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
@@ -58,22 +60,58 @@ def sent_words(items: list[tuple[int, str]]) -> dict[int, np.ndarray]:
     return {i: h[a:b] for (i, _), a, b in zip(items, w.first[:-1], w.first[1:])}
 
 
-def hit_rows(seeds: np.ndarray, n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at, texts in C.slices(b.column("text")):
-                w, _, pos, gram = grams([normal(t) for t in texts], n)
-                if not len(gram) or not len(seeds):
-                    continue
-                found = seeds[np.minimum(np.searchsorted(seeds, gram), len(seeds) - 1)] == gram
-                pos, gram = pos[found], gram[found]
-                row = np.searchsorted(w.first, pos, side="right") - 1
-                src = pa.array(row + at)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(src), b.column("th").take(src),
-                     pa.array((pos - w.first[row]).astype(np.int32)), pa.array(C.as_long(gram))],
-                    ["doc_id", "th", "pos", "gram"])
-    return run
+class Items:
+    """Items of a block: words as places in ``vocab``, and the (item, position)
+    of every n-gram, in order of ``gram``."""
+
+    def __init__(self, words: dict[int, np.ndarray], n: int):
+        self.ids = np.array(list(words), np.int64)
+        self.words = list(words.values())
+        self.size = np.array([len(w) for w in self.words])
+        self.first = np.cumsum(np.append(0, self.size))
+        flat = np.concatenate(self.words)
+        self.vocab, self.place = np.unique(flat, return_inverse=True)
+        item = np.repeat(np.arange(len(self.words)), self.size)
+        at = np.flatnonzero(item[: len(flat) - n + 1] == item[n - 1:])
+        gram = C.seq_hashes(flat, at, at + n)
+        order = np.argsort(gram, kind="stable")
+        self.gram, start = np.unique(gram[order], return_index=True)
+        self.start = np.append(start, len(order))
+        self.item, self.pos = item[at][order], (at - self.first[item[at]])[order]
+
+    def enough(self, doc: np.ndarray, items: np.ndarray, leak: float) -> np.ndarray:
+        """Those of ``items`` of whose words at least ``leak`` occur in ``doc``."""
+        at = np.minimum(np.searchsorted(self.vocab, doc), len(self.vocab) - 1)
+        there = np.zeros(len(self.vocab), bool)
+        there[at[self.vocab[at] == doc]] = True
+        n = self.size[items]
+        first = np.cumsum(n) - n
+        flat = np.repeat(self.first[items] - first, n) + np.arange(n.sum())
+        got = np.add.reduceat(there[self.place[flat]].astype(np.int64), first)
+        return items[got / n >= leak]
+
+    def hits(self, which: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item, diagonal) of n-grams ``which`` at ``pos``, at most about ``HITS`` at a time."""
+        n = self.start[which + 1] - self.start[which]
+        part = np.cumsum(n) // HITS
+        for lo, hi in zip(*(f(part, np.unique(part), side=s) for f, s in ((np.searchsorted, "left"), (np.searchsorted, "right")))):
+            m, w = n[lo:hi], which[lo:hi]
+            at = np.repeat(self.start[w] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            yield self.item[at], np.repeat(pos[lo:hi], m) - self.pos[at]
+
+
+def passages(diagonal: np.ndarray, size: int, length: int, leak: float) -> list[tuple[int, int]]:
+    """Merged spans of words that an alignment through one of the diagonals can
+    touch: of score ``leak`` it has at most ``2 * (1 - leak) * size`` gaps."""
+    slack = int(np.ceil((MATCH * (1 - leak)) * size / -GAP))
+    out = []
+    for d in np.unique(diagonal).tolist():
+        lo, hi = max(0, d - slack), min(length, d + size + slack)
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
@@ -100,25 +138,51 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), best_from, best_to
 
 
-def leak_rows(words: dict[int, np.ndarray], leak: float):
+def leaks_in(doc: np.ndarray, which: np.ndarray, pos: np.ndarray, items: Items, leak: float) -> list[tuple]:
+    """(item_id, score, first_word, end_word) of the items that ``doc`` holds;
+    n-gram ``which`` of the block stands at ``pos``."""
+    seen = np.zeros(len(items.ids), bool)
+    for item, _ in items.hits(np.unique(which), np.zeros(len(which), np.int64)):
+        seen[item] = True
+    left = items.enough(doc, np.flatnonzero(seen), leak)
+    if not len(left):
+        return []
+    keep = np.zeros(len(items.ids), bool)
+    keep[left] = True
+    found = [np.unique(np.stack([i[keep[i]], d[keep[i]]]), axis=1) for i, d in items.hits(which, pos)]
+    item, diagonal = np.concatenate(found, axis=1)
+    order = np.argsort(item, kind="stable")
+    item, diagonal = item[order], diagonal[order]
+    out = []
+    for i, a, b in zip(left.tolist(), np.searchsorted(item, left), np.searchsorted(item, left, side="right")):
+        words, size, best = items.words[i], int(items.size[i]), (0.0, 0, 0)
+        for lo, hi in passages(diagonal[a:b], size, len(doc), leak):
+            if np.isin(words, doc[lo:hi]).sum() / size < leak:
+                continue
+            score, x, y = align(words, doc[lo:hi])
+            if score >= leak and score > best[0]:
+                best = (score, lo + x, lo + y)
+        if best[0]:
+            out.append((int(items.ids[i]), *best))
+    return sorted(out)
+
+
+def leak_rows(items: Items, n: int, leak: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cand = b.column("cand").to_pylist()
             for at, texts in C.slices(b.column("text")):
-                w = C.Words([normal(t) for t in texts])
-                h = w.hashes()
+                w, h, pos, gram = grams([normal(t) for t in texts], n)
+                if not len(gram):
+                    continue
+                which = np.minimum(np.searchsorted(items.gram, gram), len(items.gram) - 1)
+                found = items.gram[which] == gram
+                pos, which = pos[found], which[found]
+                row = np.searchsorted(w.first, pos, side="right") - 1
                 out = []
-                for r in range(len(texts)):
+                for r in np.unique(row).tolist():
+                    lo, hi = np.searchsorted(row, (r, r + 1))
                     doc = h[w.first[r]:w.first[r + 1]]
-                    best = {}
-                    for c in cand[at + r]:
-                        item, size = words[c["item_id"]], len(words[c["item_id"]])
-                        lo = max(0, c["bin"] * size - size // 2)
-                        hi = min(len(doc), (c["bin"] + 1) * size + size + size // 2 + 1)
-                        score, x, y = align(item, doc[lo:hi])
-                        if score >= leak and score > best.get(c["item_id"], (0,))[0]:
-                            best[c["item_id"]] = (score, lo + x, lo + y)
-                    out += [(at + r, i, *v) for i, v in sorted(best.items())]
+                    out += [(at + r, *x) for x in leaks_in(doc, which[lo:hi], pos[lo:hi] - w.first[r], items, leak)]
                 if out:
                     row, item, score, x, y = zip(*out)
                     yield pa.RecordBatch.from_arrays(
@@ -135,6 +199,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, leak: float = LEAK,
     """(doc_id, th, item_id, score, first_word, end_word) of each pair of a
     document and an item it holds; words are counted after normalisation.
 
+    A pair shares at least one n-gram of ``n`` words.
     ``th`` tells rows of one doc_id with different texts apart. Null or empty
     texts and items, and items of fewer than ``n`` words, give no rows;
     repeated rows give one; of several items with one id each counts as that id's text
@@ -158,27 +223,7 @@ def _leaks_of(rows: DataFrame, items: DataFrame, n: int, leak: float) -> DataFra
     words = {i: w for i, w in sent_words(held).items() if len(w) >= n}
     if not words:
         return spark.createDataFrame([], LEAKS)
-    table = [(i, p, int(g)) for i, w in words.items() for p, g in
-             enumerate(C.as_long(C.seq_hashes(w, np.arange(len(w) - n + 1), np.arange(len(w) - n + 1) + n)))]
-    seeds = np.unique(np.array([g for _, _, g in table], np.int64).view(np.uint64))
-    hits = C.stored(rows.mapInArrow(hit_rows(seeds, n), "doc_id long, th int, pos int, gram long").distinct())
-    counts = hits.groupBy("gram").count()
-    ours = spark.createDataFrame(table, "item_id long, item_pos int, gram long")
-    ours = ours.join(counts, "gram", "left").fillna(0, ["count"])
-    # the quartile is taken over n-grams that occur at all
-    low = (ours.filter("count > 0").groupBy("item_id")
-           .agg(F.expr("percentile(count, 0.25)").alias("low")))
-    size = spark.createDataFrame([(i, len(w)) for i, w in words.items()], "item_id long, size int")
-    rare = (ours.join(low, "item_id").join(size, "item_id").filter(F.col("count") <= F.col("low") * RARE + FEW)
-            .select("gram", "item_id", "item_pos", "size"))
-    cand = (hits.join(F.broadcast(rare), "gram")  # at most the n-grams of a block
-            .select("doc_id", "th", "item_id", F.floor((F.col("pos") - F.col("item_pos")) / F.col("size")).alias("bin"))
-            .distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("item_id", "bin")).alias("cand")))
-    cand = cand.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "cand")
-    found = (rows.join(cand.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")))
-             .select("doc_id", "th", F.coalesce("text", F.lit("")).alias("text"), "cand")
-             .mapInArrow(leak_rows(words, leak), LEAKS))
-    return found.distinct()
+    return rows.mapInArrow(leak_rows(Items(words, n), n, leak), LEAKS).distinct()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:

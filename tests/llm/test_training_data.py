@@ -387,3 +387,41 @@ def test_every_query_is_registered():
     for n in range(1, 11):
         assert sum(k.startswith(f"op{n}_") for k in q) == 1
     assert "pipeline" in q and {"op5_substring_dedup", "op6_minhash_dedup"} <= set(__spark_entry__.oracle_sql())
+
+
+def test_many_edited_copies_are_leaks_beside_an_exact_one(spark):
+    item = words(38, 40)
+    edited = item.copy()
+    for i in (7, 15, 22, 30):
+        edited[i] = "changed"
+    rows = [(0, " ".join(words(20, 41) + item))] + [(i, " ".join(words(30, 41 + i) + edited)) for i in range(1, 41)]
+    rows += [(i, " ".join(words(30, 41 + i) + item[:6])) for i in range(50, 90)]  # a phrase of it is no leak
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(words(38, 200)[:32] + item[:6]))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(df, bench).collect()}
+    assert set(got) == {(i, 1) for i in range(41)}
+    assert got[0, 1] == 1.0 and all(0.8 < got[i, 1] < 0.9 for i in range(1, 41))
+    assert {r.doc_id for r in decontaminate.clean(df, bench).collect()} == set(range(50, 90))
+
+
+def test_leaks_match_alignment_of_all_pairs(spark):
+    rnd = random.Random(12)
+    items = [[rnd.choice("abcdefghijklmnopqrst") for _ in range(rnd.randrange(3, 25))] for _ in range(25)]
+    docs = []
+    for i in range(60):
+        w = rnd.choice(items).copy()
+        for _ in range(rnd.randrange(len(w))):
+            at = rnd.randrange(len(w) + 1)
+            w[at:at + rnd.randrange(2)] = [rnd.choice("uvwxyz")] * rnd.randrange(2)
+        docs.append([rnd.choice("abcuvwxyz") for _ in range(rnd.randrange(60))] + w)
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(
+        spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()}
+    three = lambda w: {tuple(w[p:p + 3]) for p in range(len(w) - 2)}
+    want = {}
+    for i, d in enumerate(docs):
+        for j, x in enumerate(items):
+            score = decontaminate.align(np.array([ord(c) for c in x]), np.array([ord(c) for c in d]))[0] if d else 0
+            if score >= decontaminate.LEAK and three(d) & three(x):
+                want[i, j] = score
+    assert got == want and len(want) > 45
