@@ -5,8 +5,10 @@ Feistel permutation of their domain, so equal values get equal pseudonyms in
 all documents and different values different ones:
 
 * payment card numbers (13 to 19 digits, blanks or hyphens between groups,
-  Luhn digit right): the leading six digits and the length stay, the digits
-  between are permuted, the Luhn digit is made anew;
+  Luhn digit right), also beside other numbers: of a run of digit groups every
+  stretch of whole groups is tried, those that look like an issuer's card in
+  its usual groups first, then from the left. The leading six digits and the
+  length stay, the digits between are permuted, the Luhn digit is made anew;
 * phone numbers with a country code or a bracketed area code: all digits
   after the country code are permuted;
 * IPv4 addresses with parts up to 255: the 32 bits are permuted;
@@ -36,7 +38,14 @@ from .found import matches, spliced
 
 ROUNDS = 8
 
-CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)"
+#: A run of digits, blanks and hyphens with 13 digits or more; a card is a
+#: stretch of its groups. (A repeated group would need stack for each number.)
+CARD = r"(?<![\d.-])(?=\d(?:[ -]?\d){12})\d[\d -]*(?!\d|\.\d)"
+CARD_DIGITS = (13, 19)
+#: First digits and lengths of the large issuers, and the groups cards are printed in.
+ISSUER = (r"^(?:4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}"
+          r"|3[47]\d{13}|3[0689]\d{12}|35\d{14}|6\d{15,18})$")
+PRINTED = r"^(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{4}(?:[ -]\d{3})?|\d{4}(?:[ -]\d{4}){2}[ -]\d|\d{4}[ -]\d{6}[ -]\d{4,5})$"
 PHONE = r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{2,4}[ .-]?\d{3,4}|(?<![\d+])\(\d{3}\) \d{3}-\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"
 SSN = r"(?<![\d-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"
@@ -99,12 +108,55 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
+def card_cells(run: Column) -> Column:
+    """The groups of a run, each with the blank or hyphen behind it."""
+    return F.split(run, "(?<=[ -])")
+
+
+def card_spans(cells: Column) -> Column:
+    """array<struct<at, to>> of the cards in a run: first and last group (from 1), in order. No two overlap."""
+    least, most = CARD_DIGITS
+
+    def of(cell: Column, i: Column) -> Column:
+        # a card has at most 19 groups
+        ends = F.transform(F.slice(cells, i + 1, F.lit(most)), lambda y, j: F.struct(
+            (i + 1).alias("at"), (i + j + 1).alias("to"), F.array_join(F.slice(cells, i + 1, j + 1), "").alias("part")))
+        return F.filter(ends, lambda z: F.length(_digits(z["part"])).between(least, most)
+                        & z["part"].rlike(r"^\d+(?:[ -]\d+)*[ -]?$"))
+
+    def ranked(z: Column) -> Column:
+        return let(_digits(z["part"]), lambda d: F.when(luhn_sum(d) % 10 == 0, let(
+            F.regexp_replace(z["part"], "[ -]$", "").rlike(PRINTED) & d.rlike(ISSUER), lambda usual: F.struct(
+                (~usual).alias("odd"), z["at"].alias("at"), F.when(usual, z["to"]).otherwise(-z["to"]).alias("n"),
+                z["to"].alias("to")))))
+
+    found = F.array_sort(F.filter(F.transform(F.flatten(F.transform(cells, of)), ranked), lambda z: z.isNotNull()))
+    none = F.array().cast("array<struct<at:int,to:int>>")
+    free = lambda out, z: ~F.exists(out, lambda o: (o["at"] <= z["to"]) & (z["at"] <= o["to"]))
+    return F.array_sort(F.aggregate(found, none, lambda out, z: F.when(free(out, z), F.concat(
+        out, F.array(F.struct(z["at"].alias("at"), z["to"].alias("to"))))).otherwise(out)))
+
+
 def card(m: Column, key: Column) -> Column:
+    """The run ``m`` with its cards replaced."""
     def new(d: Column) -> Column:
         body = F.concat(F.substring(d, 1, 6), permute_digits(F.substring(
             d, F.lit(7), F.length(d) - 7), F.concat_ws("|", key, F.lit("card"), F.substring(d, 1, 6))))
-        return let(body, lambda x: refill(m, F.concat(x, F.pmod(-luhn_sum(F.concat(x, F.lit("0"))), F.lit(10)).cast("string"))))
-    return let(_digits(m), lambda d: F.when(luhn_sum(d) % 10 == 0, new(d)).otherwise(m))
+        return let(body, lambda x: F.concat(x, F.pmod(-luhn_sum(F.concat(x, F.lit("0"))), F.lit(10)).cast("string")))
+
+    def text(cells: Column, at: Column, to: Column) -> Column:
+        return F.array_join(F.slice(cells, at, F.greatest(F.lit(0), to - at + 1)), "")
+
+    def filled(cells: Column, spans: Column) -> Column:
+        # before each card the groups since the one before; after the last, the rest
+        parts = F.transform(spans, lambda z, i: F.concat(
+            text(cells, F.when(i > 0, F.try_element_at(spans, F.greatest(i, F.lit(1)))["to"] + 1).otherwise(1), z["at"] - 1),
+            let(text(cells, z["at"], z["to"]), lambda p: refill(p, let(_digits(p), new)))))
+        rest = text(cells, F.coalesce(F.try_element_at(spans, F.lit(-1))["to"], F.lit(0)) + 1, F.size(cells))
+        return F.concat(F.array_join(parts, ""), rest)
+
+    return let(card_cells(m), lambda cells: let(card_spans(cells), lambda spans: F.when(
+        F.size(spans) > 0, filled(cells, spans)).otherwise(m)))
 
 
 def phone(m: Column, key: Column) -> Column:
@@ -200,13 +252,13 @@ HINT = {"email": "@", "card": r"\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d", "
         "date": r"\d[./-]\d\d[./-]\d", "ipv4": r"\d\.\d{1,3}\.\d", "phone": r"\+\d|\(\d"}
 
 
-def valid(kind: str, m: Column) -> Column:
-    """Whether a match counts (the patterns check the rest)."""
+def number(kind: str, found: Column) -> Column:
+    """How many of the matches count (the patterns check the rest)."""
     if kind == "card":
-        return luhn_sum(_digits(m)) % 10 == 0
+        return F.aggregate(found, F.lit(0), lambda s, m: s + let(card_cells(m), lambda c: F.size(card_spans(c))))
     if kind == "date":
-        return iso_day(m).isNotNull()
-    return F.lit(True)
+        return F.size(F.filter(found, lambda m: iso_day(m).isNotNull()))
+    return F.size(found)
 
 
 def pseudonymise(docs: DataFrame, key: str, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
@@ -219,7 +271,7 @@ def pseudonymise(docs: DataFrame, key: str, kinds: tuple[str, ...] = tuple(KINDS
 
     def count(kind: str) -> Column:
         pattern = KINDS[kind][0]
-        n = F.size(F.filter(matches(text, pattern), lambda m: valid(kind, m)))
+        n = number(kind, matches(text, pattern))
         return F.when(text.rlike(HINT[kind]) & text.rlike(pattern), n).otherwise(0).cast("long")
 
     def replaced(kind: str) -> Column:

@@ -425,3 +425,42 @@ def test_leaks_match_alignment_of_all_pairs(spark):
             if score >= decontaminate.LEAK and three(d) & three(x):
                 want[i, j] = score
     assert got == want and len(want) > 45
+
+
+def test_cards_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    cases = ["{} 12/26", "{} 123", "order 17 {}", "2024-01-05 {}", "{} 2 pieces", "05/01/2024 {} 12/26 123", "77 {}-99", "({})"]
+    texts_ = [c.format(v) for c in cases for v in (card, card.replace(" ", ""), card.replace(" ", "-"))]
+    pair = "5500 0000 0000 0004 4111 1111 1111 1111 378282246310005"
+    none_ = ["4111 1111 1111 1112 12/26", "4111  1111  1111  1111", "4111111111111111.5", "1 " * 9000, "1234567 1234567", "4" * 40, "12 34 56"]
+    rows = list(enumerate(texts_ + [pair] + none_))
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(
+        spark.createDataFrame(rows, "doc_id long, text string"), "key", ("card",)).collect()}
+    new = {}
+    for i, t in enumerate(texts_):
+        at = re.search("4111.?1111.?1111.?1111", t)
+        r = got[i]
+        assert r.n_card == 1, t
+        assert r.new_text[:at.start()] == t[:at.start()] and r.new_text[at.end():] == t[at.end():], t
+        assert re.sub(r"\d", "0", r.new_text) == re.sub(r"\d", "0", t)
+        new.setdefault(re.sub(r"\D", "", r.new_text[at.start():at.end()]), []).append(i)
+    assert len(new) == 1 and "4111111111111111" not in new  # equal cards stay linked
+    assert got[len(texts_)].n_card == 3
+    assert re.sub(r"\D", "", got[len(texts_)].new_text)[16:32] in new
+    for i, t in rows[len(texts_) + 1:]:
+        assert got[i].n_card == 0 and got[i].new_text == t
+
+
+def test_cards_match_all_stretches(spark):
+    rnd = random.Random(31)
+    rows = [(i, " ".join("".join(rnd.choice("0123456789") for _ in range(rnd.choice((1, 2, 4, 4, 4, 6, 16))))
+                         for _ in range(rnd.randrange(1, 9)))) for i in range(300)]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(
+        spark.createDataFrame(rows, "doc_id long, text string"), "key", ("card",)).collect()}
+    luhn = lambda d: sum(int(x) if k % 2 == 0 else sum(divmod(2 * int(x), 10)) for k, x in enumerate(reversed(d))) % 10 == 0
+    for i, t in rows:
+        g = t.split()
+        any_ = any(13 <= len(d := "".join(g[a:b])) <= 19 and luhn(d) for a in range(len(g)) for b in range(a + 1, len(g) + 1))
+        assert (got[i].n_card > 0) == any_, t
+        assert (got[i].new_text != t) <= any_
+    assert 30 < sum(r.n_card > 0 for r in got.values()) < 280
