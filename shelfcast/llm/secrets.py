@@ -4,15 +4,17 @@ Base findings are three kinds of strings (``assign``, ``access``, ``hex``).
 Weaker parts mean nothing alone: short access identifiers, long mixed tokens
 and endpoints. They are *linked*: parts become rows (document, kind, start,
 end), and an interval join within a scope of ``reach`` code points keeps a
-weak part only where a complementary part starts at most that far away (an
-identifier or an endpoint wants a secret; a token wants an identifier).
+weak part only where a complementary part lies at most that far before or
+behind it, counted between the nearer end and start (an identifier or an
+endpoint wants a secret; a token wants an identifier).
 
 The interval join runs on bins of ``reach`` code points. For each document,
-role and bin the first and last start are aggregated (with map-side
-combine); a part then needs only its own bin and the two beside it: any
-start in its own bin is in reach, the last start of the bin before and the
-first of the bin after decide the rest exactly. So no pairs are made, however
-many parts a document has.
+role and bin the first and last end (of parts that lie before) and the first
+and last start (of parts behind) are aggregated, with map-side combine. What
+lies before a part ends in the bin of its start or the one before; what lies
+behind starts in the bin of its end or the next; the first and last of these
+decide exactly, however long the parts are. So no pairs are made, however many
+parts a document has.
 """
 
 from __future__ import annotations
@@ -86,29 +88,39 @@ def parts(docs: DataFrame) -> DataFrame:
             .select("doc_id", "th", "kind", (F.col("end") - F.col("size")).alias("start"), "end"))
 
 
-def findings(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def findings(docs: DataFrame, reach: int = REACH, gaps: bool = False) -> DataFrame:
     """(doc_id, th, kind, start, end): base findings, and weak ones with a complement in reach.
 
+    ``gaps``: the reach counts from the end of the earlier part to the start
+    of the later one, as ``scan`` and ``masked`` have it; else from start to start.
     ``th`` tells rows of one doc_id with different texts apart; repeated
     rows give one set of findings."""
     names = F.array(*[F.lit(k) for k in KINDS])
     role = F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv])
     every = C.stored(parts(docs).withColumn("kind", names[F.col("kind")]))
     base = every.filter(F.col("kind").isin(*BASE))
-    # a weak part inside a base finding is that finding
-    bins = (every.withColumn("role", role[F.col("kind")]).withColumn("bin", F.floor(F.col("start") / reach))
-            .groupBy("doc_id", "th", "role", "bin").agg(F.min("start").alias("lo"), F.max("start").alias("hi")))
-    # each bin is offered to itself and its neighbours
-    near = bins.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).select(
+    behind = F.col("end" if gaps else "start")
+
+    def sides(before: Column, after: Column) -> Column:
+        return F.inline(F.array(F.struct(F.lit(True).alias("before"), before.alias("at")),
+                                F.struct(F.lit(False).alias("before"), after.alias("at"))))
+
+    bins = (every.select("doc_id", "th", role[F.col("kind")].alias("role"), sides(behind, F.col("start")))
+            .groupBy("doc_id", "th", "role", "before", F.floor(F.col("at") / reach).alias("bin"))
+            .agg(F.min("at").alias("lo"), F.max("at").alias("hi")))
+    # each bin is offered to itself and, of what lies before, the next one, else the one before
+    near = bins.withColumn("step", F.explode(F.array(F.lit(0), F.when(F.col("before"), 1).otherwise(-1)))).select(
         F.col("doc_id").alias("d2"), F.col("th").alias("t2"), (F.col("bin") + F.col("step")).alias("b2"),
-        F.col("role").alias("need"), "step", "lo", "hi")
+        F.col("role").alias("need"), F.col("before").alias("side"), "step", "lo", "hi")
     needs = F.create_map(*[x for k, v in NEEDS.items() for x in (F.lit(k), F.array(*[F.lit(r) for r in v]))])
-    weak = (every.filter(~F.col("kind").isin(*BASE))
-            .select("*", F.floor(F.col("start") / reach).alias("bin"), F.explode(needs[F.col("kind")]).alias("want")))
-    hit = (F.when(F.col("step") == 1, F.col("start") - F.col("hi") <= reach)
-           .when(F.col("step") == -1, F.col("lo") - F.col("start") <= reach).otherwise(True))
+    weak = (every.filter(~F.col("kind").isin(*BASE)).select("*", sides(F.col("start"), behind))
+            .select("*", F.floor(F.col("at") / reach).alias("bin"), F.explode(needs[F.col("kind")]).alias("want")))
+    hit = (F.when(F.col("step") == 1, F.col("at") - F.col("hi") <= reach)
+           .when(F.col("step") == -1, F.col("lo") - F.col("at") <= reach)
+           .when(F.col("before"), F.col("lo") <= F.col("at")).otherwise(F.col("hi") >= F.col("at")))
     linked = weak.join(near.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))
-                       & (F.col("bin") == F.col("b2")) & (F.col("want") == F.col("need")) & hit, "left_semi")
+                       & (F.col("bin") == F.col("b2")) & (F.col("want") == F.col("need"))
+                       & (F.col("before") == F.col("side")) & hit, "left_semi")
     return base.unionAll(linked.select("doc_id", "th", "kind", "start", "end").distinct())
 
 
@@ -119,7 +131,7 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     Extra columns are ignored; repeated rows each get their findings."""
     order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     one = F.struct("start", order[F.col("kind")].alias("o"), "end", "kind")
-    per = (findings(docs, reach).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(one)).alias("f")))
+    per = (findings(docs, reach, gaps=True).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(one)).alias("f")))
     per = per.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "f")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_hash().alias("th"))
     rows = keyed.join(per.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")), "left")
@@ -139,7 +151,7 @@ def masked(docs: DataFrame, reach: int = REACH) -> DataFrame:
     and replaced by ``[secret]``; overlapping findings are cut as one. ``n_chars``,
     if there, follows the new text. Rows without a finding are unchanged."""
     one = F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e"))
-    per = (findings(docs, reach).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(one)).alias("cuts"))
+    per = (findings(docs, reach, gaps=True).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(one)).alias("cuts"))
            .select(F.col("doc_id").alias("__d2"), F.col("th").alias("__t2"), F.col("cuts").alias("__cuts")))
     rows = docs.withColumn("__th", C.text_hash())
     rows = rows.join(per.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__d2"))
