@@ -15,6 +15,10 @@ lies before a part ends in the bin of its start or the one before; what lies
 behind starts in the bin of its end or the next; the first and last of these
 decide exactly, however long the parts are. So no pairs are made, however many
 parts a document has.
+
+A string is no complement of itself: a token that overlaps a named value or an
+access key, and a weak part inside a base finding, are that other part and
+link nothing (an identifier whose value is a long token stands alone).
 """
 
 from __future__ import annotations
@@ -88,6 +92,24 @@ def parts(docs: DataFrame) -> DataFrame:
             .select("doc_id", "th", "kind", (F.col("end") - F.col("size")).alias("start"), "end"))
 
 
+def _own(every: DataFrame) -> DataFrame:
+    """Parts without the weak ones that are part of another string's finding."""
+    kind, start, end = F.col("kind"), F.col("start"), F.col("end")
+    by = Window.partitionBy("doc_id", "th").orderBy("start")
+    till, since = (by.rangeBetween(Window.unboundedPreceding, Window.currentRow),
+                   by.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    named = kind.isin("assign", "access", "ident")
+    # the nearest of the others on both sides decide, as all before end before the largest end
+    last = F.max(F.when(named, end)).over(till)
+    following = F.min(F.when(named, start)).over(since)
+    around = F.max(F.when(kind.isin(*BASE), end)).over(till)
+    rows = every.withColumns({"__last": last, "__next": following, "__around": around})
+    touched = F.coalesce(F.col("__last") > start, F.lit(False)) | F.coalesce(F.col("__next") < end, F.lit(False))
+    inside = F.coalesce(F.col("__around") >= end, F.lit(False))
+    drop = ((kind == "blob") & touched) | (~kind.isin(*BASE) & inside)
+    return rows.filter(~drop).select(every.columns)
+
+
 def findings(docs: DataFrame, reach: int = REACH, gaps: bool = False) -> DataFrame:
     """(doc_id, th, kind, start, end): base findings, and weak ones with a complement in reach.
 
@@ -97,7 +119,7 @@ def findings(docs: DataFrame, reach: int = REACH, gaps: bool = False) -> DataFra
     rows give one set of findings."""
     names = F.array(*[F.lit(k) for k in KINDS])
     role = F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv])
-    every = C.stored(parts(docs).withColumn("kind", names[F.col("kind")]))
+    every = C.stored(_own(parts(docs).withColumn("kind", names[F.col("kind")])))
     base = every.filter(F.col("kind").isin(*BASE))
     behind = F.col("end" if gaps else "start")
 
