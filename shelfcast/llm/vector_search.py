@@ -7,7 +7,8 @@ best-bin-first search.
   opened next, leaves come out best bin first. How many leaves to visit is
   calibrated: for ``CALIBRATE`` queries all rows are searched by brute force,
   and visits widen until the leaves visited hold ``RECALL`` of the true
-  neighbours.
+  neighbours. A query goes on past that until its leaves hold ``k`` rows
+  besides its own, so it finds fewer only if there are fewer.
 * Rows and query visits meet in blocks. A leaf with many rows is salted into
   blocks of about ``ROWS``, one with many queries into blocks of about
   ``QUERIES``, so no task holds a hot leaf whole. Every block returns its best
@@ -79,11 +80,12 @@ class Tree:
             if not moved:
                 return at
 
-    def walk(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves for one query, best bin first."""
+    def walk(self, q: np.ndarray, visits: int, held: np.ndarray | None = None, need: int = 0) -> list[int]:
+        """The first ``visits`` leaves for one query, best bin first, and more
+        until they hold ``need`` rows (node i holds ``held[i]``)."""
         away = ((self.centre - q) ** 2).sum(axis=1)
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+        queue, out, got = [(0.0, 0)], [], 0
+        while queue and (len(out) < visits or got < need):
             _, node = heapq.heappop(queue)
             while self.kids[node]:  # down to the nearest leaf; siblings wait
                 kids = sorted(self.kids[node], key=lambda i: away[i])
@@ -91,6 +93,7 @@ class Tree:
                     heapq.heappush(queue, (away[i], i))
                 node = kids[0]
             out.append(node)
+            got += 0 if held is None else int(held[node])
         return out
 
 
@@ -163,11 +166,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
             yield b[["vec_id", "v", "leaf"]]
 
     indexed = C.stored(rows.mapInPandas(index, "vec_id long, v array<double>, leaf long"))
-    visits = calibrated(tree, indexed, asked, k, recall)
+    # of repeated rows one counts, at one leaf
+    leaf = C.stored(indexed.groupBy("vec_id").agg(F.min("leaf").alias("leaf")))
+    visits = calibrated(tree, indexed, leaf, asked, k, recall)
+    held = np.zeros(len(tree.centre), np.int64)
+    for r in leaf.groupBy("leaf").count().collect():  # at most the leaves of the tree
+        held[r["leaf"]] = r["count"]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["leaf"] = [tree.walk(q, visits) for q in unit(_matrix(b.v))] if len(b) else []
+            b["leaf"] = [tree.walk(q, visits, held, k + 1) for q in unit(_matrix(b.v))] if len(b) else []
             yield b.explode("leaf").astype({"leaf": "int64"})[["vec_id", "v", "leaf"]]
 
     ways = C.stored(asked.mapInPandas(walk, "vec_id long, v array<double>, leaf long"))
@@ -218,11 +226,10 @@ def exact(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
 
 
-def calibrated(tree: Tree, indexed: DataFrame, asked: DataFrame, k: int, recall: float) -> int:
+def calibrated(tree: Tree, indexed: DataFrame, leaf: DataFrame, asked: DataFrame, k: int, recall: float) -> int:
     """Leaves to visit so that a sample of queries finds ``recall`` of its true neighbours."""
     few = asked.orderBy(F.xxhash64("vec_id", F.lit(SEED + 1)), "vec_id").limit(CALIBRATE)
     true = exact(indexed, few, k).select("query_id", "vec_id")
-    leaf = indexed.groupBy("vec_id").agg(F.min("leaf").alias("leaf"))
     true = F.broadcast(true)  # at most CALIBRATE * k rows
     pairs = leaf.join(true, "vec_id").select("query_id", "leaf").toPandas()
     if not len(pairs):

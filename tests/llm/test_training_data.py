@@ -507,3 +507,15 @@ def test_a_string_is_no_complement_of_itself(spark):
     text = {r.doc_id: r.text for r in secrets.masked(df).collect()}
     assert [text[i] for i in range(3)] == alone[:3]
     assert [text[len(alone) + i] for i in range(3)] == ["[secret] [secret]"] * 3
+
+
+def test_queries_beside_tight_groups_find_k(spark):
+    rng = np.random.default_rng(5)
+    group = np.repeat(rng.normal(size=(500, 8)), 10, axis=0) + 1e-4 * rng.normal(size=(5000, 8))
+    x = np.concatenate([group, rng.normal(size=(400, 8))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = df.filter("vec_id < 5000 OR vec_id >= 5300")  # 2 % outside the groups: one visit is enough for the rest
+    n = Counter(r.query_id for r in vector_search.nearest(df, asked).collect())
+    assert len(n) == 5100 and set(n.values()) == {5}
+    few = df.limit(4)
+    assert Counter(r.query_id for r in vector_search.nearest(few, few).collect()) == {r.vec_id: 3 for r in few.collect()}
