@@ -192,7 +192,7 @@ def leak_rows(items: Items, n: int, leak: float):
     return run
 
 
-LEAKS = "doc_id long, th int, item_id long, score double, first_word int, end_word int"
+LEAKS = "doc_id long, th long, item_id long, score double, first_word int, end_word int"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, leak: float = LEAK, block: int = BLOCK) -> DataFrame:

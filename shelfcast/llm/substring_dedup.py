@@ -174,7 +174,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K, every: int
     """Repeated windows of (doc_id, th): start ``p``, ``n`` windows in a run."""
     keyed = _keyed(docs)
     nodes = keyed.mapInArrow(node_rows(window, k, every),
-                             "doc_id long, th int, pos int, node long, h_in long, h_out long")
+                             "doc_id long, th long, pos int, node long, h_in long, h_out long")
     # stored, so that both sides of the join below are plain shuffles and AQE
     # can split a node that very many documents share
     again = C.stored(nodes.groupBy("node")
@@ -186,7 +186,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K, every: int
              .groupBy("doc_id", "th").agg(F.collect_set(F.expr("pos * 8L + f")).alias("flags")))
     decided = C.stored(
         _with(keyed, flags, "flags")
-        .mapInArrow(window_rows(window, k, every), "doc_id long, th int, p int, n int, w1 long, w2 long"))
+        .mapInArrow(window_rows(window, k, every), "doc_id long, th long, p int, n int, w1 long, w2 long"))
     asked = decided.filter("n = 0")
     twice = C.stored(asked.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2"))
     found = asked.join(twice.hint("merge"), ["w1", "w2"]).selectExpr("doc_id", "th", "p", "1 AS n")

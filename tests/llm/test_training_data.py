@@ -519,3 +519,15 @@ def test_queries_beside_tight_groups_find_k(spark):
     assert len(n) == 5100 and set(n.values()) == {5}
     few = df.limit(4)
     assert Counter(r.query_id for r in vector_search.nearest(few, few).collect()) == {r.vec_id: 3 for r in few.collect()}
+
+
+def test_texts_of_one_32_bit_hash_stay_apart(spark):
+    text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("password: hunter"), "id")).otherwise(F.concat(F.lit("plain text "), "id"))
+    pairs = (spark.range(400_000).select(text.alias("text")).groupBy(F.hash("text")).agg(F.collect_list("text").alias("t"))
+             .filter("size(t) = 2 AND array_contains(transform(t, x -> x LIKE 'plain%'), true)"
+                     " AND array_contains(transform(t, x -> x LIKE 'pass%'), true)").collect())
+    assert pairs
+    rows = [(None, t) for p in pairs for t in p.t]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.n_assign for r in secrets.scan(df).collect()) == [0] * len(pairs) + [1] * len(pairs)
+    assert {r.text for r in secrets.masked(df).collect()} == {"[secret]"} | {t for _, t in rows if t.startswith("plain")}
