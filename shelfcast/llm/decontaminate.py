@@ -1,41 +1,52 @@
-"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
-
-1. Word n-grams of the benchmark are looked up in every document (one pass,
-   vectorised). Every n-gram that a document shares with an item is a seed,
-   however often it occurs in the corpus.
-2. A pair is dropped before alignment only if it cannot be a leak: an
-   alignment of score ``LEAK`` matches at least that share of the item's words,
-   so fewer of them present in the document, or in the passage, rule it out.
-3. Passages reach as far from a seed as an alignment of that score can;
-   overlapping ones are one.
-4. Each passage is aligned with its item by words (local alignment, linear
-   gaps), which scores edited and paraphrased copies. A pair is a leak if the
-   score is at least ``LEAK`` of a perfect copy's.
-
-The benchmark is worked off in blocks of at most ``BLOCK`` items, so what is
-sent to all tasks is bounded whatever its size. Only leaks leave the pass.
+"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+
+A document holds an item if the best local alignment of their words scores at
+least ``LEAK`` of a perfect copy's. Seeds are pairs of words at most one word apart,
+in the item as in the document, so they outlive an edit between them.
+
+*Why none is lost.* With ``m`` matched words and ``e`` errors the score is
+``2 m - e >= 2 * LEAK * n`` for an item of ``n`` words. Of the ``m - 1`` neighbouring matches at
+most ``e / 2`` have two errors between them; the others, at least
+``LEAK * n - 1``, are seeds that start at different words of the item. So even
+without the ``d`` starts that are most frequent in the corpus a document that
+holds the item has ``LEAK * n - 1 - d`` of the others.
+
+1. All seeds of all items are counted in the corpus. A start that more than
+   ``RARE`` of the documents have is left out, most frequent first, while at least
+   one hit stays needed.
+2. Documents' seeds join the items' rare ones in Spark; hits are added up per
+   document and item, and a pair goes on with as many as it needs.
+3. Of each pair, the stretches of the document with enough words of the item are
+   aligned with it.
+
+Tasks drop pairs of words that no item has with a Bloom filter of at most
+``FILTER_BITS`` bits; a larger benchmark passes more of them on to the join.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-N = 3
 LEAK = 0.4
 MATCH, MISS, GAP = 2, -1, -1
-#: Items (their words and n-grams) that go to all tasks at a time.
-BLOCK = 20_000
-#: Pairs of an n-gram in a document and in an item that one step holds.
-HITS = 1 << 20
+#: Share of the documents beyond which a seed is frequent, and a number that never is.
+RARE, FEW = 0.002, 100
+#: Bits per seed and at most in all, and probes, of the filter.
+BITS_PER_SEED, FILTER_BITS, PROBES = 32, 1 << 28, 4
+#: Items that one row brings to a document's text are dealt to so many rows.
+SALT = 16
 
 _DROP = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
 def normal(text: bytes) -> bytes:
@@ -43,77 +54,102 @@ def normal(text: bytes) -> bytes:
     return text.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass").translate(None, _DROP)
 
 
-def grams(texts: list[bytes], n: int) -> tuple[C.Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, word hashes, start and hash of every n-gram inside one text."""
-    w = C.Words(texts)
-    h = w.hashes()
-    at = np.arange(max(len(h) - n + 1, 0))
+def matches_needed(n: int, leak: float) -> int:
+    """Words of an item of ``n`` that a document with it matches at least."""
+    return max(1, math.ceil(leak * n - 1e-9))
+
+
+def seeds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, word number and key of every pair of words at most one word apart."""
+    w = C.Words([normal(t) for t in texts])
+    h = w.keys()
     row = np.repeat(np.arange(len(texts)), np.diff(w.first))
-    at = at[row[: len(at)] == row[n - 1:]] if len(at) else at
-    return w, h, at, C.seq_hashes(h, at, at + n)
-
-
-def sent_words(items: list[tuple[int, str]]) -> dict[int, np.ndarray]:
-    """item_id -> word hashes."""
-    w = C.Words([normal((t or "").encode("utf-8", "surrogatepass")) for _, t in items])
-    h = w.hashes()
-    return {i: h[a:b] for (i, _), a, b in zip(items, w.first[:-1], w.first[1:])}
-
-
-class Items:
-    """Items of a block: words as places in ``vocab``, and the (item, position)
-    of every n-gram, in order of ``gram``."""
-
-    def __init__(self, words: dict[int, np.ndarray], n: int):
-        self.ids = np.array(list(words), np.int64)
-        self.words = list(words.values())
-        self.size = np.array([len(w) for w in self.words])
-        self.first = np.cumsum(np.append(0, self.size))
-        flat = np.concatenate(self.words)
-        self.vocab, self.place = np.unique(flat, return_inverse=True)
-        item = np.repeat(np.arange(len(self.words)), self.size)
-        at = np.flatnonzero(item[: len(flat) - n + 1] == item[n - 1:])
-        gram = C.seq_hashes(flat, at, at + n)
-        order = np.argsort(gram, kind="stable")
-        self.gram, start = np.unique(gram[order], return_index=True)
-        self.start = np.append(start, len(order))
-        self.item, self.pos = item[at][order], (at - self.first[item[at]])[order]
-
-    def enough(self, doc: np.ndarray, items: np.ndarray, leak: float) -> np.ndarray:
-        """Those of ``items`` of whose words at least ``leak`` occur in ``doc``."""
-        at = np.minimum(np.searchsorted(self.vocab, doc), len(self.vocab) - 1)
-        there = np.zeros(len(self.vocab), bool)
-        there[at[self.vocab[at] == doc]] = True
-        n = self.size[items]
-        first = np.cumsum(n) - n
-        flat = np.repeat(self.first[items] - first, n) + np.arange(n.sum())
-        got = np.add.reduceat(there[self.place[flat]].astype(np.int64), first)
-        return items[got / n >= leak]
-
-    def hits(self, which: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(item, diagonal) of n-grams ``which`` at ``pos``, at most about ``HITS`` at a time."""
-        n = self.start[which + 1] - self.start[which]
-        part = np.cumsum(n) // HITS
-        for lo, hi in zip(*(f(part, np.unique(part), side=s) for f, s in ((np.searchsorted, "left"), (np.searchsorted, "right")))):
-            m, w = n[lo:hi], which[lo:hi]
-            at = np.repeat(self.start[w] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-            yield self.item[at], np.repeat(pos[lo:hi], m) - self.pos[at]
-
-
-def passages(diagonal: np.ndarray, size: int, length: int, leak: float) -> list[tuple[int, int]]:
-    """Merged spans of words that an alignment through one of the diagonals can
-    touch: of score ``leak`` it has at most ``2 * (1 - leak) * size`` gaps."""
-    slack = int(np.ceil((MATCH * (1 - leak)) * size / -GAP))
     out = []
-    for d in np.unique(diagonal).tolist():
-        lo, hi = max(0, d - slack), min(length, d + size + slack)
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], hi)
-        else:
-            out.append((lo, hi))
+    for step in (1, 2):
+        at = np.flatnonzero(row[step:] == row[:-step]) if len(h) > step else np.zeros(0, np.int64)
+        out.append((row[at], at - w.first[row[at]], h[at] * _ODD[1] + C.mix64(h[at + step])))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+class Filter:
+    """Bloom filter over keys of 64 bits."""
+
+    def __init__(self, bits: int, data: np.ndarray | None = None):
+        self.bits = bits
+        self.data = np.zeros(max(1, (1 << bits) // 8), np.uint8) if data is None else data
+
+    def places(self, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for odd in _ODD[:PROBES]:
+            at = (C.mix64(key ^ odd) >> np.uint64(64 - self.bits)).astype(np.int64)
+            yield at >> 3, np.left_shift(1, at & 7).astype(np.uint8)
+
+    def add(self, key: np.ndarray) -> None:
+        for byte, bit in self.places(key):
+            np.bitwise_or.at(self.data, byte, bit)
+
+    def among(self, key: np.ndarray) -> np.ndarray:
+        """Positions of the keys that may be in the set."""
+        left = np.arange(len(key))
+        for odd in _ODD[:PROBES]:
+            at = (C.mix64(key[left] ^ odd) >> np.uint64(64 - self.bits)).astype(np.int64)
+            left = left[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        return left
+
+
+def filter_of(keys: DataFrame) -> Filter:
+    """Filter of a column ``key``, filled in a few tasks; its size is bounded."""
+    n = keys.count()
+    bits = min(FILTER_BITS.bit_length() - 1, max(16, (BITS_PER_SEED * n).bit_length()))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = Filter(bits)
+        for b in batches:
+            one.add(np.asarray(b.column("key")).view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([one.data.tobytes()], pa.binary())], ["data"])
+
+    out = Filter(bits)
+    for r in keys.select("key").coalesce(4).mapInArrow(fill, "data binary").collect():  # at most 4 bitmaps
+        out.data |= np.frombuffer(r.data, np.uint8)
     return out
 
 
+def item_rows(leak: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, texts in C.slices(b.column("text")):
+                row, pos, key = seeds(texts)
+                n = np.array([len(normal(t).split()) for t in texts])
+                keep = np.array([leak * x > 1 + 1e-9 for x in n])[row]
+                row, pos, key = row[keep], pos[keep], key[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("item_id").take(pa.array(row + at)), pa.array(n[row].astype(np.int32)),
+                     pa.array(pos.astype(np.int32)), pa.array(C.as_long(key))], ["item_id", "n", "start", "key"])
+    return run
+
+
+def seed_rows(shared, bits: int, counted: bool):
+    """Keys of each document that pass the filter: per slice with the number of
+    documents (``counted``), or per document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Filter(bits, np.frombuffer(shared.value, np.uint8))
+        for b in batches:
+            for at, texts in C.slices(b.column("text")):
+                row, _, key = seeds(texts)
+                some = known.among(key)
+                if not len(some):
+                    continue
+                both = np.unique(np.stack([row[some].astype(np.uint64), key[some]], axis=1), axis=0)
+                if counted:
+                    key, c = np.unique(both[:, 1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(C.as_long(key)), pa.array(c.astype(np.int64))], ["key", "c"])
+                else:
+                    src = pa.array(both[:, 0].astype(np.int64) + at)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("doc_id").take(src), b.column("th").take(src), pa.array(C.as_long(np.ascontiguousarray(both[:, 1])))],
+                        ["doc_id", "th", "key"])
+    return run
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     """Best local alignment: score as a share of the item's own, and where it
     starts and ends in the passage."""
@@ -138,97 +174,107 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), best_from, best_to
 
 
-def leaks_in(doc: np.ndarray, which: np.ndarray, pos: np.ndarray, items: Items, leak: float) -> list[tuple]:
-    """(item_id, score, first_word, end_word) of the items that ``doc`` holds;
-    n-gram ``which`` of the block stands at ``pos``."""
-    seen = np.zeros(len(items.ids), bool)
-    for item, _ in items.hits(np.unique(which), np.zeros(len(which), np.int64)):
-        seen[item] = True
-    left = items.enough(doc, np.flatnonzero(seen), leak)
-    if not len(left):
+def passages(doc: np.ndarray, item: np.ndarray, leak: float) -> list[tuple[int, int]]:
+    """Merged stretches of ``doc`` that any alignment of score ``leak`` lies in: from its
+    first matched word it reaches ``3 n - 2 leak n`` words at most (n matches and as many
+    errors as they can pay for), and that far there are enough words of the item."""
+    n = len(item)
+    need, reach = matches_needed(n, leak), math.ceil((3 - 2 * leak) * n)
+    at = np.flatnonzero(np.isin(doc, item))
+    if len(at) < need:
         return []
-    keep = np.zeros(len(items.ids), bool)
-    keep[left] = True
-    found = [np.unique(np.stack([i[keep[i]], d[keep[i]]]), axis=1) for i, d in items.hits(which, pos)]
-    item, diagonal = np.concatenate(found, axis=1)
-    order = np.argsort(item, kind="stable")
-    item, diagonal = item[order], diagonal[order]
-    out = []
-    for i, a, b in zip(left.tolist(), np.searchsorted(item, left), np.searchsorted(item, left, side="right")):
-        words, size, best = items.words[i], int(items.size[i]), (0.0, 0, 0)
-        for lo, hi in passages(diagonal[a:b], size, len(doc), leak):
-            if np.isin(words, doc[lo:hi]).sum() / size < leak:
-                continue
-            score, x, y = align(words, doc[lo:hi])
-            if score >= leak and score > best[0]:
-                best = (score, lo + x, lo + y)
-        if best[0]:
-            out.append((int(items.ids[i]), *best))
-    return sorted(out)
-
-
-def leak_rows(items: Items, n: int, leak: float):
+    first = at[: len(at) - need + 1]
+    first = first[at[need - 1:] - first < reach]
+    if not len(first):
+        return []
+    cut = np.flatnonzero(np.diff(first) > reach) + 1
+    return list(zip(first[np.append(0, cut)].tolist(),
+                    np.minimum(first[np.append(cut - 1, len(first) - 1)] + reach, len(doc)).tolist()))
+
+
+def aligned_rows(leak: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, texts in C.slices(b.column("text")):
-                w, h, pos, gram = grams([normal(t) for t in texts], n)
-                if not len(gram):
-                    continue
-                which = np.minimum(np.searchsorted(items.gram, gram), len(items.gram) - 1)
-                found = items.gram[which] == gram
-                pos, which = pos[found], which[found]
-                row = np.searchsorted(w.first, pos, side="right") - 1
-                out = []
-                for r in np.unique(row).tolist():
-                    lo, hi = np.searchsorted(row, (r, r + 1))
-                    doc = h[w.first[r]:w.first[r + 1]]
-                    out += [(at + r, *x) for x in leaks_in(doc, which[lo:hi], pos[lo:hi] - w.first[r], items, leak)]
-                if out:
-                    row, item, score, x, y = zip(*out)
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("doc_id").take(pa.array(row)), b.column("th").take(pa.array(row)),
-                         pa.array(item, pa.int64()), pa.array(score, pa.float64()), pa.array(x, pa.int32()),
-                         pa.array(y, pa.int32())], ["doc_id", "th", "item_id", "score", "first_word", "end_word"])
+            out = []
+            for i, (text, items) in enumerate(zip(b.column("text"), b.column("items"))):
+                items = items.as_py()
+                words = [normal((t or "").encode("utf-8", "surrogatepass")).split()
+                         for t in [text.as_py(), *(x["text"] for x in items)]]
+                code = pd.factorize(np.array([w for x in words for w in x] or [b""], dtype=object))[0]
+                doc, *codes = np.split(code[: sum(map(len, words))], np.cumsum([len(w) for w in words])[:-1])
+                for x, item in zip(items, codes):
+                    best = (0.0, 0, 0)
+                    for lo, hi in passages(doc, item, leak):
+                        score, a, z = align(item, doc[lo:hi])
+                        if score >= leak and score > best[0]:
+                            best = (score, lo + a, lo + z)
+                    if best[0]:
+                        out.append((i, x["item_id"], *best))
+            if out:
+                row, item, score, x, y = zip(*out)
+                src = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").take(src), b.column("th").take(src), pa.array(item, pa.int64()),
+                     pa.array(score, pa.float64()), pa.array(x, pa.int32()), pa.array(y, pa.int32())],
+                    ["doc_id", "th", "item_id", "score", "first_word", "end_word"])
     return run
 
 
 LEAKS = "doc_id long, th long, item_id long, score double, first_word int, end_word int"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, leak: float = LEAK, block: int = BLOCK) -> DataFrame:
+def rare_seeds(items: DataFrame, rows: DataFrame, leak: float = LEAK, rare: float = RARE, few: int = FEW) -> DataFrame:
+    """(key, item_id, start, need): the seeds of each item that are looked up, and how
+    many different starts a document with the item has among them."""
+    spark = rows.sparkSession
+    every = C.stored(items.mapInArrow(item_rows(leak), "item_id long, n int, start int, key long").distinct())
+    known = filter_of(every.select("key").distinct())
+    shared = spark.sparkContext.broadcast(known.data.tobytes())  # at most FILTER_BITS
+    often = (rows.mapInArrow(seed_rows(shared, known.bits, True), "key long, c long")
+             .groupBy("key").agg(F.sum("c").alias("c")))
+    limit = max(few, int(rare * rows.count()))
+    starts = every.join(often.hint("merge"), "key", "left").groupBy("item_id", "n", "start").agg(
+        F.sum(F.coalesce("c", F.lit(0))).alias("c"), F.collect_set("key").alias("keys"))
+    # per item: the most frequent starts go, as long as one hit stays needed
+    whole = starts.groupBy("item_id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "start", "keys")), asc=False).alias("s"))
+    whole = whole.withColumn("hits", F.greatest(F.ceil(F.col("n") * F.lit(leak) - F.lit(1e-9)).cast("int") - 1, F.lit(1)))
+    whole = whole.withColumn("gone", F.least(F.expr(f"size(filter(s, x -> x.c > {limit}))"), F.col("hits") - 1))
+    kept = whole.select("item_id", (F.col("hits") - F.col("gone")).alias("need"),
+                        F.explode(F.expr("slice(s, gone + 1, size(s))")).alias("x"))
+    return kept.select("item_id", "need", F.col("x.start").alias("start"), F.explode("x.keys").alias("key"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, rare: float = RARE, few: int = FEW) -> DataFrame:
     """(doc_id, th, item_id, score, first_word, end_word) of each pair of a
-    document and an item it holds; words are counted after normalisation.
+    document and an item it holds; words are counted after normalisation. Every
+    pair whose alignment reaches ``leak`` is found; ``rare`` and ``few`` only move work.
 
-    A pair shares at least one n-gram of ``n`` words.
     ``th`` tells rows of one doc_id with different texts apart. Null or empty
-    texts and items, and items of fewer than ``n`` words, give no rows;
-    repeated rows give one; of several items with one id each counts as that id's text
-    of the greatest length. Extra columns are ignored."""
+    texts and items, and items of at most ``1 / leak`` words (one shared word would do),
+    give no rows; repeated rows give one; of several items with one id each counts as that
+    id's text of the greatest length. Extra columns are ignored."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_hash().alias("th"), "text")
-    items = (benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL")
-             .groupBy(F.col("item_id").cast("long").alias("item_id"))
-             .agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text")))
-    n_items = items.count()
-    out = None
-    for i in range(max(1, -(-n_items // block))):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-n_items // block)))) == i)
-        got = _leaks_of(rows, part, n, leak)
-        out = got if out is None else out.unionAll(got)
-    return out
-
-
-def _leaks_of(rows: DataFrame, items: DataFrame, n: int, leak: float) -> DataFrame:
-    spark = rows.sparkSession
-    held = [(r.item_id, r.text) for r in items.orderBy("item_id").collect()]  # at most a block of the benchmark
-    words = {i: w for i, w in sent_words(held).items() if len(w) >= n}
-    if not words:
-        return spark.createDataFrame([], LEAKS)
-    return rows.mapInArrow(leak_rows(Items(words, n), n, leak), LEAKS).distinct()
+    items = C.stored(benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL")
+                     .groupBy(F.col("item_id").cast("long").alias("item_id"))
+                     .agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text")))
+    wanted = C.stored(rare_seeds(items, rows, leak, rare, few))
+    known = filter_of(wanted.select("key").distinct())
+    shared = rows.sparkSession.sparkContext.broadcast(known.data.tobytes())
+    hits = rows.mapInArrow(seed_rows(shared, known.bits, False), "doc_id long, th long, key long")
+    # one hit per start; a document's hits of an item are at most twice the item's words
+    pairs = (hits.join(wanted, "key").groupBy("doc_id", "th", "item_id", "need")
+             .agg(F.size(F.collect_set("start")).alias("got")).filter("got >= need"))
+    some = (pairs.join(items, "item_id").groupBy("doc_id", "th", F.pmod(F.xxhash64("item_id"), F.lit(SALT)).alias("salt"))
+            .agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+            .select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "items"))
+    both = rows.join(some.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")))
+    return both.select("doc_id", "th", "text", "items").mapInArrow(aligned_rows(leak), LEAKS).distinct()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """Rows of ``docs``, all columns, that hold no benchmark item."""
-    bad = leaks(docs, benchmark, **kw).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct()
-    return (docs.withColumn("__th", C.text_hash())
-            .join(bad.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__d"))
-                  & (F.col("__th") == F.col("__t")), "left_anti").select(*docs.columns))
+    """Rows of ``docs``, all columns, that hold no benchmark item. Rows with null or
+    empty texts stay, as do all if the benchmark is empty; repeated rows stay or go together."""
+    bad = leaks(docs, benchmark, **kw).select(F.col("doc_id").alias("d2"), F.col("th").alias("t2")).distinct()
+    rows = C.row_of(docs, F.col("doc_id").cast("long").alias("doc_id"), C.text_hash().alias("th"))
+    return C.back_from(rows.join(bad.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")),
+                                 "left_anti"), docs)
