@@ -9,7 +9,9 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,10 +85,41 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+#: Longer spans are hashed in a prime field, too: modulo 2**64 alone, a long
+#: Thue-Morse sequence and its complement have the same polynomial hash.
+LONG_SPAN = 64
+_PRIME = (1 << 31) - 1
+
+
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo ``_PRIME``."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.append(out, out * np.uint64(pow(base, len(out), _PRIME)) % np.uint64(_PRIME))
+    return out[:n]
+
+
+def prime_hashes(values: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    p = np.uint64(_PRIME)
+    pre = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values % p * prime_powers(base % _PRIME, len(values)) % p, out=pre[1:])
+    back = prime_powers(pow(base % _PRIME, -1, _PRIME), int(start.max()) + 1)
+    return (pre[end] - pre[start]) % p * back[start] % p
+
+
 def span_hashes(values: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Polynomial hash of values[start:end] for many spans at once."""
     if not len(start):
         return np.zeros(0, np.uint64)
+    long = np.flatnonzero(end - start > LONG_SPAN)
+    if len(long):
+        out = _ring_hashes(values, base, start, end)
+        out[long] = mix64(out[long] + prime_hashes(values, base, start[long], end[long]) * _MUL)
+        return out
+    return _ring_hashes(values, base, start, end)
+
+
+def _ring_hashes(values: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     pw = powers(base, len(values) + 1)
     pre = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * pw[:-1], out=pre[1:])
@@ -145,11 +178,39 @@ class Words:
         self.first = np.searchsorted(self.start, at)
         self.lower = lower
 
+    def keys(self, which: int = 0) -> np.ndarray:
+        """XXH3 of each word with seed ``which``: two of them make 128 independent bits."""
+        data = self.data.tobytes()
+        words = (data.translate(_LOWER.tobytes()) if self.lower else data).split()
+        if not words:
+            return np.zeros(0, np.uint64)
+        code, distinct = pd.factorize(np.array(words, dtype=object))
+        return np.array([xxhash.xxh3_64_intdigest(w, which) for w in distinct], np.uint64)[code]
+
     def hashes(self) -> np.ndarray:
+        """Polynomial hash of each word, for statistics; long words may meet."""
         data = _LOWER[self.data] if self.lower else self.data
         return span_hashes(data.astype(np.uint64) + np.uint64(1), _BYTE_BASE, self.start, self.end)
 
 
+def row_of(docs: DataFrame, *keys: Column) -> DataFrame:
+    """Each row of ``docs`` as one struct ``row`` beside ``keys``, so that no name of
+    a helper column can meet one of the table's."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *keys)
+
+
+def back_from(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from the struct ``row``."""
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def in_order(docs: DataFrame) -> Column:
+    """A key that depends on all columns of ``row`` but maps, so that the choice
+    among rows repeats."""
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*(F.col("row")[c] for c in plain)) if plain else F.lit(0)
+
+
 def seq_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """Hash of the word sequences words[start:end]; two independent bases."""
     return span_hashes(words if which == 0 else mix64(words + _MUL), _SEQ_BASES[which], start, end)

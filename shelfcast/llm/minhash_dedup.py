@@ -11,8 +11,11 @@ both documents are already in one component, so groups are closed in rounds:
 
 * stars: in each bucket, all members against ``PIVOTS`` of them (those first in
   as many hash orders, so buckets that share members share pivots);
-* then, in each bucket that still holds several components, the members
-  outside its largest component against all members of other ones.
+* then the members of buckets that still hold several components, by an exact
+  prefix filter: a linked pair shares one of the ``100 - LINK`` percent rarest
+  shingles of each set. For each such shingle, the members outside its largest
+  component meet all members of other ones. Texts that share a template and
+  nothing else do not meet there.
 
 No bucket, partner or candidate is capped. Two exact bounds drop pairs before
 their sets are fetched: set sizes, and a parity bitmap of the set (at least as
@@ -45,7 +48,7 @@ _SEEDS = np.random.default_rng(20240611).integers(1, 2**63, 2 * HALVES * ROWS, d
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, and the bounds of each text."""
     w = C.Words(texts, lower=True)
-    h = w.hashes()
+    h = w.keys()
     out, bound = [], [0]
     n = np.diff(w.first)
     if len(h) >= size:
@@ -114,6 +117,25 @@ def set_rows(size: int):
     return run
 
 
+def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i, cell in zip(b.column("id"), b.column("set")):
+            s = np.frombuffer(cell.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i.as_py(), np.int64)), pa.array(s)], ["rep", "key"])
+
+
+def rarest(sets: DataFrame, members: DataFrame, link: int) -> DataFrame:
+    """(rep, key): of each member's shingles as many of the rarest (ties: by hash) as
+    a linked set must share one of: all but ``link`` percent, and one more."""
+    every = C.stored(sets.join(members.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi")
+                     .mapInArrow(shingle_rows, "rep long, key long"))
+    often = C.stored(every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    known = every.join(often.hint("merge"), "key", "left").groupBy("rep").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "key"))).alias("s"))
+    first = F.expr(f"slice(s, 1, size(s) - cast(ceil(size(s) * {link} / 100.0) AS int) + 1)")
+    return known.select("rep", F.explode(first).alias("x")).filter("x.c > 1").select("rep", "x.key")
+
+
 def may_link(link: int, a: str, b: str) -> str:
     """SQL condition that every linked pair meets: the sizes allow it, and not
     too many bits of the two parity bitmaps differ.
@@ -206,6 +228,10 @@ def groups(docs: DataFrame, link: int = LINK, shingle: int = SHINGLE, halves: in
     state = C.stored(buckets.select("key", "rep").join(comp.hint("merge"), "rep", "left")
                      .selectExpr("key", "rep", "coalesce(comp, rep) AS comp"))
     size = state.groupBy("key", "comp").count()
+    mixed = size.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key")
+    members = C.stored(state.join(mixed.hint("merge"), "key", "left_semi").select("rep", "comp").distinct())
+    state = C.stored(rarest(sets, members, link).join(members.hint("merge"), "rep").select("key", "rep", "comp"))
+    size = state.groupBy("key", "comp").count()
     mixed = C.stored(size.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"),
                                              F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "main"))
     state = C.stored(state.join(mixed.hint("merge"), "key").join(about.hint("merge"), "rep"))
@@ -230,8 +256,9 @@ def groups(docs: DataFrame, link: int = LINK, shingle: int = SHINGLE, halves: in
 
 def deduplicated(docs: DataFrame, **kw) -> DataFrame:
     """Rows of ``docs``, all columns: one document of each group of near
-    duplicates (its smallest doc_id), and of repeated rows one."""
-    kept = groups(docs, **kw).filter("kept").select(F.col("id").alias("__id")).distinct()
-    one = Window.partitionBy("__id", "__th").orderBy(F.lit(1))
-    return (docs.withColumn("__id", row_id()).withColumn("__th", C.text_hash()).join(kept.hint("merge"), "__id", "left_semi")
-            .withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns))
+    duplicates (its smallest doc_id), and of rows with the same doc_id and text one,
+    the same one on every run."""
+    kept = groups(docs, **kw).filter("kept").select("id").distinct()
+    one = Window.partitionBy("id", "th").orderBy(C.in_order(docs))
+    rows = C.row_of(docs, row_id().alias("id"), C.text_hash().alias("th")).join(kept.hint("merge"), "id", "left_semi")
+    return C.back_from(rows.withColumn("n", F.row_number().over(one)).filter("n = 1"), docs)

@@ -174,19 +174,17 @@ def masked(docs: DataFrame, reach: int = REACH) -> DataFrame:
     if there, follows the new text. Rows without a finding are unchanged."""
     one = F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e"))
     per = (findings(docs, reach, gaps=True).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(one)).alias("cuts"))
-           .select(F.col("doc_id").alias("__d2"), F.col("th").alias("__t2"), F.col("cuts").alias("__cuts")))
-    rows = docs.withColumn("__th", C.text_hash())
-    rows = rows.join(per.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__d2"))
-                     & (F.col("__th") == F.col("__t2")), "left")
+           .select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "cuts"))
+    rows = C.row_of(docs, F.col("doc_id").cast("long").alias("doc_id"), C.text_hash().alias("th"), F.col("text").alias("text"))
+    rows = rows.join(per.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")), "left")
     cut = F.expr("""
-      aggregate(__cuts, named_struct('at', 0, 'out', cast(array() as array<string>)),
+      aggregate(cuts, named_struct('at', 0, 'out', cast(array() as array<string>)),
         (a, x) -> CASE WHEN x.e <= a.at THEN a ELSE named_struct('at', x.e, 'out',
           CASE WHEN x.s < a.at THEN a.out
                ELSE concat(a.out, array(substring(text, a.at + 1, x.s - a.at), '[secret]')) END) END,
         a -> concat(array_join(a.out, ''), substring(text, a.at + 1)))""")
-    text = F.when(F.col("__cuts").isNotNull(), cut).otherwise(F.col("text"))
-    out = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__cuts").isNotNull(), F.length("text").cast("long"))
-                             .otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    found = F.col("cuts").isNotNull()
+    rows = rows.select("row", found.alias("found"), F.when(found, cut).otherwise(F.col("text")).alias("cut"))
+    new = {"text": F.col("cut"), "n_chars": F.when(F.col("found"), F.length("cut").cast("long")).otherwise(
+        F.col("row")["n_chars"] if "n_chars" in docs.columns else F.lit(None))}
+    return rows.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

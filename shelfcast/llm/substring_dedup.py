@@ -57,7 +57,7 @@ def node_rows(window: int, k: int, every: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts, w in _rows_of(b):
-                h = w.hashes()
+                h = w.keys()
                 pos, node = _nodes(h, w.first, k, every)
                 row = np.searchsorted(w.first, pos, side="right") - 1
                 lo, hi = w.first[row], w.first[row + 1]
@@ -88,7 +88,7 @@ def window_rows(window: int, k: int, every: int):
         for b in batches:
             flags = b.column("flags")
             for at, texts, w in _rows_of(b):
-                h = w.hashes()
+                h = w.keys()
                 pos, _ = _nodes(h, w.first, k, every)
                 # flag of each node: 0 unique, else 4 | 1 (in branches) | 2 (out branches)
                 mark = np.zeros(len(h) + 1, np.int8)
@@ -129,7 +129,7 @@ def window_rows(window: int, k: int, every: int):
                     s = np.flatnonzero(ask)
                     out.append((row[s], p[s] - lo[s], np.zeros(len(s), np.int64),
                                 C.as_long(C.seq_hashes(h, p[s], p[s] + window)),
-                                C.as_long(C.seq_hashes(h, p[s], p[s] + window, 1))))
+                                C.as_long(C.seq_hashes(w.keys(1), p[s], p[s] + window, 1))))
                 for r, q, size, w1, w2 in out:
                     src = pa.array(r + at)
                     yield pa.RecordBatch.from_arrays(
