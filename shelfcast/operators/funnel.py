@@ -32,11 +32,16 @@ def journey_funnel(events: DataFrame, by_day: bool = True) -> DataFrame:
     """Unique users per stage (per day), step conversion % against the
     previous stage (first = 100), overall conversion last/first, and the
     drop-off flag (< 40 %)."""
+    e = events.filter(F.col("event_type").isin(*[s[0] for s in STAGES]))
+    e = e.select(F.to_date("ts").alias("day") if by_day else F.lit(None).cast("date").alias("day"), "event_type", "user_id")
+    return funnel_rates(e.groupBy("day", "event_type").agg(F.countDistinct("user_id").alias("user_count")))
+
+
+def funnel_rates(counts: DataFrame) -> DataFrame:
+    """Rates of U1 from (day, event_type, user_count)."""
     m = F.element_at(_stage_map(), F.col("event_type"))
-    e = events.select(F.to_date("ts").alias("day") if by_day else F.lit(None).cast("date").alias("day"),
-                      m.alias("st"), "user_id").filter(F.col("st").isNotNull())
-    g = e.groupBy("day", F.col("st.o").alias("stage_order"), F.col("st.n").alias("stage")) \
-         .agg(F.countDistinct("user_id").alias("user_count"))
+    g = counts.select("day", m.alias("st"), "user_count").select(
+        "day", F.col("st.o").alias("stage_order"), F.col("st.n").alias("stage"), "user_count")
     w = Window.partitionBy("day").orderBy("stage_order")
     prev = F.lag("user_count").over(w)
     conv = F.when(prev.isNull(), F.lit(100.0)).otherwise(F.col("user_count") / prev * 100.0)

@@ -32,6 +32,7 @@ FAMILIES = [
     "shelfcast.plans.q_prep",
     "shelfcast.plans.q_stream",
     "shelfcast.plans.q_select",
+    "shelfcast.plans.q_names",
 ]
 
 

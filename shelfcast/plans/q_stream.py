@@ -28,6 +28,26 @@ def x2(spark, d):
     return X.stream_funnel(X.events_stream(spark, f"{d}/events.parquet"))
 
 
+@register("x1_feedback_windows", """
+WITH e AS (SELECT ts, json_extract_string(props, '$.k') AS product_id, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS v
+           FROM events WHERE event_type IN ('click', 'view')),
+w AS (SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS s, product_id, count(*) AS impressions, CAST(sum(v) AS BIGINT) AS clicks
+      FROM e GROUP BY 1, 2)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, product_id, impressions, clicks FROM w
+WHERE s + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM e) - INTERVAL 10 MINUTE""")
+def x1_windows(spark, d):
+    """Windows that the watermark has finished; the events come as one file, so none is late."""
+    out = X.stream_feedback_windows(X.events_stream(spark, f"{d}/events.parquet"))
+    return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "product_id",
+                      "impressions", "clicks")
+
+
+@register("x2_funnel_sketches", U1_SQL)
+def x2_sketches(spark, d):
+    """Estimates, which are exact for as few users a day as the check tables have."""
+    return X.stream_funnel_approx(X.events_stream(spark, f"{d}/events.parquet"))
+
+
 @register("x3_stream_critical_alerts", with_sales(SNAP + LIST + """,
 run AS (SELECT store_name, product_id, sale_id, sale_date, lst.safety_stock,
                CAST(lst.inventory - sum(quantity) OVER (PARTITION BY store_name, product_id ORDER BY sale_date, sale_id) AS BIGINT) AS stock

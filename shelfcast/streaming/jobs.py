@@ -23,11 +23,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from shelfcast.operators.funnel import CLICK_EVENT, STAGES, VIEW_EVENT, journey_funnel
+from shelfcast.operators.funnel import CLICK_EVENT, STAGES, VIEW_EVENT, funnel_rates, journey_funnel
 from shelfcast.session import ensure_checkpoint_dir
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 FEEDBACK_WINDOW = "10 minutes"
+#: How far behind the newest event a feedback window is kept open.
+FEEDBACK_DELAY = "10 minutes"
+#: log2 of the registers of a sketch of users.
+SKETCH_LG = 14
 CRITICAL_HEALTH = 70.0
 #: How far out of order sales may arrive before X3 reports them as late.
 DELAY = "30 days"
@@ -82,7 +86,64 @@ def stream_feedback(events: DataFrame) -> DataFrame:
     return parts.groupBy("w", "product_id").agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"))
 
 
+def window_rows(events: DataFrame) -> DataFrame:
+    """Event time, product (props.k), click (1) or view (0) of each feedback event."""
+    e = events.filter(F.col("event_type").isin(CLICK_EVENT, VIEW_EVENT))
+    return e.select(F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").alias("product_id"),
+                    (F.col("event_type") == CLICK_EVENT).cast("long").alias("v"))
+
+
+def stream_feedback_windows(events: DataFrame, delay: str = FEEDBACK_DELAY, window: str = FEEDBACK_WINDOW) -> DataFrame:
+    """X1 with bounded state: a window leaves the state, and is told once and for all,
+    when the watermark (``delay`` behind the newest event) passes its end. Windows still
+    open when the input ends are not told; rows of finished windows are :func:`late_feedback`."""
+    rows = window_rows(events).withWatermark("ts", delay)
+    done = rows.groupBy(F.window("ts", window).alias("w"), "product_id").agg(
+        F.count(F.lit(1)).alias("impressions"), F.sum("v").alias("clicks"))
+    return drain(done, "feedback-windows").drop("batch")
+
+
+def late_feedback(events: DataFrame, delay: str = FEEDBACK_DELAY, window: str = FEEDBACK_WINDOW) -> DataFrame:
+    """The side table of :func:`stream_feedback_windows`: (ts, product_id, v, w) of rows
+    whose window was finished when they came. Reads the same files in the same
+    batches; each batch leaves its newest event time, from which the next ones know
+    the watermark that their rows met (that of the batch before, as Spark drops late
+    rows by it)."""
+    spark = events.sparkSession
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-late-{uuid.uuid4().hex[:12]}"
+    rows = window_rows(events).withColumn("w", F.window("ts", window))
+    spark.createDataFrame([], "newest timestamp").write.parquet(f"{base}/newest/batch=-1")
+    spark.createDataFrame([], rows.schema).write.parquet(f"{base}/late/batch=-1")
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.agg(F.max("ts").alias("newest")).write.mode("overwrite").parquet(f"{base}/newest/batch={int(number)}")
+        seen = spark.read.schema("newest timestamp, batch long").parquet(f"{base}/newest").filter(F.col("batch") < number - 1)
+        passed = (seen.select(F.max("newest")).scalar() - F.expr(f"INTERVAL {delay}"))
+        batch.filter(F.col("w.end") <= passed).write.mode("overwrite").parquet(f"{base}/late/batch={int(number)}")
+
+    (rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint")
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(rows.schema).parquet(f"{base}/late")
+
+
 # ---- X2 ------------------------------------------------------------------------
+def stream_funnel_sketches(events: DataFrame, lg: int = SKETCH_LG) -> DataFrame:
+    """(ts, event_type, users): an HLL sketch of each day and stage, from sketches that the
+    batches of an event stream left. The stored rows are days x stages per batch, of
+    at most 2**``lg`` bytes each, whatever the number of users."""
+    e = events.filter(F.col("event_type").isin(*[s[0] for s in STAGES]))
+    e = e.select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), "event_type", "user_id")
+    parts = drain(e, "funnel-sketches", lambda b: b.groupBy("ts", "event_type").agg(F.hll_sketch_agg("user_id", lg).alias("users")))
+    return parts.groupBy("ts", "event_type").agg(F.hll_union_agg("users").alias("users"))
+
+
+def stream_funnel_approx(events: DataFrame, lg: int = SKETCH_LG) -> DataFrame:
+    """X2 from sketches: the daily funnel with estimated users (standard error about
+    1.04 / 2**(lg / 2); nearly exact for few users)."""
+    return funnel_rates(stream_funnel_sketches(events, lg).select(
+        F.to_date("ts").alias("day"), "event_type", F.hll_sketch_estimate("users").alias("user_count")))
+
+
 def stream_funnel(events: DataFrame) -> DataFrame:
     """The daily funnel (U1) of an event stream, exact: each batch keeps
     its distinct (day, stage, user) rows."""
