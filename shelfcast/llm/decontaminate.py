@@ -11,13 +11,13 @@ most ``e / 2`` have two errors between them; the others, at least
 without the ``d`` starts that are most frequent in the corpus a document that
 holds the item has ``LEAK * n - 1 - d`` of the others.
 
-1. All seeds of all items are counted in the corpus. A start that more than
-   ``RARE`` of the documents have is left out, most frequent first, while at least
-   one hit stays needed.
-2. Documents' seeds join the items' rare ones in Spark; hits are added up per
+1. One pass over the texts keeps each document's seeds that some item has. Of an
+   item's starts those that more than ``RARE`` of the documents have are left out,
+   most frequent first, while at least one hit stays needed.
+2. The documents' seeds join the items' rare ones in Spark; hits are added up per
    document and item, and a pair goes on with as many as it needs.
-3. Of each pair, the stretches of the document with enough words of the item are
-   aligned with it.
+3. Of each pair, the stretches of the document with enough seeds of the item close
+   together are aligned with it.
 
 Tasks drop pairs of words that no item has with a Bloom filter of at most
 ``FILTER_BITS`` bits; a larger benchmark passes more of them on to the join.
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ from . import common as C
 LEAK = 0.4
 MATCH, MISS, GAP = 2, -1, -1
 #: Share of the documents beyond which a seed is frequent, and a number that never is.
-RARE, FEW = 0.002, 100
+RARE, FEW = 0.05, 100
 #: Bits per seed and at most in all, and probes, of the filter.
 BITS_PER_SEED, FILTER_BITS, PROBES = 32, 1 << 28, 4
 #: Items that one row brings to a document's text are dealt to so many rows.
@@ -61,13 +62,18 @@ def matches_needed(n: int, leak: float) -> int:
 
 def seeds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, word number and key of every pair of words at most one word apart."""
-    w = C.Words([normal(t) for t in texts])
-    h = w.keys()
-    row = np.repeat(np.arange(len(texts)), np.diff(w.first))
+    words = [normal(t).split() for t in texts]
+    n = np.array([len(w) for w in words])
+    code, distinct = pd.factorize(np.array([b"", *(x for w in words for x in w)], dtype=object))
+    code = code[1:]
+    key = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], np.uint64)
+    left, right = key * _ODD[1], C.mix64(key)
+    row = np.repeat(np.arange(len(texts)), n)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
     out = []
     for step in (1, 2):
-        at = np.flatnonzero(row[step:] == row[:-step]) if len(h) > step else np.zeros(0, np.int64)
-        out.append((row[at], at - w.first[row[at]], h[at] * _ODD[1] + C.mix64(h[at + step])))
+        at = np.flatnonzero(row[step:] == row[:-step]) if len(code) > step else np.zeros(0, np.int64)
+        out.append((row[at], place[at], left[code[at]] + right[code[at + step]]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -78,20 +84,19 @@ class Filter:
         self.bits = bits
         self.data = np.zeros(max(1, (1 << bits) // 8), np.uint8) if data is None else data
 
-    def places(self, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for odd in _ODD[:PROBES]:
-            at = (C.mix64(key ^ odd) >> np.uint64(64 - self.bits)).astype(np.int64)
-            yield at >> 3, np.left_shift(1, at & 7).astype(np.uint8)
+    def places(self, key: np.ndarray, odd: np.uint64) -> np.ndarray:
+        return ((key * odd) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def add(self, key: np.ndarray) -> None:
-        for byte, bit in self.places(key):
-            np.bitwise_or.at(self.data, byte, bit)
+        for odd in _ODD[:PROBES]:
+            at = self.places(key, odd)
+            np.bitwise_or.at(self.data, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
 
     def among(self, key: np.ndarray) -> np.ndarray:
         """Positions of the keys that may be in the set."""
         left = np.arange(len(key))
         for odd in _ODD[:PROBES]:
-            at = (C.mix64(key[left] ^ odd) >> np.uint64(64 - self.bits)).astype(np.int64)
+            at = self.places(key[left], odd)
             left = left[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
         return left
 
@@ -127,9 +132,8 @@ def item_rows(leak: float):
     return run
 
 
-def seed_rows(shared, bits: int, counted: bool):
-    """Keys of each document that pass the filter: per slice with the number of
-    documents (``counted``), or per document."""
+def seed_rows(shared, bits: int):
+    """The distinct keys of each document that pass the filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Filter(bits, np.frombuffer(shared.value, np.uint8))
         for b in batches:
@@ -138,15 +142,13 @@ def seed_rows(shared, bits: int, counted: bool):
                 some = known.among(key)
                 if not len(some):
                     continue
-                both = np.unique(np.stack([row[some].astype(np.uint64), key[some]], axis=1), axis=0)
-                if counted:
-                    key, c = np.unique(both[:, 1], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(C.as_long(key)), pa.array(c.astype(np.int64))], ["key", "c"])
-                else:
-                    src = pa.array(both[:, 0].astype(np.int64) + at)
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("doc_id").take(src), b.column("th").take(src), pa.array(C.as_long(np.ascontiguousarray(both[:, 1])))],
-                        ["doc_id", "th", "key"])
+                row, key = row[some], key[some]
+                order = np.lexsort((key, row))
+                row, key = row[order], key[order]
+                new = np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]))
+                src = pa.array(row[new] + at)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").take(src), b.column("th").take(src), pa.array(C.as_long(key[new]))], ["doc_id", "th", "key"])
     return run
 
 
@@ -174,22 +176,27 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), best_from, best_to
 
 
-def passages(doc: np.ndarray, item: np.ndarray, leak: float) -> list[tuple[int, int]]:
-    """Merged stretches of ``doc`` that any alignment of score ``leak`` lies in: from its
-    first matched word it reaches ``3 n - 2 leak n`` words at most (n matches and as many
-    errors as they can pay for), and that far there are enough words of the item."""
-    n = len(item)
-    need, reach = matches_needed(n, leak), math.ceil((3 - 2 * leak) * n)
-    at = np.flatnonzero(np.isin(doc, item))
+def pairs_of(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Position and exact number of every pair of words at most one word apart."""
+    return (np.concatenate([np.arange(max(len(code) - s, 0)) for s in (1, 2)]),
+            np.concatenate([code[:-s] * size + code[s:] if len(code) > s else code[:0] for s in (1, 2)]))
+
+
+def passages(at: np.ndarray, n: int, length: int, leak: float) -> list[tuple[int, int]]:
+    """Merged stretches of a document's ``length`` words that any alignment of score
+    ``leak`` lies in; ``at``: where its seeds meet those of an item of ``n`` words, in order.
+    An alignment spans ``(3 - 2 leak) n`` words at most (n matches and as many errors as
+    they can pay for) and holds enough seeds."""
+    need, reach = max(1, matches_needed(n, leak) - 1), math.ceil((3 - 2 * leak) * n)
     if len(at) < need:
         return []
-    first = at[: len(at) - need + 1]
-    first = first[at[need - 1:] - first < reach]
-    if not len(first):
+    close = np.flatnonzero(at[need - 1:] - at[: len(at) - need + 1] < reach)
+    if not len(close):
         return []
-    cut = np.flatnonzero(np.diff(first) > reach) + 1
-    return list(zip(first[np.append(0, cut)].tolist(),
-                    np.minimum(first[np.append(cut - 1, len(first) - 1)] + reach, len(doc)).tolist()))
+    lo, hi = at[close], at[close + need - 1]
+    cut = np.flatnonzero(lo[1:] - np.maximum.accumulate(hi)[:-1] > 2 * reach) + 1
+    first, last = np.append(0, cut), np.append(cut - 1, len(lo) - 1)
+    return list(zip(np.maximum(lo[first] - reach, 0).tolist(), np.minimum(hi[last] + reach, length).tolist()))
 
 
 def aligned_rows(leak: float):
@@ -202,9 +209,12 @@ def aligned_rows(leak: float):
                          for t in [text.as_py(), *(x["text"] for x in items)]]
                 code = pd.factorize(np.array([w for x in words for w in x] or [b""], dtype=object))[0]
                 doc, *codes = np.split(code[: sum(map(len, words))], np.cumsum([len(w) for w in words])[:-1])
+                size = int(code.max()) + 1
+                place, pair = pairs_of(doc, size)
                 for x, item in zip(items, codes):
                     best = (0.0, 0, 0)
-                    for lo, hi in passages(doc, item, leak):
+                    at = np.sort(place[np.isin(pair, pairs_of(item, size)[1])])
+                    for lo, hi in passages(at, len(item), len(doc), leak):
                         score, a, z = align(item, doc[lo:hi])
                         if score >= leak and score > best[0]:
                             best = (score, lo + a, lo + z)
@@ -223,17 +233,13 @@ def aligned_rows(leak: float):
 LEAKS = "doc_id long, th long, item_id long, score double, first_word int, end_word int"
 
 
-def rare_seeds(items: DataFrame, rows: DataFrame, leak: float = LEAK, rare: float = RARE, few: int = FEW) -> DataFrame:
+def rare_seeds(every: DataFrame, hits: DataFrame, documents: int, leak: float = LEAK, rare: float = RARE,
+               few: int = FEW) -> DataFrame:
     """(key, item_id, start, need): the seeds of each item that are looked up, and how
     many different starts a document with the item has among them."""
-    spark = rows.sparkSession
-    every = C.stored(items.mapInArrow(item_rows(leak), "item_id long, n int, start int, key long").distinct())
-    known = filter_of(every.select("key").distinct())
-    shared = spark.sparkContext.broadcast(known.data.tobytes())  # at most FILTER_BITS
-    often = (rows.mapInArrow(seed_rows(shared, known.bits, True), "key long, c long")
-             .groupBy("key").agg(F.sum("c").alias("c")))
-    limit = max(few, int(rare * rows.count()))
-    starts = every.join(often.hint("merge"), "key", "left").groupBy("item_id", "n", "start").agg(
+    often = hits.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    limit = max(few, int(rare * documents))
+    starts = every.join(often, "key", "left").groupBy("item_id", "n", "start").agg(
         F.sum(F.coalesce("c", F.lit(0))).alias("c"), F.collect_set("key").alias("keys"))
     # per item: the most frequent starts go, as long as one hit stays needed
     whole = starts.groupBy("item_id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "start", "keys")), asc=False).alias("s"))
@@ -257,11 +263,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, rare: float
     items = C.stored(benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL")
                      .groupBy(F.col("item_id").cast("long").alias("item_id"))
                      .agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text")))
-    wanted = C.stored(rare_seeds(items, rows, leak, rare, few))
-    known = filter_of(wanted.select("key").distinct())
-    shared = rows.sparkSession.sparkContext.broadcast(known.data.tobytes())
-    hits = rows.mapInArrow(seed_rows(shared, known.bits, False), "doc_id long, th long, key long")
-    # one hit per start; a document's hits of an item are at most twice the item's words
+    every = C.stored(items.mapInArrow(item_rows(leak), "item_id long, n int, start int, key long").distinct())
+    known = filter_of(every.select("key").distinct())
+    shared = rows.sparkSession.sparkContext.broadcast(known.data.tobytes())  # at most FILTER_BITS
+    hits = C.stored(rows.mapInArrow(seed_rows(shared, known.bits), "doc_id long, th long, key long"))
+    wanted = C.stored(rare_seeds(every, hits, rows.count(), leak, rare, few))
+    # different starts hit: at most as many as the item has words
     pairs = (hits.join(wanted, "key").groupBy("doc_id", "th", "item_id", "need")
              .agg(F.size(F.collect_set("start")).alias("got")).filter("got >= need"))
     some = (pairs.join(items, "item_id").groupBy("doc_id", "th", F.pmod(F.xxhash64("item_id"), F.lit(SALT)).alias("salt"))
