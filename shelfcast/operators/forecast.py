@@ -7,6 +7,8 @@ scalar subquery, never collected to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from shelfcast.operators.filters import base_years
 from shelfcast.sources.tpch import BASE_YEARS, TARGET_YEAR
 
 METHOD_LINEAR = "linear_trend"
+#: A forecast model of the user's: (xs, ys, target) -> value.
+Model = Callable[["numpy.ndarray", "numpy.ndarray", float], float]  # noqa: F821
 
 
 def ols_predict(x: str, y: str, target) -> Column:
@@ -40,30 +44,69 @@ def yearly_quantity(sales: DataFrame, years=BASE_YEARS) -> DataFrame:
              .agg(F.sum(F.coalesce("quantity", F.lit(0))).cast("long").alias("quantity")))
 
 
-def forecast_scalar(sales: DataFrame, years=BASE_YEARS, target: int = TARGET_YEAR) -> DataFrame:
+def series_forecast(df: DataFrame, keys: list[str], x: str, y: str, target: float, model: Model | None = None) -> DataFrame:
+    """D1 or a model of the user's, for every series at once: (keys, predicted, method),
+    ``predicted`` a whole number of at least 0.
+
+    ``model(xs, ys, target)`` gets one series' points in order of ``x`` (points without a
+    value left out) and gives its value at ``target``; it runs in the tasks, a series in one
+    of them. A model that raises or gives no finite number falls back on D1 for that
+    series (its method says so)."""
+    if model is None:
+        return linear_trend(df, keys, x, y, target).withColumn("method", F.lit(METHOD_LINEAR))
+    name = getattr(model, "__name__", type(model).__name__)
+
+    def one(key, pdf):
+        import numpy as np
+        import pandas as pd
+        pdf = pdf.dropna(subset=["_x", "_y"]).sort_values("_x", kind="stable")
+        xs, ys = pdf["_x"].to_numpy(float), pdf["_y"].to_numpy(float)
+        try:
+            value, how = float(model(xs, ys, float(target))), name
+        except Exception:  # noqa: BLE001  a user's model may fail on a series
+            value, how = float("nan"), METHOD_LINEAR
+        if not np.isfinite(value):
+            how = METHOD_LINEAR
+            line = np.ptp(xs) > 0 if len(xs) else False
+            value = float(np.polyval(np.polyfit(xs, ys, 1), target)) if line else float(ys.mean()) if len(ys) else 0.0
+        return pd.DataFrame([[*key, max(0, round(value)), how]], columns=[*keys, "predicted", "method"])
+
+    rows = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["predicted long", "method string"])
+    return rows.groupBy(*keys).applyInPandas(one, schema)
+
+
+def forecast_scalar(sales: DataFrame, years=BASE_YEARS, target: int = TARGET_YEAR, model: Model | None = None) -> DataFrame:
     """One row: base-year total quantity and the target-year forecast
-    (linear trend over the yearly totals)."""
+    (linear trend over the yearly totals, or ``model``, see :func:`series_forecast`)."""
     s = base_years(sales, years)
     per_year = s.groupBy("sale_year").agg(F.sum(F.coalesce("quantity", F.lit(0))).cast("long").alias("q"))
+    if model is not None:
+        fc = series_forecast(per_year.withColumn("_all", F.lit(0)), ["_all"], "sale_year", "q", target, model)
+        total = per_year.agg(F.coalesce(F.sum("q"), F.lit(0)).cast("long").alias("total_quantity"))
+        pick = lambda c: fc.select(c).scalar()
+        return total.select("total_quantity", F.coalesce(pick("predicted"), F.lit(0)).cast("long").alias("predicted_quantity"),
+                            F.coalesce(pick("method"), F.lit(METHOD_LINEAR)).alias("method"))
     return per_year.agg(
         F.coalesce(F.sum("q"), F.lit(0)).cast("long").alias("total_quantity"),
         F.greatest(F.lit(0), round_int(ols_predict("sale_year", "q", target))).alias("predicted_quantity"),
         F.lit(METHOD_LINEAR).alias("method"))
 
 
-def predicted_quantity(sales: DataFrame, years=BASE_YEARS, target: int = TARGET_YEAR) -> Column:
+def predicted_quantity(sales: DataFrame, years=BASE_YEARS, target: int = TARGET_YEAR, model: Model | None = None) -> Column:
     """The global forecast as a scalar-subquery column."""
-    return forecast_scalar(sales, years, target).select("predicted_quantity").scalar()
+    return forecast_scalar(sales, years, target, model).select("predicted_quantity").scalar()
 
 
-def quantity_forecast(sales: DataFrame, years=BASE_YEARS, target: int = TARGET_YEAR) -> DataFrame:
+def quantity_forecast(sales: DataFrame, years=BASE_YEARS, target: int = TARGET_YEAR, model: Model | None = None) -> DataFrame:
     """D2 (long form): ``section`` year | total | predicted | category with
     ``key`` and ``quantity``. Categories get the forecast times their share
     of base-year quantity (rounded, zero rows dropped)."""
     s = base_years(sales, years)
     q = F.coalesce("quantity", F.lit(0))
     yearly = s.groupBy("sale_year").agg(F.sum(q).cast("long").alias("quantity"))
-    fc = forecast_scalar(sales, years, target)
+    fc = forecast_scalar(sales, years, target, model)
     pred = fc.select("predicted_quantity").scalar()
     by_cat = s.groupBy(F.trim("category_name").alias("key")).agg(F.sum(q).cast("long").alias("cq"))
     tot_cat = s.select(F.sum(q)).scalar()
@@ -201,6 +244,15 @@ def quarter_growth_fallback(quarterly: DataFrame, quarters: int = FALLBACK_QUART
                     round_decimal(F.col("q0") * F.pow(1 + F.col("growth"), F.col("i")), 2).alias("yhat"))
 
 
+def product_forecast(sales: DataFrame, years=BASE_YEARS, target: int = TARGET_YEAR, model: Model | None = None) -> DataFrame:
+    """(product_id, predicted_quantity, method): the target year's quantity of each product
+    from its own yearly totals, for D11; D1 or ``model``."""
+    s = base_years(sales, years)
+    per = s.groupBy("product_id", "sale_year").agg(F.sum(F.coalesce("quantity", F.lit(0))).cast("long").alias("q"))
+    return series_forecast(per, ["product_id"], "sale_year", "q", target, model).select(
+        "product_id", F.col("predicted").cast("long").alias("predicted_quantity"), "method")
+
+
 def chart_override(actual: DataFrame, predicted_year: DataFrame, target: int) -> DataFrame:
     """Actual quarterly rows before the target year, and the target
     year's four quarters replaced by the product's yearly prediction / 4

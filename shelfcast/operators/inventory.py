@@ -307,7 +307,7 @@ def _qidx(c_date: Column) -> Column:
     return F.year(c_date) * 4 + F.quarter(c_date) - 1
 
 
-def product_quarter_share(sales: DataFrame, years=BASE_YEARS, target: int = TARGET_YEAR) -> DataFrame:
+def product_quarter_share(sales: DataFrame, years=BASE_YEARS, target: int = TARGET_YEAR, model=None) -> DataFrame:
     """Per product: its last sale quarter (split), its share of all quantity
     in the four quarters ending there, and ``product_total`` = global
     forecast x share. Quarter totals are a small table (one row per
@@ -322,16 +322,16 @@ def product_quarter_share(sales: DataFrame, years=BASE_YEARS, target: int = TARG
     j = (win.join(per_q, "qi", "left").join(pq, ["product_id", "qi"], "left")
             .groupBy("product_id", "split").agg(F.coalesce(F.sum("tq"), F.lit(0)).alias("t4"),
                                                 F.coalesce(F.sum("pq"), F.lit(0)).alias("p4")))
-    pred = predicted_quantity(sales, years, target).cast("double")
+    pred = predicted_quantity(sales, years, target, model).cast("double")
     share = F.when(F.col("t4") > 0, F.col("p4") / F.col("t4")).otherwise(0.0)
     return j.select("product_id", "split", share.alias("share"), (F.greatest(pred, F.lit(0.0)) * share).alias("product_total"))
 
 
 def quarter_forecast_share(sales: DataFrame, years=BASE_YEARS, target: int = TARGET_YEAR,
-                           quarters: int = FORECAST_QUARTERS) -> DataFrame:
+                           quarters: int = FORECAST_QUARTERS, model=None) -> DataFrame:
     """For every product, ``quarters`` future quarters after its split
     quarter: yhat = product_total / quarters, band 0.85 / 1.15, stock x1.125."""
-    sh = product_quarter_share(sales, years, target)
+    sh = product_quarter_share(sales, years, target, model)
     f = sh.select("product_id", "split", "product_total", F.explode(F.sequence(F.lit(1), F.lit(quarters))).alias("i"))
     qi = F.col("split") + F.col("i")
     yhat = F.greatest(F.col("product_total") / float(quarters), F.lit(0.0))

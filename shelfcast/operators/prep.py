@@ -3,7 +3,7 @@ sampling, enrichment, scaling, feedback append)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.numeric import hash_uniform
@@ -16,6 +16,7 @@ SAMPLE_MIN_YEAR = 2020
 SAMPLE_ROWS = 20000
 SCALE_DIVISOR = 100
 EXPORT_PARTS = 10
+MATCHES = ["matched", "not_found", "failed"]
 # ---------------------------------------------------------------------------
 
 
@@ -59,15 +60,13 @@ def coerce_sales(raw: DataFrame) -> DataFrame:
 
 def export_parts(sales: DataFrame, out_dir: str, parts: int = EXPORT_PARTS, fmt: str = "parquet") -> None:
     """K4: write the table as ``parts`` sale_id ranges (range partitioning,
-    no driver loop). ``fmt='sql'`` writes one INSERT tuple per line with
-    quotes doubled."""
+    no driver loop). ``fmt='sql'`` writes a dump that loads again: ``INSERT``
+    statements with the column list, the table's definition in the first part
+    (:mod:`shelfcast.sources.dump`)."""
     d = sales.repartitionByRange(parts, "sale_id")
     if fmt == "sql":
-        def q(c):
-            return F.when(F.col(c).isNull(), F.lit("NULL")).otherwise(
-                F.concat(F.lit("'"), F.regexp_replace(F.col(c).cast("string"), "'", "''"), F.lit("'")))
-        line = F.concat(F.lit("("), F.concat_ws(", ", *[q(c) for c in sales.columns]), F.lit("),"))
-        d.select(line.alias("value")).write.mode("overwrite").text(out_dir)
+        from shelfcast.sources.dump import write_dump
+        write_dump(d, out_dir)
     else:
         d.write.mode("overwrite").format(fmt).save(out_dir)
 
@@ -97,7 +96,8 @@ def dashboard_sample(sales: DataFrame, n: int = SAMPLE_ROWS, min_year: int = SAM
 def enrich_inventory(sales: DataFrame, patch: DataFrame) -> DataFrame:
     """K6: left look-up on (date, store id, normalised product name, quantity,
     price): matched rows take the patch's stock, inventory, frozen money,
-    safety stock and status; ``_match`` is matched / not_found. Of several
+    safety stock and status; ``_match`` is matched / not_found, or failed where a part
+    of the row's key is missing (text that did not parse). Of several
     patch rows of a key the first by ``ingest_order`` wins (without that
     column: the smallest by its values, so the choice never depends on how
     rows are partitioned)."""
@@ -112,10 +112,21 @@ def enrich_inventory(sales: DataFrame, patch: DataFrame) -> DataFrame:
     for c in cols:
         cur = F.col(c) if c in sales.columns else F.lit(None)
         j = j.withColumn(c, F.when(F.col("_hit"), F.col(f"_p_{c}")).otherwise(cur))
-    return (j.withColumn("_match", F.when(F.col("_hit"), "matched").otherwise("not_found"))
+    no_key = F.greatest(*[F.col(c).isNull() for c in ("sale_date", "store_id", "product_name", "quantity", "price")])
+    return (j.withColumn("_match", F.when(F.col("_hit"), "matched").when(no_key, "failed").otherwise("not_found"))
              .drop("_pkey", "_hit", *[f"_p_{c}" for c in cols]))
 
 
+def enrich_into(sales: DataFrame, patch: DataFrame, out_path: str, fmt: str = "parquet") -> dict[str, int]:
+    """K6 as a job: write the enriched rows to ``out_path`` and give the counters matched,
+    not_found and failed, which the write itself collects (no second pass)."""
+    seen = Observation("enrich_inventory")
+    count = lambda k: F.coalesce(F.sum((F.col("_match") == k).cast("long")), F.lit(0)).alias(k)
+    rows = enrich_inventory(sales, patch).observe(seen, *[count(k) for k in MATCHES])
+    rows.write.mode("overwrite").format(fmt).save(out_path)
+    return {k: int(seen.get[k]) for k in MATCHES}
+
+
 def scale_inventory(sales: DataFrame, divisor: int = SCALE_DIVISOR) -> DataFrame:
     """K7: inventory = max(0, inventory // 100)."""
     return sales.withColumn("inventory", F.greatest(F.floor(F.col("inventory") / divisor), F.lit(0)).cast("long"))

@@ -33,6 +33,7 @@ FAMILIES = [
     "shelfcast.plans.q_stream",
     "shelfcast.plans.q_select",
     "shelfcast.plans.q_names",
+    "shelfcast.plans.q_io",
 ]
 
 
