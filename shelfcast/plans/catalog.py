@@ -34,6 +34,7 @@ FAMILIES = [
     "shelfcast.plans.q_select",
     "shelfcast.plans.q_names",
     "shelfcast.plans.q_io",
+    "shelfcast.plans.q_store",
 ]
 
 
