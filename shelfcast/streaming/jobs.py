@@ -18,10 +18,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from shelfcast.operators.funnel import CLICK_EVENT, STAGES, VIEW_EVENT, funnel_rates, journey_funnel
 from shelfcast.session import ensure_checkpoint_dir
@@ -155,53 +155,83 @@ def stream_funnel(events: DataFrame) -> DataFrame:
 # ---- X3 ------------------------------------------------------------------------
 ALERT_SCHEMA = ("store_name string, product_id string, sale_id string, stock long, safety_stock long, "
                 "health_index double, late_sale string")
-STATE_SCHEMA = ("stock long, safety long, settled_to long, settled boolean, alert_id string, alert_stock long, "
-                "dates array<long>, ids array<string>, quantities array<long>")
+SETTLED = "stock long, safety long, upto long, alert_id string, alert_stock long, told_id string, told_stock long, timer long"
+PENDING = "ms long, sale_id string, quantity long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def health(stock: int, safety: int) -> float:
     return stock / safety * 100.0 if safety > 0 else 0.0
 
 
-def _stock_alerts(key, frames, state):
-    """One product of one store. State: stock after the sales that the
-    watermark has passed (``settled_to``), the sales after it in order, and
-    the alert last told. A changed alert is told again."""
-    stock, safety, settled_to, settled, alert, pending = None, 0, -1, False, (None, None), []
-    if state.exists:
-        stock, safety, settled_to, settled, *told, dates, ids, quantities = state.get
-        alert = tuple(told)
-        pending = list(zip(dates, ids, quantities))
-    late = []
-    for pdf in frames:
-        for ms, sale, q, inventory, safe in zip(pdf["ms"], pdf["sale_id"], pdf["quantity"], pdf["inventory"], pdf["safety_stock"]):
-            if stock is None:
-                stock, safety = int(inventory), int(safe)
-            pending.append((int(ms), sale, int(q)))
-            if ms <= settled_to:
-                late.append(sale)
-    pending.sort()
-    passed = state.getCurrentWatermarkMs()
-    left, now, first = stock, stock, alert if settled else (None, None)
-    keep = []
-    for ms, sale, q in pending:
-        now -= q
-        if first[0] is None and health(now, safety) < CRITICAL_HEALTH:
-            first = (sale, now)
-        if ms <= passed:
-            left, settled_to, settled = now, max(settled_to, ms), first[0] is not None
+class StockAlerts(StatefulProcessor):
+    """One product of one store. State: ``settled``, the stock after the sales that the
+    watermark has passed, the alert they gave and the one last told; ``pending``, the
+    sales after them. A timer at the earliest pending sale settles what the watermark
+    has passed, so settled sales leave the state. A changed alert is told again."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", SETTLED)
+        self.pending = handle.getListState("pending", PENDING)
+
+    def handleInputRows(self, key, rows, timerValues):
+        passed = timerValues.getCurrentWatermarkInMs()
+        state = list(self.settled.get()) if self.settled.exists() else None
+        known = [tuple(p) for p in self.pending.get()] if state and state[7] is not None else []
+        for r in rows:
+            if state is None:
+                state = [r.inventory, r.safety_stock, -1, None, None, None, None, None]
+            known.append((r.ms, r.sale_id, r.quantity))
+            if r.ms <= max(state[2], passed):
+                yield Row(store_name=key[0], product_id=key[1], sale_id=None, stock=None, safety_stock=state[1],
+                          health_index=None, late_sale=r.sale_id)
+        known.sort()
+        alert = self.first_alert(state, known)
+        if alert != (state[5], state[6]):
+            state[5], state[6] = alert
+            yield Row(store_name=key[0], product_id=key[1], sale_id=alert[0], stock=alert[1], safety_stock=state[1],
+                      health_index=health(alert[1], state[1]) if alert[0] else None, late_sale=None)
+        self.keep(state, known)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        state, passed = list(self.settled.get()), timerValues.getCurrentWatermarkInMs()
+        known = sorted(tuple(p) for p in self.pending.get())
+        done = [p for p in known if p[0] <= passed]
+        alert = self.first_alert(state, done)
+        state[7] = None  # it has just gone off
+        self.keep([state[0] - sum(p[2] for p in done), state[1], max([state[2], *(p[0] for p in done)]), *alert, *state[5:]],
+                  known[len(done):])
+        return iter(())
+
+    @staticmethod
+    def first_alert(state, sales) -> tuple:
+        if state[3] is not None:
+            return state[3], state[4]
+        left = state[0]
+        for _, sale, q in sales:
+            left -= q
+            if health(left, state[1]) < CRITICAL_HEALTH:
+                return sale, left
+        return None, None
+
+    def keep(self, state, known) -> None:
+        """Store the state; its timer stands at the earliest pending sale."""
+        at = max(known[0][0], 0) if known else None
+        if at != state[7]:
+            if state[7] is not None:
+                self.handle.deleteTimer(state[7])
+            if at is not None:
+                self.handle.registerTimer(at)
+        state[7] = at
+        self.settled.update(tuple(state))
+        if known:
+            self.pending.put(known)
         else:
-            keep.append((ms, sale, q))
-    rows = [(*first, safety, health(first[1], safety) if first[0] else None, None)] if first != alert else []
-    rows += [(None, None, safety, None, sale) for sale in late]
-    dates, ids, quantities = ([r[i] for r in keep] for i in range(3))
-    state.update((left, safety, settled_to, settled, *first, dates, ids, quantities))
-    if not rows:
-        return
-    out = pd.DataFrame(rows, columns=["sale_id", "stock", "safety_stock", "health_index", "late_sale"])
-    out.insert(0, "product_id", key[1])
-    out.insert(0, "store_name", key[0])
-    yield out.astype({"stock": "Int64", "safety_stock": "Int64", "health_index": "float64"})
+            self.pending.clear()
+
+    def close(self) -> None:
+        pass
 
 
 def alert_log(sales: DataFrame, opening: DataFrame, delay: str = DELAY) -> DataFrame:
@@ -209,12 +239,19 @@ def alert_log(sales: DataFrame, opening: DataFrame, delay: str = DELAY) -> DataF
     after the watermark (``late_sale``; they still reduce the stock)."""
     s = sales.join(opening, ["store_name", "product_id"])
     at = F.col("sale_date").cast("timestamp")
-    s = s.select("store_name", "product_id", "sale_id", "quantity", "inventory", "safety_stock", at.alias("at"),
-                 F.unix_millis(at).alias("ms")).withWatermark("at", delay)
-    # no timeout: with one, Spark drops late rows before the function sees them
-    told = s.groupBy("store_name", "product_id").applyInPandasWithState(
-        _stock_alerts, ALERT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
-    return drain(told, "alerts", mode="update")
+    # the time column goes after it has moved the watermark: Spark would drop late rows by it
+    s = s.select("store_name", "product_id", "sale_id", F.col("quantity").cast("long").alias("quantity"),
+                 F.col("inventory").cast("long").alias("inventory"), F.col("safety_stock").cast("long").alias("safety_stock"),
+                 F.unix_millis(at).alias("ms"), at.alias("at")).withWatermark("at", delay).drop("at")
+    told = s.groupBy("store_name", "product_id").transformWithState(
+        StockAlerts(), T.StructType.fromDDL(ALERT_SCHEMA), "Update", "EventTime")
+    conf, name = sales.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name, None)
+    conf.set(name, ROCKSDB)  # state variables and timers need it
+    try:
+        return drain(told, "alerts", mode="update")
+    finally:
+        conf.set(name, before) if before else conf.unset(name)
 
 
 def stream_critical_alerts(sales: DataFrame, opening: DataFrame, delay: str = DELAY) -> DataFrame:

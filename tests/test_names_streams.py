@@ -97,3 +97,82 @@ def test_sketches_of_users_are_close_and_small(spark):
         assert set(got) == set(exact) and all(abs(got[s] / n - 1) < error for s, n in exact.items())
         size = X.stream_funnel_sketches(X.events_stream(spark, out), lg).select(F.max(F.length("users"))).first()[0]
         assert size <= 2 ** lg + 100
+
+
+class OneValue:
+    def __init__(self):
+        self.v = None
+
+    def exists(self):
+        return self.v is not None
+
+    def get(self):
+        return self.v
+
+    def update(self, v):
+        self.v = v
+
+    put = update
+
+    def clear(self):
+        self.v = None
+
+
+class Handle:
+    """State variables of one key and its timers, in plain Python."""
+
+    def __init__(self):
+        self.vars, self.timers = {}, set()
+
+    def var(self, name, schema):
+        return self.vars.setdefault(name, OneValue())
+
+    getValueState = getListState = var
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class Times:
+    def __init__(self, passed):
+        self.passed = passed
+
+    def getCurrentWatermarkInMs(self):
+        return self.passed
+
+
+def test_settled_sales_leave_the_state_and_timers_follow_the_earliest():
+    from pyspark.sql import Row
+    rnd = random.Random(9)
+    for _ in range(60):
+        h, alerts = Handle(), X.StockAlerts()
+        alerts.init(h)
+        sales = [(rnd.randrange(1, 40), f"s{i:02d}", rnd.randrange(1, 6)) for i in range(rnd.randrange(1, 15))]
+        told, passed, left = (None, None), -1, sales.copy()
+        while left:
+            some = [left.pop(rnd.randrange(len(left))) for _ in range(min(len(left), rnd.randrange(1, 4)))]
+            rows = [Row(ms=m, sale_id=s, quantity=q, inventory=40, safety_stock=30) for m, s, q in some]
+            got = list(alerts.handleInputRows(("a", "b"), iter(rows), Times(passed)))
+            assert {r.late_sale for r in got if r.late_sale} == {s for m, s, _ in some if m <= passed}
+            for r in got:
+                told = told if r.late_sale else (r.sale_id, r.stock)
+            passed = min(max(passed, max(m for m, _, _ in some) - 5), 60)
+            for at in sorted(t for t in h.timers if t <= passed):
+                h.timers.discard(at)
+                assert list(alerts.handleExpiredTimer(("a", "b"), Times(passed), None)) == []
+            pending = h.vars["pending"].v or []
+            assert all(p[0] > passed for p in pending)  # what the watermark has passed is gone
+            assert h.timers == ({min(pending)[0]} if pending else set())
+            seen = sorted(set(sales) - set(left))
+            assert h.vars["settled"].v[0] == 40 - sum(q for _, _, q in seen) + sum(p[2] for p in pending)
+        in_order = all(m > passed for m, _, _ in sales)
+        if in_order:
+            stock, want = 40, (None, None)
+            for m, s, q in sorted(sales):
+                stock -= q
+                if want[0] is None and X.health(stock, 30) < X.CRITICAL_HEALTH:
+                    want = (s, stock)
+            assert told == want
