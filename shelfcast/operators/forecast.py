@@ -244,6 +244,50 @@ def quarter_growth_fallback(quarterly: DataFrame, quarters: int = FALLBACK_QUART
                     round_decimal(F.col("q0") * F.pow(1 + F.col("growth"), F.col("i")), 2).alias("yhat"))
 
 
+# Labels and messages of the fallback chart.
+LABEL_ACTUAL, LABEL_ACTUAL_STOCK, MESSAGE_ACTUAL = "판매 실적: %s대", "당분기 재고 기준 (실적)", "과거 실적"
+LABEL_FORECAST, LABEL_FORECAST_STOCK = "예측 판매량: %s대", "권장 재고: %s대 (상한선 기준)"
+MESSAGE_STEADY, MESSAGE_UP, MESSAGE_DOWN = "적정 재고 유지", "수요 증가 추세 — 선제적 발주 권장", "수요 감소 추세 — 재고 과잉 주의"
+BAND, STOCK_SHARE, GROWTH_TOLD = (0.85, 1.15), 1.125, 0.07
+
+
+def growth_fallback_chart(sales: DataFrame, first_year: int, quarters: int = FALLBACK_QUARTERS) -> DataFrame:
+    """D10 as a chart: per product of at least two sale quarters (the last not before
+    ``first_year``) its past quarters from ``first_year`` and ``quarters`` forecast ones, each with
+    its band, stock, labels and message. Past quarters have their stock if the sales have
+    ``store_stock_quantity``; the first forecast quarter tells a growth beyond 7 %."""
+    stock = F.col("store_stock_quantity") if "store_stock_quantity" in sales.columns else F.lit(None).cast("double")
+    per = (sales.filter(F.col("sale_date").isNotNull())
+           .groupBy("product_id", (F.year("sale_date") * 4 + F.quarter("sale_date") - 1).alias("qi"))
+           .agg(F.sum(F.coalesce("quantity", F.lit(0))).cast("double").alias("q"), F.sum(stock).cast("double").alias("stock")))
+    w = Window.partitionBy("product_id").orderBy("qi")
+    t = per.withColumn("prev", F.lag("q").over(w))
+    last = t.groupBy("product_id").agg(F.max_by(F.struct("qi", "q", "prev"), "qi").alias("l"), F.count(F.lit(1)).alias("n"))
+    last = last.filter((F.col("n") >= 2) & (F.col("l.qi") >= 4 * int(first_year)))
+    label = F.format_string("%d-Q%d", F.floor(F.col("qi") / 4).cast("int"), (F.col("qi") % 4 + 1).cast("int")).alias("month")
+    whole = lambda c: F.format_number(c, 0)  # noqa: E731  half-even
+    q2 = F.bround("q", 2)
+    past = (per.filter(F.col("qi") >= 4 * int(first_year)).join(last.select("product_id"), "product_id", "left_semi")
+            .select("product_id", label, q2.alias("yhat"), q2.alias("yhat_lower"), q2.alias("yhat_upper"),
+                    F.bround("stock", 2).alias("store_stock_quantity"), F.format_string(LABEL_ACTUAL, whole("q")).alias("sales_label"),
+                    F.lit(LABEL_ACTUAL_STOCK).alias("stock_label"), F.lit(MESSAGE_ACTUAL).alias("message")))
+    g = F.when(F.col("l.prev") > 0, (F.col("l.q") - F.col("l.prev")) / F.col("l.prev")).otherwise(0.0)
+    g = F.least(F.greatest(g, F.lit(-GROWTH_CLIP)), F.lit(GROWTH_CLIP))
+    f = last.select("product_id", F.col("l.qi").alias("qi0"), F.col("l.q").alias("q0"), g.alias("g"),
+                    F.explode(F.sequence(F.lit(1), F.lit(quarters))).alias("i"))
+    f = f.withColumn("qi", F.col("qi0") + F.col("i")).withColumn(
+        "y", F.greatest(F.col("q0") * F.pow(1 + F.col("g"), F.col("i")), F.lit(0.0)))
+    message = (F.when((F.col("i") == 1) & (F.col("g") > GROWTH_TOLD), MESSAGE_UP)
+               .when((F.col("i") == 1) & (F.col("g") < -GROWTH_TOLD), MESSAGE_DOWN).otherwise(MESSAGE_STEADY))
+    exact = lambda c, n: round_decimal(c, n)
+    coming = f.select("product_id", label, exact(F.col("y"), 2).alias("yhat"), exact(F.col("y") * BAND[0], 2).alias("yhat_lower"),
+                      exact(F.col("y") * BAND[1], 2).alias("yhat_upper"), exact(F.col("y") * STOCK_SHARE, 2).alias("store_stock_quantity"),
+                      F.format_string(LABEL_FORECAST, whole(exact(F.col("y"), 6))).alias("sales_label"),
+                      F.format_string(LABEL_FORECAST_STOCK, whole(exact(F.col("y") * BAND[1], 6))).alias("stock_label"),
+                      message.alias("message"))
+    return past.unionByName(coming)
+
+
 def product_forecast(sales: DataFrame, years=BASE_YEARS, target: int = TARGET_YEAR, model: Model | None = None) -> DataFrame:
     """(product_id, predicted_quantity, method): the target year's quantity of each product
     from its own yearly totals, for D11; D1 or ``model``."""

@@ -284,9 +284,12 @@ def normal_below_safety(lst: DataFrame) -> DataFrame:
 
 
 def frozen_ratio_top20(lst: DataFrame, n: int = 20) -> DataFrame:
-    """Frozen money per unit of inventory (2 decimals, half up), top n by frozen money."""
-    r = lst.withColumn("frozen_ratio", F.when(F.col("inventory") > 0,
-                                              F.round((F.col("frozen_money") / F.col("inventory")).cast("decimal(38,10)"), 2).cast("double")).otherwise(0.0))
+    """Frozen money per unit of inventory (2 decimals, half up) and as a whole
+    percentage, top n by frozen money."""
+    ratio = (F.col("frozen_money") / F.col("inventory")).cast("decimal(38,10)")
+    some = F.col("inventory") > 0
+    r = lst.withColumns({"frozen_ratio": F.when(some, F.round(ratio, 2).cast("double")).otherwise(0.0),
+                         "frozen_ratio_pct": F.when(some, F.round(ratio * 100, 0).cast("long")).otherwise(0)})
     return r.orderBy(F.desc("frozen_money"), "store_name", "product_id").limit(n)
 
 

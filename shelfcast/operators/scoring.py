@@ -49,6 +49,19 @@ BUNDLE_REASONS = {
     "campaign": "현재 캠페인 모드에서 객단가 상승에 기여하도록 설계되었습니다",
     "even": "가격·마진·판매 편의성이 고르게 균형을 이루고 있습니다",
 }
+# What a seller says of a product (name, reason).
+SELLER_SCRIPT = "'%s'은(는) %s로 인해 현재 가장 적합한 추천입니다. 고객님께 이렇게 말씀해 보세요."
+SCRIPT_NAMELESS = "이 제품"
+# Best sellers offered where nothing fits a main device:
+# id, name, total, CEO, investor and seller score, reason.
+BEST_SELLERS = [
+    ("BS-001", "AppleCare+ for iPhone", 0.95, 0.9, 0.9, 0.95,
+     "이 제품은 전 제품군에 안정적인 부가가치를 제공하여 현재 가장 적합한 추천입니다"),
+    ("BS-002", "USB‑C 전원 어댑터", 0.9, 0.85, 0.88, 0.9,
+     "이 제품은 대부분의 기기와 호환되며 구매 전환율이 높아 현재 가장 적합한 추천입니다"),
+    ("BS-003", "MagSafe 듀얼 충전기", 0.88, 0.9, 0.82, 0.88,
+     "이 제품은 프리미엄 액세서리로 번들 구성 시 객단가를 높일 수 있어 현재 가장 적합한 추천입니다"),
+]
 # -----------------------------------------------------------------------------
 
 
@@ -159,6 +172,25 @@ def score_products(products: DataFrame, targets: DataFrame, store_types: DataFra
     return p.withColumn("rank", F.when(F.col("passed"), F.row_number().over(w)))
 
 
+def seller_script(scored: DataFrame) -> DataFrame:
+    """What a seller says of each passed product (null for rejected ones)."""
+    name = F.coalesce(F.when(F.col("product_name") != "", F.col("product_name")), F.col("product_id"), F.lit(SCRIPT_NAMELESS))
+    return scored.withColumn("seller_script", F.when(F.col("passed"), F.format_string(
+        SELLER_SCRIPT, name, F.try_element_at("if_then_path", F.lit(1)))))
+
+
+def bundle_fallback(ranked: DataFrame, mains: DataFrame) -> DataFrame:
+    """Main devices without any candidate get the three fixed best sellers;
+    ``is_fallback`` tells them apart."""
+    none = mains.select("store_id", F.col("product_id").alias("main_id")).join(
+        ranked.select("store_id", "main_id").distinct(), ["store_id", "main_id"], "left_anti")
+    names = ["product_id", "product_name", "total_score", "ceo_score", "investor_score", "seller_score", "reason"]
+    items = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, x)], F.lit(i).alias("rank"))
+                      for i, x in enumerate(BEST_SELLERS, 1)])
+    fixed = none.select("store_id", "main_id", F.explode(items).alias("f")).select("store_id", "main_id", "f.*", F.lit(True).alias("is_fallback"))
+    return ranked.select("store_id", "main_id", *names, "rank", F.lit(False).alias("is_fallback")).unionByName(fixed)
+
+
 def growth_fallback(sales: DataFrame, scored: DataFrame) -> DataFrame:
     """Stores where nothing passed get the three fixed items."""
     ok = scored.filter("passed").select("store_id").distinct()

@@ -210,6 +210,37 @@ def d10(spark, d):
     return D.quarter_growth_fallback(_quarterly(spark, d))
 
 
+def _r6(x: str, n: int = 2) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(38, 6)), {n}) AS DOUBLE)"
+
+
+def _whole(x: str) -> str:
+    return f"format('{{:,}}', CAST(round_even({x}, 0) AS BIGINT))"
+
+
+@register("d10_fallback_chart", with_sales(f""",
+q AS (SELECT product_id, year(sale_date) * 4 + quarter(sale_date) - 1 AS qi, CAST(sum(coalesce(quantity, 0)) AS DOUBLE) AS q
+      FROM sales WHERE sale_date IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT *, lag(q) OVER (PARTITION BY product_id ORDER BY qi) AS prev FROM q),
+l AS (SELECT product_id, max(qi) AS qi0, arg_max({{'q': q, 'prev': prev}}, qi) AS r FROM t
+      GROUP BY 1 HAVING count(*) >= 2 AND max(qi) >= {4 * BASE_YEARS[0]}),
+f AS (SELECT product_id, qi0 + i AS qi, i, least(greatest(CASE WHEN r.prev > 0 THEN (r.q - r.prev) / r.prev ELSE 0.0 END, -0.25), 0.25) AS g,
+             r.q AS q0 FROM l, range(1, 7) AS s(i)),
+y AS (SELECT *, greatest(q0 * pow(1 + g, i), 0.0) AS y FROM f),
+both_ AS (SELECT product_id, qi, round_even(q, 2) AS yhat, round_even(q, 2) AS yhat_lower, round_even(q, 2) AS yhat_upper,
+                 CAST(NULL AS DOUBLE) AS store_stock_quantity, '판매 실적: ' || {_whole('q')} || '대' AS sales_label,
+                 '당분기 재고 기준 (실적)' AS stock_label, '과거 실적' AS message
+          FROM q WHERE qi >= {4 * BASE_YEARS[0]} AND product_id IN (SELECT product_id FROM l)
+          UNION ALL
+          SELECT product_id, qi, {_r6('y')}, {_r6('y * 0.85')}, {_r6('y * 1.15')}, {_r6('y * 1.125')},
+                 '예측 판매량: ' || {_whole(_r6('y', 6))} || '대', '권장 재고: ' || {_whole(_r6('y * 1.15', 6))} || '대 (상한선 기준)',
+                 CASE WHEN i = 1 AND g > 0.07 THEN '수요 증가 추세 — 선제적 발주 권장'
+                      WHEN i = 1 AND g < -0.07 THEN '수요 감소 추세 — 재고 과잉 주의' ELSE '적정 재고 유지' END FROM y)
+SELECT * EXCLUDE (qi), CAST(floor(qi / 4) AS INTEGER) || '-Q' || CAST(qi % 4 + 1 AS INTEGER) AS month FROM both_"""))
+def d10_chart(spark, d):
+    return D.growth_fallback_chart(tpch_sales(spark, d), BASE_YEARS[0])
+
+
 def _d11_sql():
     from shelfcast.plans.q_demand import A9_BODY, _QSUM
     from shelfcast.plans.q_inventory import D8_CTES

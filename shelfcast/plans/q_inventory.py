@@ -201,7 +201,8 @@ def i19(spark, d):
 
 
 @register("i20_frozen_ratio_top20", with_sales(SNAP + LIST + """
-SELECT *, CASE WHEN inventory > 0 THEN CAST(round(CAST(frozen_money / inventory AS DECIMAL(38, 10)), 2) AS DOUBLE) ELSE 0.0 END AS frozen_ratio
+SELECT *, CASE WHEN inventory > 0 THEN CAST(round(CAST(frozen_money / inventory AS DECIMAL(38, 10)), 2) AS DOUBLE) ELSE 0.0 END AS frozen_ratio,
+       CASE WHEN inventory > 0 THEN CAST(round(CAST(frozen_money / inventory AS DECIMAL(38, 10)) * 100, 0) AS BIGINT) ELSE 0 END AS frozen_ratio_pct
 FROM lst ORDER BY frozen_money DESC, store_name, product_id LIMIT 20"""))
 def i20(spark, d):
     return I.frozen_ratio_top20(I.inventory_list(snap(spark, d)))

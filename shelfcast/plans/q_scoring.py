@@ -127,3 +127,47 @@ def w10(spark, d):
     mains = mains.groupBy("store_id").agg(F.min_by(F.struct(*prods.columns), F.col("product_id")).alias("m")).select("m.*")
     return W.bundle_rank(prods, mains).select("store_id", "main_id", "product_id", "total_score", "ceo_score",
                                               "investor_score", "seller_score", "reason", "rank")
+
+
+@register("w7_seller_scripts", f"""
+SELECT store_id, product_id, CASE WHEN passed THEN printf('''%s''은(는) %s로 인해 현재 가장 적합한 추천입니다. 고객님께 이렇게 말씀해 보세요.', product_name,
+       substr(reason, length('이 아이템은 ') + 1)) END AS seller_script, rank FROM ({W5_SQL})""")
+def w7(spark, d):
+    _, sc = _scored(spark, d)
+    return W.seller_script(sc).select("store_id", "product_id", "seller_script", "rank")
+
+
+#: Accessories of a main device cost at most this share of it; some stores have none.
+ACCESSORY = 0.46
+
+
+def _bundle(spark, d, **kw):
+    s = tpch_sales(spark, d, launch=True)
+    prods = W.engine_products(s, AS_OF)
+    mains = prods.join(W.store_targets(s).select("store_id", F.col("main_device_price").alias("price")), ["store_id", "price"], "left_semi")
+    mains = mains.groupBy("store_id").agg(F.min_by(F.struct(*prods.columns), F.col("product_id")).alias("m")).select("m.*")
+    return prods, mains
+
+
+@register("w10_campaign", W10_SQL.replace("(3000 * ", "(6000 * ").replace("+ 4000 * ", "+ 2286 * ").replace("+ 3000 * ", "+ 1714 * ").replace(
+    "판매자 입장에서 다루기 편합니다' END]", "판매자 입장에서 다루기 편합니다' END, '" + W.BUNDLE_REASONS["campaign"] + "']"))
+def w10_campaign(spark, d):
+    return W.bundle_rank(*_bundle(spark, d), campaign=True).select(
+        "store_id", "main_id", "product_id", "total_score", "ceo_score", "investor_score", "seller_score", "reason", "rank")
+
+
+_FIXED = ", ".join(str((*x, i)) for i, x in enumerate(W.BEST_SELLERS, 1))
+
+
+@register("w10_accessories_or_best_sellers", f"""
+WITH r AS ({W10_SQL.replace("AND c.stock > 0),", f"AND c.stock > 0 AND c.price <= {ACCESSORY} * mm.main_price),")}),
+mains AS ({W10_SQL[:W10_SQL.index("pr AS (SELECT mm")].rstrip().rstrip(",")} SELECT store_id, main_id FROM mm)
+SELECT store_id, main_id, product_id, total_score, ceo_score, investor_score, seller_score, reason, rank, FALSE AS is_fallback FROM r
+UNION ALL SELECT m.store_id, m.main_id, f.id, f.t, f.c, f.i, f.s, f.reason, CAST(f.rank AS INTEGER), TRUE
+FROM mains AS m ANTI JOIN r ON r.store_id = m.store_id AND r.main_id = m.main_id,
+     (VALUES {_FIXED}) AS f(id, name, t, c, i, s, reason, rank)""")
+def w10_fallback(spark, d):
+    prods, mains = _bundle(spark, d)
+    few = prods.join(mains.select("store_id", F.col("price").alias("_main")), "store_id").filter(
+        F.col("price") <= ACCESSORY * F.col("_main")).drop("_main")
+    return W.bundle_fallback(W.bundle_rank(few, mains), mains).drop("product_name")
