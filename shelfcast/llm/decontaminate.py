@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -43,8 +43,8 @@ MATCH, MISS, GAP = 2, -1, -1
 RARE, FEW = 0.05, 100
 #: Bits per seed and at most in all, and probes, of the filter.
 BITS_PER_SEED, FILTER_BITS, PROBES = 32, 1 << 28, 4
-#: Items that one row brings to a document's text are dealt to so many rows.
-SALT = 16
+#: Items that one row brings to a document's text, about.
+TOGETHER = 64
 
 _DROP = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -271,7 +271,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, rare: float
     # different starts hit: at most as many as the item has words
     pairs = (hits.join(wanted, "key").groupBy("doc_id", "th", "item_id", "need")
              .agg(F.size(F.collect_set("start")).alias("got")).filter("got >= need"))
-    some = (pairs.join(items, "item_id").groupBy("doc_id", "th", F.pmod(F.xxhash64("item_id"), F.lit(SALT)).alias("salt"))
+    # one row per document, or per TOGETHER of its items
+    many = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("doc_id", "th")) / F.lit(TOGETHER))
+    some = (pairs.withColumn("salt", F.pmod(F.xxhash64("item_id"), many)).join(items, "item_id").groupBy("doc_id", "th", "salt")
             .agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
             .select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "items"))
     both = rows.join(some.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")))
