@@ -16,27 +16,34 @@ from shelfcast.llm.common import stored, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts, all columns. Null and empty texts are
+    scored like others; repeated rows go or stay together; without any label all
+    rows stay; an empty table stays empty."""
     return quality.accepted(docs, table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates (the smallest doc_id). Null and
+    empty texts are linked with nothing and stay; rows without doc_id are documents of
+    their own; of rows with the same doc_id and text one stays, the same on every run."""
     return minhash_dedup.deduplicated(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts stay; repeated rows go
+    or stay together; with an empty benchmark all rows stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, credentials cut out of their texts."""
+    """All documents, credentials cut out of their texts; rows without one, null and empty
+    texts are unchanged."""
     return secrets.masked(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document (0: nothing)."""
+    """What the mix takes of each document (0: nothing), one row per row. Null and empty
+    texts have size 0; a null source is a source of its own, the last one."""
     return mixing.mix(docs)
 
 
