@@ -215,7 +215,8 @@ def frozen_money_alert(snap: DataFrame) -> DataFrame:
     """I7 rows flagged when frozen money is at or above the interpolated P75
     of all rows and the status is Normal (English or Korean)."""
     from shelfcast.functions.rows import exact_percentile
-    lst = inventory_list(snap).persist()  # lazily; the percentile reads it several times
+    from shelfcast.session import cut_lineage
+    lst = cut_lineage(inventory_list(snap))  # the percentile reads it several times
     p75 = exact_percentile(lst, "frozen_money", 0.75)
     return lst.withColumn("investor_alert", (F.col("frozen_money") >= p75) & F.col("status").isin(*NORMAL_WORDS))
 

@@ -134,15 +134,10 @@ def country_category_sales(sales: DataFrame, years=None, country: str | None = N
         out = s.groupBy("category").agg(cents_to_int(money_sum(F.col('total_sales'))).alias("total_sales"))
         return out.withColumn("category", F.when(F.col("category") == "", F.lit(UNCATEGORISED))
                               .otherwise(F.col("category")))
-    s.createOrReplaceTempView("_b9_sales")
-    return s.sparkSession.sql(
-        """SELECT country,
-                  CASE WHEN grouping(category) = 1 THEN NULL
-                       WHEN category = '' THEN '(미분류)' ELSE category END AS category,
-                  CAST(bround(sum(CAST(round(coalesce(total_sales, 0D) * 100D) AS BIGINT)) / 100D, 0) AS BIGINT)
-                    AS total_sales
-           FROM _b9_sales WHERE country <> ''
-           GROUP BY GROUPING SETS ((country), (country, category))""")
+    out = (s.filter(F.col("country") != "").groupingSets([[F.col("country")], [F.col("country"), F.col("category")]], "country", "category")
+           .agg(cents_to_int(money_sum(F.col("total_sales"))).alias("total_sales"), F.grouping("category").alias("_whole")))
+    return out.select("country", F.when(F.col("_whole") == 1, F.lit(None)).when(F.col("category") == "", UNCATEGORISED)
+                      .otherwise(F.col("category")).alias("category"), "total_sales")
 
 
 def sales_by_year(sales: DataFrame, years=None) -> DataFrame:
