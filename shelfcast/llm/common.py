@@ -9,7 +9,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -160,6 +159,11 @@ def pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield out
 
 
+LONG_WORD = 64
+_LANE_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LANE_ODD = np.uint64(0xD6E8FEB86659FD93)
+
+
 class Words:
     """Words of a list of encoded texts: byte spans, row of each word, 64-bit hashes.
 
@@ -179,13 +183,23 @@ class Words:
         self.lower = lower
 
     def keys(self, which: int = 0) -> np.ndarray:
-        """XXH3 of each word with seed ``which``: two of them make 128 independent bits."""
-        data = self.data.tobytes()
-        words = (data.translate(_LOWER.tobytes()) if self.lower else data).split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        code, distinct = pd.factorize(np.array(words, dtype=object))
-        return np.array([xxhash.xxh3_64_intdigest(w, which) for w in distinct], np.uint64)[code]
+        """64 bits per word, mixed lane by lane of eight bytes (words of over ``LONG_WORD``
+        bytes: XXH3); with seeds 0 and 1 they make 128 independent bits."""
+        data = _LOWER[self.data] if self.lower else self.data
+        size = self.end - self.start
+        seed = mix64(np.array([which + 1], np.uint64) * _MUL)[0]
+        out = mix64(size.astype(np.uint64) * _MUL ^ seed)
+        padded = np.append(data, np.zeros(8, np.uint8))
+        for at in range(0, LONG_WORD, 8):
+            some = np.flatnonzero((size > at) & (size <= LONG_WORD))
+            if not len(some):
+                break
+            lane = padded[(self.start[some] + at)[:, None] + np.arange(8)].view("<u8").reshape(-1)
+            lane = lane & _LANE_MASK[np.minimum(size[some] - at, 8)]
+            out[some] = mix64((out[some] ^ lane) * _LANE_ODD + seed)
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(data[self.start[i]:self.end[i]].tobytes(), which)
+        return out
 
     def hashes(self) -> np.ndarray:
         """Polynomial hash of each word, for statistics; long words may meet."""

@@ -31,7 +31,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,18 +61,16 @@ def matches_needed(n: int, leak: float) -> int:
 
 def seeds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, word number and key of every pair of words at most one word apart."""
-    words = [normal(t).split() for t in texts]
-    n = np.array([len(w) for w in words])
-    code, distinct = pd.factorize(np.array([b"", *(x for w in words for x in w)], dtype=object))
-    code = code[1:]
-    key = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], np.uint64)
+    w = C.Words([normal(t) for t in texts])
+    key = w.keys()
     left, right = key * _ODD[1], C.mix64(key)
+    n = np.diff(w.first)
     row = np.repeat(np.arange(len(texts)), n)
-    place = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
+    place = np.arange(len(key)) - np.repeat(w.first[:-1], n)
     out = []
     for step in (1, 2):
-        at = np.flatnonzero(row[step:] == row[:-step]) if len(code) > step else np.zeros(0, np.int64)
-        out.append((row[at], place[at], left[code[at]] + right[code[at + step]]))
+        at = np.flatnonzero(row[step:] == row[:-step]) if len(key) > step else np.zeros(0, np.int64)
+        out.append((row[at], place[at], left[at] + right[at + step]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
