@@ -8,7 +8,7 @@ driver.
 
 X1 and X2 append what can be merged (counts; distinct users): readers merge
 the batches, so rows count whenever they arrive, in any order, without a
-watermark and without state. X3 depends on the order of sales: its state keeps
+watermark and without state. X3 depends on the order of sales: its state, a row per store, keeps
 the sales that the watermark has not passed and corrects its alert when an
 earlier sale turns up.
 """
@@ -157,6 +157,8 @@ ALERT_SCHEMA = ("store_name string, product_id string, sale_id string, stock lon
                 "health_index double, late_sale string")
 SETTLED = "stock long, safety long, upto long, alert_id string, alert_stock long, told_id string, told_stock long, timer long"
 PENDING = "ms long, sale_id string, quantity long"
+STRUCT = lambda ddl: "struct<" + ", ".join(f.strip().replace(" ", ": ") for f in ddl.split(",")) + ">"
+STORE = f"timer long, products array<struct<product_id: string, settled: {STRUCT(SETTLED)}, pending: array<{STRUCT(PENDING)}>>>"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -234,17 +236,107 @@ class StockAlerts(StatefulProcessor):
         pass
 
 
+class Slot:
+    """State variables and timer of one product inside its store's state."""
+
+    def __init__(self, value=None):
+        self.value = value
+
+    def exists(self) -> bool:
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value) -> None:
+        self.value = value
+
+    put = update
+
+    def clear(self) -> None:
+        self.value = None
+
+
+class Shelf:
+    """What :class:`StockAlerts` asks of a handle, for one product; its timer is in ``settled``."""
+
+    def __init__(self, settled=None, pending=None):
+        self.settled, self.pending = Slot(settled), Slot(pending)
+
+    def getValueState(self, *_) -> Slot:
+        return self.settled
+
+    def getListState(self, *_) -> Slot:
+        return self.pending
+
+    def registerTimer(self, at) -> None:
+        pass
+
+    deleteTimer = registerTimer
+
+    def alerts(self) -> StockAlerts:
+        one = StockAlerts()
+        one.init(self)
+        return one
+
+
+class StoreAlerts(StatefulProcessor):
+    """:class:`StockAlerts` of all products of a store under one key: the state is read and
+    written once per store and batch, not per product, and the store has one timer, at the
+    earliest pending sale of any product."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.store = handle.getValueState("store", STORE)
+
+    def load(self) -> tuple[int | None, dict[str, Shelf]]:
+        if not self.store.exists():
+            return None, {}
+        timer, products = self.store.get()
+        return timer, {p: Shelf(tuple(settled), [tuple(x) for x in pending] or None) for p, settled, pending in products}
+
+    def handleInputRows(self, key, rows, timerValues):
+        timer, shelves = self.load()
+        sales: dict[str, list] = {}
+        for r in rows:
+            sales.setdefault(r.product, []).append(r)
+        for product, some in sales.items():
+            shelf = shelves.setdefault(product, Shelf())
+            yield from shelf.alerts().handleInputRows((key[0], product), iter(some), timerValues)
+        self.keep(timer, shelves)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        _, shelves = self.load()
+        passed = timerValues.getCurrentWatermarkInMs()
+        for product, shelf in shelves.items():
+            if shelf.settled.value[7] is not None and shelf.settled.value[7] <= passed:
+                yield from shelf.alerts().handleExpiredTimer((key[0], product), timerValues, expiredTimerInfo)
+        self.keep(None, shelves)  # its timer has just gone off
+
+    def keep(self, timer: int | None, shelves: dict[str, Shelf]) -> None:
+        at = min((s.settled.value[7] for s in shelves.values() if s.settled.value[7] is not None), default=None)
+        if at != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if at is not None:
+                self.handle.registerTimer(at)
+        self.store.update((at, [(p, tuple(s.settled.value), s.pending.value or []) for p, s in shelves.items()]))
+
+    def close(self) -> None:
+        pass
+
+
 def alert_log(sales: DataFrame, opening: DataFrame, delay: str = DELAY) -> DataFrame:
     """What X3 tells per batch: alerts as they change, and sales that came
     after the watermark (``late_sale``; they still reduce the stock)."""
     s = sales.join(opening, ["store_name", "product_id"])
     at = F.col("sale_date").cast("timestamp")
     # the time column goes after it has moved the watermark: Spark would drop late rows by it
-    s = s.select("store_name", "product_id", "sale_id", F.col("quantity").cast("long").alias("quantity"),
+    s = s.select("store_name", F.col("product_id").alias("product"), "sale_id", F.col("quantity").cast("long").alias("quantity"),
                  F.col("inventory").cast("long").alias("inventory"), F.col("safety_stock").cast("long").alias("safety_stock"),
                  F.unix_millis(at).alias("ms"), at.alias("at")).withWatermark("at", delay).drop("at")
-    told = s.groupBy("store_name", "product_id").transformWithState(
-        StockAlerts(), T.StructType.fromDDL(ALERT_SCHEMA), "Update", "EventTime")
+    told = s.groupBy("store_name").transformWithState(
+        StoreAlerts(), T.StructType.fromDDL(ALERT_SCHEMA), "Update", "EventTime")
     conf, name = sales.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
     before = conf.get(name, None)
     conf.set(name, ROCKSDB)  # state variables and timers need it
