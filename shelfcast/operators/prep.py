@@ -16,6 +16,7 @@ SAMPLE_MIN_YEAR = 2020
 SAMPLE_ROWS = 20000
 SCALE_DIVISOR = 100
 EXPORT_PARTS = 10
+EXPORT_ROWS = 1_000_000             # rows that one task writes, about
 MATCHES = ["matched", "not_found", "failed"]
 # ---------------------------------------------------------------------------
 
@@ -58,12 +59,14 @@ def coerce_sales(raw: DataFrame) -> DataFrame:
     return out
 
 
-def export_parts(sales: DataFrame, out_dir: str, parts: int = EXPORT_PARTS, fmt: str = "parquet") -> None:
+def export_parts(sales: DataFrame, out_dir: str, parts: int = EXPORT_PARTS, fmt: str = "parquet",
+                 rows: int = EXPORT_ROWS) -> None:
     """K4: write the table as ``parts`` sale_id ranges (range partitioning,
-    no driver loop). ``fmt='sql'`` writes a dump that loads again: ``INSERT``
+    no driver loop), each in as many files, by sale_id too, as keep a task at about ``rows`` rows. ``fmt='sql'`` writes a dump that loads again: ``INSERT``
     statements with the column list, the table's definition in the first part
     (:mod:`shelfcast.sources.dump`)."""
-    d = sales.repartitionByRange(parts, "sale_id")
+    files = parts * max(1, -(-sales.count() // (parts * rows)))
+    d = sales.repartitionByRange(files, "sale_id")
     if fmt == "sql":
         from shelfcast.sources.dump import write_dump
         write_dump(d, out_dir)

@@ -37,6 +37,8 @@ CHUNK, BATCH = 1 << 20, 10_000
 
 _HEADER = re.compile(r"INSERT\s+INTO\s+([^\s(]+)\s*\(([^()]*)\)\s*VALUES", re.I)
 _TUPLE = re.compile(r"[\s,]*\(((?:[^'()]|'(?:[^']|'')*')*)\)")
+#: The same without going back, which tuples that are whole never need.
+_WHOLE = re.compile(r"[\s,]*+\(((?:[^'()]++|'(?:[^']++|'')*+')*+)\)")
 _END = re.compile(r"[\s,]*;")
 _VALUE = re.compile(r"\s*(?:'((?:[^']|'')*)'|([^,']*?))\s*(?:,|$)")
 
@@ -58,8 +60,33 @@ def parts_of(path: str) -> list[str]:
     return sorted(f.path for f in found if f.type == pafs.FileType.File and not hidden(f.path))
 
 
+def plain_values(text: str) -> list[str | None] | None:
+    """Values of a tuple's text without doubled quotes, by its quotes and commas; None where
+    they do not fall as in a tuple."""
+    out: list[str | None] = []
+    pieces = text.split("'")
+    end = len(pieces) - 1
+    if end % 2:
+        return None
+    for n, piece in enumerate(pieces):
+        if n % 2:
+            out.append(piece)
+            continue
+        between = piece.split(",")
+        if n and between.pop(0).strip() or n < end and (not between or between.pop().strip()):
+            return None
+        for v in between:
+            v = v.strip()
+            out.append(None if v.upper() == "NULL" else v)
+    return out
+
+
 def values_of(text: str) -> list[str | None]:
     """Values of a tuple's text."""
+    if "''" not in text:
+        quick = plain_values(text)
+        if quick is not None:
+            return quick
     out, at = [], 0
     while at <= len(text):
         m = _VALUE.match(text, at)
@@ -88,7 +115,7 @@ def statements(stream) -> Iterator[tuple[list[str], str | None]]:
                 columns, at = [c.strip().strip('`"') for c in m[2].split(",")], m.end()
                 yield columns, None
                 continue
-            m = _TUPLE.match(held, at)
+            m = _WHOLE.match(held, at) or _TUPLE.match(held, at)
             if m is not None and (m.end() < len(held) or not more):
                 yield columns, m[1]
                 at = m.end()
@@ -139,12 +166,16 @@ class DumpReader(DataSourceReader):
         schema = pa.schema([(n, pa.string()) for n in self.names])
         place = {n: i for i, n in enumerate(self.names)}
         rows: list[list[str | None]] = []
+        same = False  # the statement has the columns as they are read
         for columns, text in statements(Lines(partition.path, opened(self.path)[0])):
             if text is None:
+                same = [*columns, CORRUPT] == self.names
                 continue
-            row: list[str | None] = [None] * len(self.names)
             got = values_of(text)
-            if len(got) == len(columns):
+            row: list[str | None] = [None] * len(self.names)
+            if same and len(got) == len(columns):
+                row = [*got, None]
+            elif len(got) == len(columns):
                 for c, v in zip(columns, got):
                     if c in place:
                         row[place[c]] = v
