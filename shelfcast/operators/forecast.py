@@ -56,11 +56,8 @@ def series_forecast(df: DataFrame, keys: list[str], x: str, y: str, target: floa
         return linear_trend(df, keys, x, y, target).withColumn("method", F.lit(METHOD_LINEAR))
     name = getattr(model, "__name__", type(model).__name__)
 
-    def one(key, pdf):
+    def one(xs, ys):
         import numpy as np
-        import pandas as pd
-        pdf = pdf.dropna(subset=["_x", "_y"]).sort_values("_x", kind="stable")
-        xs, ys = pdf["_x"].to_numpy(float), pdf["_y"].to_numpy(float)
         try:
             value, how = float(model(xs, ys, float(target))), name
         except Exception:  # noqa: BLE001  a user's model may fail on a series
@@ -69,12 +66,28 @@ def series_forecast(df: DataFrame, keys: list[str], x: str, y: str, target: floa
             how = METHOD_LINEAR
             line = np.ptp(xs) > 0 if len(xs) else False
             value = float(np.polyval(np.polyfit(xs, ys, 1), target)) if line else float(ys.mean()) if len(ys) else 0.0
-        return pd.DataFrame([[*key, max(0, round(value)), how]], columns=[*keys, "predicted", "method"])
+        return max(0, round(value)), how
 
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        for b in batches:
+            series = b.column("_s")
+            ends = np.cumsum(series.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            # copies that a model may change
+            x, y = (np.array(c.to_numpy(zero_copy_only=False), float) for c in series.flatten().flatten())
+            got = [one(x[a:z], y[a:z]) for a, z in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(k) for k in keys), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string())],
+                [*keys, "predicted", "method"])
+
+    # a series is one row: a batch of them goes to Python, not a frame each
     rows = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    some = F.when(~(F.isnull("_x") | F.isnull("_y") | F.isnan("_x") | F.isnan("_y")), F.struct("_x", "_y"))
+    rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(some)).alias("_s"))
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["predicted long", "method string"])
-    return rows.groupBy(*keys).applyInPandas(one, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def forecast_scalar(sales: DataFrame, years=BASE_YEARS, target: int = TARGET_YEAR, model: Model | None = None) -> DataFrame:
@@ -167,10 +180,13 @@ def daily_sales_dense(sales: DataFrame) -> DataFrame:
     its first and last sale, zero where nothing was sold."""
     s = sales.filter(F.col("sale_date").isNotNull())
     d = s.groupBy("store_id", "sale_date").agg(F.sum(cents(F.col("total_sales"))).alias("c"))
-    span = d.groupBy("store_id").agg(F.min("sale_date").alias("a"), F.max("sale_date").alias("b"))
-    cal = span.select("store_id", F.explode(F.sequence("a", "b")).alias("sale_date"))
-    return (cal.join(d, ["store_id", "sale_date"], "left")
-               .select("store_id", "sale_date", (F.coalesce("c", F.lit(0)) / 100.0).alias("value")))
+    # each sale day and the days without a sale up to the next one: a store's days come from its own
+    # rows, so that what follows by store needs no exchange of the dense series
+    after = F.lead("sale_date").over(Window.partitionBy("store_id").orderBy("sale_date"))
+    d = d.withColumn("until", F.coalesce(F.date_sub(after, 1), F.col("sale_date")))
+    d = d.select("*", F.explode(F.sequence("sale_date", "until")).alias("day"))
+    sold = F.col("store_id").isNotNull() & (F.col("day") == F.col("sale_date"))
+    return d.select("store_id", F.col("day").alias("sale_date"), (F.coalesce(F.when(sold, F.col("c")), F.lit(0)) / 100.0).alias("value"))
 
 
 def store_sales_forecast(sales: DataFrame, days: int = 30) -> DataFrame:
