@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.operators.filters import store_name_forms, store_name_spellings
+from shelfcast.session import cut_lineage
 
 GRAM = 3
 
@@ -61,8 +62,10 @@ def stock_signals(stock: DataFrame, requests: DataFrame) -> DataFrame:
     cols = [c for c in stock.columns]
     rows = stock.select(F.struct(*cols).alias("row"), F.coalesce("product_name", F.lit("")).alias("name"),
                         F.coalesce("store_name", F.lit("")).alias("store"), *(F.col(c) for c in ("frozen_money", "store_name", "product_id")))
-    first = lambda *by: rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_r = 1").drop("_r")
-    of_name, of_both = first("name"), first("name", "store")
+    first = lambda d, *by: d.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_r = 1").drop("_r")
+    # written once, as six steps below read them; a name's first row is the first of its stores' first rows
+    of_both = cut_lineage(first(rows, "name", "store"))
+    of_name = cut_lineage(first(of_both, "name"))
     asked = (requests.select("request_id", F.trim(F.coalesce("product_name", F.lit(""))).alias("p"), F.coalesce("store_name", F.lit("")).alias("s"))
              .filter("p <> ''"))
     names, wanted = of_name.select("name").distinct(), asked.select("p").distinct()
