@@ -17,7 +17,7 @@ ORDER = ("sale_date", "sale_id")
 # Cut points of a global order, and the rows they are chosen from (taken in
 # the order of a hash of the key: a bounded sample that does not depend on
 # how rows are partitioned).
-CUTS, CUT_ROWS = 256, 8192
+CUTS, CUT_ROWS, HOP = 256, 8192, 16
 
 
 def first_row(*cols: str) -> Column:
@@ -40,7 +40,11 @@ def running_total(df: DataFrame, key: Column, weight: Column, name: str) -> Data
     step = max(1, CUT_ROWS // CUTS)
     cuts = some.agg(F.sort_array(F.collect_list("_key")).alias("c")).select(
         F.filter("c", lambda x, i: i % step == step - 1)).scalar()
-    d = d.withColumn("_cuts", cuts).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_key")))).drop("_cuts")
+    # the bucket by every HOP-th cut first, then by the HOP cuts behind the last one passed
+    less = lambda c: c < F.col("_key")
+    hops = F.filter("_cuts", lambda x, i: i % HOP == HOP - 1)
+    d = d.withColumn("_cuts", cuts).withColumn("_hop", HOP * F.size(F.filter(hops, less)))
+    d = d.withColumn("_b", F.col("_hop") + F.size(F.filter(F.slice("_cuts", F.col("_hop") + 1, HOP), less))).drop("_cuts", "_hop")
     total = d.groupBy("_b").agg(F.sum("_w").alias("_t"))
     before = total.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_before"))
     own = F.sum("_w").over(Window.partitionBy("_b").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0))
