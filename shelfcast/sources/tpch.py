@@ -76,16 +76,16 @@ def tpch_sales(spark: SparkSession, sf_dir: str, launch: bool = False) -> DataFr
     nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     reg = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     geo = nat.join(F.broadcast(reg), nat.n_regionkey == reg.r_regionkey)
+    if launch:  # by product first: the fact's rows move as they lie in the table, without the dimensions' texts
+        li = li.join(product_launch(spark, sf_dir), F.col("l_partkey") == F.col("_lpartkey"), "left")
     # Fact joins plain dimension scans first, so the planner sees their
     # real (file) sizes; the fixed-size geography is broadcast last.
-    s = (li.join(part, li.l_partkey == part.p_partkey)
-           .join(sup, li.l_suppkey == sup.s_suppkey)
+    s = (li.join(part, F.col("l_partkey") == part.p_partkey)
+           .join(sup, F.col("l_suppkey") == sup.s_suppkey)
            .join(F.broadcast(geo), F.col("s_nationkey") == geo.n_nationkey))
     s = s.select("*", F.col("s_suppkey").cast("string").alias("store_id"), F.col("s_name").alias("store_name"),
                  F.concat(F.col("n_name"), F.lit("-"), (F.col("s_suppkey") % 4).cast("string")).alias("city"),
                  F.col("n_name").alias("country"), F.col("r_name").alias("continent"))
-    if launch:
-        s = s.join(product_launch(spark, sf_dir), li.l_partkey == F.col("_lpartkey"), "left")
     sale_date = F.to_date("l_shipdate")
     cols = [
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("sale_id"),
