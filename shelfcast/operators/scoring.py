@@ -203,8 +203,8 @@ def growth_fallback(sales: DataFrame, scored: DataFrame) -> DataFrame:
 
 def bundle_rank(products: DataFrame, mains: DataFrame, campaign: bool = False,
                 seller_score: float = 0.5, age_col: str = "stock_age") -> DataFrame:
-    """Every main device x its compatible candidates (a shared tag;
-    found by an equi-join on exploded tags, not a cross join), stock > 0 or
+    """Every main device x its compatible candidates (its store's products
+    with a shared tag; an equi-join by store, so a product moves once, not once per tag), stock > 0 or
     ETA <= 24 h, CEO / investor / seller scores, weighted total, up to two
     reason clauses; sorted by total."""
     bw = BUNDLE_WEIGHTS
@@ -214,11 +214,12 @@ def bundle_rank(products: DataFrame, mains: DataFrame, campaign: bool = False,
     else:
         w = bw
     mt = mains.select("store_id", F.col("product_id").alias("main_id"), F.col("price").alias("main_price"),
-                      F.explode(F.array_distinct(F.transform("compatibility_tags", F.lower))).alias("tag"))
+                      F.transform("compatibility_tags", F.lower).alias("main_tags"))
     ct = products.select("store_id", "product_id", "product_name", "price", "margin", F.col(age_col).alias("age"), "stock",
                          F.lit(None).cast("double").alias("eta_hours"),
-                         F.explode(F.array_distinct(F.transform("compatibility_tags", F.lower))).alias("tag"))
-    pairs = (mt.join(ct, ["store_id", "tag"]).drop("tag").filter(F.col("product_id") != F.col("main_id"))
+                         F.transform("compatibility_tags", F.lower).alias("tags"))
+    pairs = (mt.join(ct, "store_id").filter(F.arrays_overlap("main_tags", "tags") & (F.col("product_id") != F.col("main_id")))
+               .drop("main_tags", "tags")
                .dropDuplicates(["store_id", "main_id", "product_id"]))
     pairs = pairs.filter((F.col("stock") > 0) | ((F.col("stock") == 0) & (F.col("eta_hours") <= BUNDLE_ETA_HOURS)))
     ratio = F.when(F.col("main_price") > 0, F.col("price") / F.col("main_price")).otherwise(0.0)
