@@ -14,6 +14,8 @@ and every partitioning gives the same snapshot.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,21 +55,25 @@ def safety_stock(sales: DataFrame, product_col: str = "product_id", noise: bool
 
 
 def inventory_snapshot(sales: DataFrame, product_col: str = "product_id", noise: bool = False,
-                       overstock_products: list[str] | None = None, precomputed: str = "auto") -> DataFrame:
+                       overstock_products: list[str] | None = None, precomputed: str = "auto",
+                       finish: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """I1-I4 on every sale row. ``precomputed='auto'`` keeps supplied
-    inventory/safety/status columns (clipped at 0, frozen money filled)."""
+    inventory/safety/status columns (clipped at 0, frozen money filled).
+    ``finish`` gets the rows with their safety stock, before the columns that follow from
+    them are made: it may move rows and add columns of the sale (``sale_id`` ...) that
+    need not have moved."""
     q = F.coalesce(F.col("quantity"), F.lit(0))
     price = F.coalesce(F.col("price").cast("double"), F.lit(0.0))
     have = all(c in sales.columns for c in ("inventory", "safety_stock", "status"))
     if precomputed == "auto" and have:
         inv = F.greatest(F.coalesce(F.col("inventory").cast("long"), F.lit(0)), F.lit(0))
-        out = sales.withColumn("inventory", inv).withColumn(
+        out = finish(sales).withColumn("inventory", inv).withColumn(
             "safety_stock", F.greatest(F.coalesce(F.col("safety_stock").cast("long"), F.lit(0)), F.lit(0)))
         fm = F.greatest((F.col("inventory") - q) * price, F.lit(0.0))
         cur = F.col("frozen_money").cast("double") if "frozen_money" in sales.columns else F.lit(None).cast("double")
         return out.withColumn("frozen_money", F.coalesce(cur, fm))
     base = sales.drop(*[c for c in SNAPSHOT_COLS if c in sales.columns])
-    s = base.join(safety_stock(base, product_col, noise), product_col, "left")
+    s = finish(base.join(safety_stock(base, product_col, noise), product_col, "left"))
     safety = F.col("safety_stock")
     inv = safety + q + F.floor(u("sale_id", "inventory") * INVENTORY_JITTER).cast("long")
     targets = overstock_products if overstock_products is not None else OVERSTOCK_PRODUCTS

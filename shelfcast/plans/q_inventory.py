@@ -5,7 +5,7 @@ from __future__ import annotations
 from shelfcast.functions.numeric import sql_hash_uniform as U
 from shelfcast.operators import inventory as I
 from shelfcast.plans.catalog import register, sql_forecast_ctes
-from shelfcast.sources.tpch import BASE_YEARS, OVERSTOCK_PRODUCTS, TARGET_YEAR, tpch_sales, with_sales
+from shelfcast.sources.tpch import BASE_YEARS, OVERSTOCK_PRODUCTS, TARGET_YEAR, sale_columns, sale_rows, tpch_sales, with_sales
 
 _TARGETS = ", ".join("'" + p.replace("'", "''") + "'" for p in OVERSTOCK_PRODUCTS)
 FIRST = "arg_min({c}, (sale_date, sale_id))"
@@ -36,8 +36,10 @@ lst AS (SELECT store_name, product_id, {FIRST.format(c='product_name')} AS produ
         FROM snap GROUP BY store_name, product_id)"""
 
 
-def snap(spark, d):
-    return I.inventory_snapshot(tpch_sales(spark, d), overstock_products=OVERSTOCK_PRODUCTS)
+def snap(spark, d, move=lambda rows: rows):
+    """The snapshot; ``move`` gets the rows before the columns that others imply are made."""
+    return I.inventory_snapshot(sale_rows(spark, d, by_product=True), overstock_products=OVERSTOCK_PRODUCTS,
+                                finish=lambda rows: sale_columns(move(rows)))
 
 
 @register("i1_safety_stock", with_sales(SNAP + "\nSELECT product_id, safety_stock FROM ss"))

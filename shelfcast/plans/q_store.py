@@ -12,7 +12,7 @@ from shelfcast.plans import q_demand, q_inventory, q_sales  # noqa: F401  (their
 from shelfcast.plans.catalog import REGISTRY, register
 from shelfcast.plans.q_io import folder
 from shelfcast.sources import store
-from shelfcast.sources.tpch import BASE_YEARS, tpch_sales
+from shelfcast.sources.tpch import BASE_YEARS, table, tpch_sales
 
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
@@ -32,7 +32,10 @@ def sales_by_year(spark, d):
 def snapshot(spark, d):
     def write():
         name = f"snapshot_{uuid.uuid4().hex[:12]}"
-        store.write_snapshot(q_inventory.snap(spark, d), name, folder(spark, "snapshot"))
+        buckets = store.buckets_of(table(spark, d, "lineitem").count())
+        # dealt to the buckets before the columns that follow from others are made
+        snap = q_inventory.snap(spark, d, lambda rows: store.dealt(rows, buckets))
+        store.write_snapshot(snap, name, folder(spark, "snapshot"), buckets, lies=True)
         return name
     return store.read_snapshot(spark, _once(spark, d, "snapshot", write))
 

@@ -11,8 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast.functions.moves import moved
+
 SNAPSHOT_KEYS = ["store_name", "product_id"]
 BUCKETS, FILES_PER_YEAR = 32, 8
+BUCKET_ROWS = 1_000_000             # rows that one task sorts and writes, about
 
 
 def write_sales(sales: DataFrame, path: str, files: int = FILES_PER_YEAR) -> str:
@@ -33,11 +36,21 @@ def sales_of(sales: DataFrame, years: DataFrame) -> DataFrame:
     return sales.join(years.select("sale_year").distinct(), "sale_year", "left_semi")
 
 
-def write_snapshot(snapshot: DataFrame, name: str, path: str, buckets: int = BUCKETS) -> DataFrame:
+def buckets_of(rows: int) -> int:
+    """Buckets for a snapshot of ``rows`` rows: a task sorts about ``BUCKET_ROWS`` of them in memory."""
+    return max(BUCKETS, -(-rows // BUCKET_ROWS))
+
+
+def dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows as the buckets hold them, for :func:`write_snapshot`."""
+    return moved(rows, buckets, *SNAPSHOT_KEYS)
+
+
+def write_snapshot(snapshot: DataFrame, name: str, path: str, buckets: int = BUCKETS, lies: bool = False) -> DataFrame:
     """The snapshot as table ``name`` in ``path``: one sorted file per bucket, as rows
-    are dealt by the bucket keys before they are written."""
-    (snapshot.repartition(buckets, *SNAPSHOT_KEYS).write.mode("overwrite").format("parquet").option("path", path)
-     .bucketBy(buckets, *SNAPSHOT_KEYS).sortBy(*SNAPSHOT_KEYS).saveAsTable(name))
+    are :func:`dealt` by the bucket keys before they are written (``lies``: they are already)."""
+    (snapshot if lies else dealt(snapshot, buckets)).write.mode("overwrite").format("parquet").option("path", path).option(
+        "compression", "zstd").bucketBy(buckets, *SNAPSHOT_KEYS).sortBy(*SNAPSHOT_KEYS).saveAsTable(name)
     return read_snapshot(snapshot.sparkSession, name)
 
 

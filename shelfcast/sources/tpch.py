@@ -62,15 +62,18 @@ def product_launch(spark: SparkSession, sf_dir: str) -> DataFrame:
 SALES_COLUMNS = ["sale_id", "basket_id", "sale_date", "sale_year", "store_id", "store_name", "city", "country",
                  "continent", "product_id", "product_name", "category_id", "category_name", "quantity", "price",
                  "total_sales"]
+# What sale_columns makes the other columns of a sale from.
+ROW_COLUMNS = ["l_orderkey", "l_linenumber", "sale_date", "store_id", "store_name", "country", "continent", "product_id",
+               "product_name", "category_name", "quantity", "price", "total_sales"]
 
 
-def tpch_sales(spark: SparkSession, sf_dir: str, launch: bool = False) -> DataFrame:
-    """The canonical sales DataFrame (plus ``basket_id``, ``continent``,
-    ``sale_year``). ``launch=True`` adds ``launch_date`` (costs one more
-    join with orders, so only jobs that use it ask for it)."""
+def sale_rows(spark: SparkSession, sf_dir: str, launch: bool = False, by_product: bool = False) -> DataFrame:
+    """The rows of the sales view without the columns that others imply (:func:`sale_columns`
+    adds them): what a job moves between tasks. ``by_product`` joins the products last, on the
+    text of their key, so that later steps by ``product_id`` find a product's rows in one place."""
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_shipdate")
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").alias("quantity"),
+        F.col("l_extendedprice").alias("total_sales"), F.to_date("l_shipdate").alias("sale_date"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_retailprice")
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -78,32 +81,36 @@ def tpch_sales(spark: SparkSession, sf_dir: str, launch: bool = False) -> DataFr
     geo = nat.join(F.broadcast(reg), nat.n_regionkey == reg.r_regionkey)
     if launch:  # by product first: the fact's rows move as they lie in the table, without the dimensions' texts
         li = li.join(product_launch(spark, sf_dir), F.col("l_partkey") == F.col("_lpartkey"), "left")
+    li = li.withColumn("product_id", F.col("l_partkey").cast("string"))
     # Fact joins plain dimension scans first, so the planner sees their
     # real (file) sizes; the fixed-size geography is broadcast last.
-    s = (li.join(part, F.col("l_partkey") == part.p_partkey)
-           .join(sup, F.col("l_suppkey") == sup.s_suppkey)
-           .join(F.broadcast(geo), F.col("s_nationkey") == geo.n_nationkey))
-    s = s.select("*", F.col("s_suppkey").cast("string").alias("store_id"), F.col("s_name").alias("store_name"),
-                 F.concat(F.col("n_name"), F.lit("-"), (F.col("s_suppkey") % 4).cast("string")).alias("city"),
-                 F.col("n_name").alias("country"), F.col("r_name").alias("continent"))
-    sale_date = F.to_date("l_shipdate")
-    cols = [
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("sale_id"),
-        F.col("l_orderkey").cast("string").alias("basket_id"),
-        sale_date.alias("sale_date"),
-        F.year(sale_date).alias("sale_year"),
-        "store_id", "store_name", "city", "country", "continent",
-        F.col("l_partkey").cast("string").alias("product_id"),
-        F.col("p_name").alias("product_name"),
-        F.col("p_type").alias("category_id"),
-        F.col("p_type").alias("category_name"),
-        F.col("l_quantity").cast("int").alias("quantity"),
-        F.col("p_retailprice").alias("price"),
-        F.col("l_extendedprice").alias("total_sales"),
-    ]
-    if launch:
-        cols.append("launch_date")
-    return s.select(*cols)
+    s = li if by_product else li.join(part, F.col("l_partkey") == part.p_partkey)
+    s = (s.join(sup, F.col("l_suppkey") == sup.s_suppkey)
+          .join(F.broadcast(geo), F.col("s_nationkey") == geo.n_nationkey))
+    if by_product:
+        key = F.col("p_partkey").cast(li.schema["l_partkey"].dataType).cast("string")
+        s = s.join(part.withColumn("_product", key), F.col("product_id") == F.col("_product"))
+    names = {"store_name": "s_name", "country": "n_name", "continent": "r_name", "product_name": "p_name",
+             "category_name": "p_type", "price": "p_retailprice"}
+    s = s.withColumn("store_id", F.col("s_suppkey").cast("string"))
+    return s.select(*[F.col(names.get(c, c)).alias(c) for c in ROW_COLUMNS], *(["launch_date"] if launch else []))
+
+
+def sale_columns(rows: DataFrame) -> DataFrame:
+    """:func:`sale_rows` with all columns of a sale; further columns stay behind them."""
+    made = {"sale_id": F.concat_ws("-", "l_orderkey", "l_linenumber", "product_id", "store_id"),
+            "basket_id": F.col("l_orderkey").cast("string"), "sale_year": F.year("sale_date"),
+            "city": F.concat(F.col("country"), F.lit("-"), (F.col("store_id").cast("long") % 4).cast("string")),
+            "category_id": F.col("category_name")}
+    return rows.select(*[made[c].alias(c) if c in made else c for c in SALES_COLUMNS],
+                       *[c for c in rows.columns if c not in ROW_COLUMNS])
+
+
+def tpch_sales(spark: SparkSession, sf_dir: str, launch: bool = False, by_product: bool = False) -> DataFrame:
+    """The canonical sales DataFrame (plus ``basket_id``, ``continent``,
+    ``sale_year``). ``launch=True`` adds ``launch_date`` (costs one more
+    join with orders, so only jobs that use it ask for it); ``by_product``: see :func:`sale_rows`."""
+    return sale_columns(sale_rows(spark, sf_dir, launch, by_product))
 
 
 SALES_CTE = """sales AS (
