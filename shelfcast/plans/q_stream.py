@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from shelfcast.operators import inventory as I
 from shelfcast.plans.catalog import register
 from shelfcast.plans.q_funnel import U1_SQL
-from shelfcast.plans.q_inventory import LIST, SNAP
-from shelfcast.sources.tpch import OVERSTOCK_PRODUCTS, store_dim, table, tpch_sales, with_sales
+from shelfcast.plans.q_inventory import LIST, SNAP, snap
+from shelfcast.sources.tpch import store_dim, table, with_sales
 from shelfcast.streaming import jobs as X
 
 
@@ -57,7 +57,7 @@ SELECT store_name, product_id, arg_min(sale_id, (sale_date, sale_id)) AS sale_id
        min(safety_stock) AS safety_stock, round_even(arg_min(h, (sale_date, sale_id)), 1) AS health_index
 FROM low WHERE h < 70 GROUP BY store_name, product_id"""))
 def x3(spark, d):
-    opening = I.inventory_list(I.inventory_snapshot(tpch_sales(spark, d), overstock_products=OVERSTOCK_PRODUCTS)).select(
+    opening = I.inventory_list(snap(spark, d)).select(
         "store_name", "product_id", "inventory", "safety_stock")
     # the sales view as a stream: lineitem file stream joined with static dimensions
     schema = spark.read.parquet(f"{d}/lineitem.parquet").schema

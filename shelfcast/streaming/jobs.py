@@ -15,7 +15,9 @@ earlier sale turns up.
 
 from __future__ import annotations
 
+import json
 import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
@@ -24,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from shelfcast.operators.funnel import CLICK_EVENT, STAGES, VIEW_EVENT, funnel_rates, journey_funnel
-from shelfcast.session import ensure_checkpoint_dir
+from shelfcast.session import cut_lineage, ensure_checkpoint_dir
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 FEEDBACK_WINDOW = "10 minutes"
@@ -159,7 +161,9 @@ SETTLED = "stock long, safety long, upto long, alert_id string, alert_stock long
 PENDING = "ms long, sale_id string, quantity long"
 STRUCT = lambda ddl: "struct<" + ", ".join(f.strip().replace(" ", ": ") for f in ddl.split(",")) + ">"
 STORE = f"timer long, products array<struct<product_id: string, settled: {STRUCT(SETTLED)}, pending: array<{STRUCT(PENDING)}>>>"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State variables and timers need RocksDB; rows that lie by store need not move to join by store and product.
+ALERT_CONF = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+              "spark.sql.requireAllClusterKeysForCoPartition": "false"}
 
 
 def health(stock: int, safety: int) -> float:
@@ -326,24 +330,51 @@ class StoreAlerts(StatefulProcessor):
         pass
 
 
+class Packed:
+    """A value state of one ``binary`` that holds a value of lists, texts and numbers, compressed."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def exists(self) -> bool:
+        return self.state.exists()
+
+    def get(self):
+        return json.loads(zlib.decompress(self.state.get()[0]))
+
+    def update(self, value) -> None:
+        self.state.update((zlib.compress(json.dumps(value, separators=(",", ":")).encode(), 1),))
+
+
+class PackedStoreAlerts(StoreAlerts):
+    """:class:`StoreAlerts` whose state is stored compressed: it is a table of the store's products."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.store = Packed(handle.getValueState("store", "packed binary"))
+
+
 def alert_log(sales: DataFrame, opening: DataFrame, delay: str = DELAY) -> DataFrame:
     """What X3 tells per batch: alerts as they change, and sales that came
-    after the watermark (``late_sale``; they still reduce the stock)."""
-    s = sales.join(opening, ["store_name", "product_id"])
+    after the watermark (``late_sale``; they still reduce the stock). The opening stock is
+    written once, as every batch reads it; rows join it where they lie by store."""
+    s = sales.repartition("store_name").join(cut_lineage(opening), ["store_name", "product_id"])
     at = F.col("sale_date").cast("timestamp")
     # the time column goes after it has moved the watermark: Spark would drop late rows by it
     s = s.select("store_name", F.col("product_id").alias("product"), "sale_id", F.col("quantity").cast("long").alias("quantity"),
                  F.col("inventory").cast("long").alias("inventory"), F.col("safety_stock").cast("long").alias("safety_stock"),
                  F.unix_millis(at).alias("ms"), at.alias("at")).withWatermark("at", delay).drop("at")
     told = s.groupBy("store_name").transformWithState(
-        StoreAlerts(), T.StructType.fromDDL(ALERT_SCHEMA), "Update", "EventTime")
-    conf, name = sales.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(name, None)
-    conf.set(name, ROCKSDB)  # state variables and timers need it
+        PackedStoreAlerts(), T.StructType.fromDDL(ALERT_SCHEMA), "Update", "EventTime")
+    conf = sales.sparkSession.conf
+    before = {name: conf.get(name, None) for name in ALERT_CONF}
+    for name, value in ALERT_CONF.items():
+        conf.set(name, value)
     try:
         return drain(told, "alerts", mode="update")
     finally:
-        conf.set(name, before) if before else conf.unset(name)
+        for name, value in before.items():
+            conf.set(name, value) if value else conf.unset(name)
 
 
 def stream_critical_alerts(sales: DataFrame, opening: DataFrame, delay: str = DELAY) -> DataFrame:

@@ -266,3 +266,52 @@ def test_launch_date_joins_the_fact_before_the_dimensions(spark):
     joins = [line for line in text.splitlines() if "Join " in line]
     assert "_lpartkey" not in joins[0] and s.count() == tpch_sales(spark, "/root/testdata/sf0.001").count()
     assert any("_lpartkey" in j for j in joins[2:])
+
+
+def test_state_of_a_store_is_stored_compressed_and_read_back():
+    from shelfcast.streaming import jobs as X
+
+    class Cell:
+        v = None
+
+        def getValueState(self, name, schema):
+            assert schema.endswith("binary")
+            return self
+
+        def exists(self):
+            return self.v is not None
+
+        def get(self):
+            return self.v
+
+        def update(self, v):
+            self.v = v
+    cell, alerts = Cell(), X.PackedStoreAlerts()
+    alerts.init(cell)
+    assert alerts.load() == (None, {})
+    shelves = {f"p{i}": X.Shelf((5 * i, 7, -1, None, None, f"s-{i}", 3, 86400000 * i), [(86400000 * i, f"sale {i} é", i)] if i % 2 else None)
+               for i in range(200)}
+    cell.registerTimer = lambda at: None
+    alerts.keep(None, shelves)
+    assert len(cell.v[0]) < 40 * 200
+    timer, back = alerts.load()
+    assert timer == 0 and {p: (s.settled.value, s.pending.value) for p, s in back.items()} == {
+        p: (s.settled.value, s.pending.value) for p, s in shelves.items()}
+
+
+def test_alerts_read_the_opening_stock_once(spark, tmp_path):
+    from shelfcast.streaming import jobs as X
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+    opening = spark.createDataFrame([("s", "p", 10, 10), ("s", "q", 10, 10)], "store_name string, product_id string, inventory long, safety_stock long")
+    schema = "store_name string, product_id string, sale_id string, sale_date date, quantity int"
+    for day in (1, 2, 3):
+        spark.createDataFrame([("s", "p", f"a{day}", None, 2)], schema).withColumn("sale_date", F.expr(f"DATE'2020-01-0{day}'")).coalesce(
+            1).write.mode("append").parquet(str(tmp_path / "in"))
+    sales = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = X.stream_critical_alerts(sales, opening.mapInArrow(seen, opening.schema)).collect()
+    assert [(r.sale_id, r.stock) for r in got] == [("a2", 6)] and reads.value == 2
