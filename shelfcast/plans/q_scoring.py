@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.operators import scoring as W
 from shelfcast.plans.catalog import register
+from shelfcast.session import cut_lineage
 from shelfcast.sources.tpch import tpch_sales, with_sales
 
 AS_OF = "2002-01-01"   # reference date for stock age on the driver's data
@@ -143,10 +144,10 @@ ACCESSORY = 0.46
 
 def _bundle(spark, d, **kw):
     s = tpch_sales(spark, d, launch=True)
-    prods = W.engine_products(s, AS_OF)
+    prods = cut_lineage(W.engine_products(s, AS_OF))  # read by the main devices and, often twice, by the candidates
     mains = prods.join(W.store_targets(s).select("store_id", F.col("main_device_price").alias("price")), ["store_id", "price"], "left_semi")
     mains = mains.groupBy("store_id").agg(F.min_by(F.struct(*prods.columns), F.col("product_id")).alias("m")).select("m.*")
-    return prods, mains
+    return prods, cut_lineage(mains)  # a row per store, read several times too
 
 
 @register("w10_campaign", W10_SQL.replace("(3000 * ", "(6000 * ").replace("+ 4000 * ", "+ 2286 * ").replace("+ 3000 * ", "+ 1714 * ").replace(

@@ -315,3 +315,10 @@ def test_alerts_read_the_opening_stock_once(spark, tmp_path):
     sales = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = X.stream_critical_alerts(sales, opening.mapInArrow(seen, opening.schema)).collect()
     assert [(r.sale_id, r.stock) for r in got] == [("a2", 6)] and reads.value == 2
+
+
+def test_products_of_bundles_are_made_once(spark):
+    from shelfcast.plans import q_scoring
+    for query in (q_scoring.w10_campaign, q_scoring.w10_fallback):
+        got = query(spark, "/root/testdata/sf0.001")
+        assert "lineitem" not in got._jdf.queryExecution().toString() and not got.isEmpty()
