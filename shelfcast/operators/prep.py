@@ -3,6 +3,8 @@ sampling, enrichment, scaling, feedback append)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -96,14 +98,15 @@ def dashboard_sample(sales: DataFrame, n: int = SAMPLE_ROWS, min_year: int = SAM
               .drop("_h", "_r", "_q"))
 
 
-def enrich_inventory(sales: DataFrame, patch: DataFrame) -> DataFrame:
+def enrich_inventory(sales: DataFrame, patch: DataFrame, finish: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """K6: left look-up on (date, store id, normalised product name, quantity,
     price): matched rows take the patch's stock, inventory, frozen money,
     safety stock and status; ``_match`` is matched / not_found, or failed where a part
     of the row's key is missing (text that did not parse). Of several
     patch rows of a key the first by ``ingest_order`` wins (without that
     column: the smallest by its values, so the choice never depends on how
-    rows are partitioned)."""
+    rows are partitioned). ``finish`` gets the joined rows: it may add columns of the sale
+    that need not have moved for the join."""
     from shelfcast.functions.text import norm_name_key
     key = ["sale_date", "store_id", "_pkey", "quantity", "price"]
     p = patch.withColumn("_pkey", norm_name_key("product_name"))
@@ -111,7 +114,7 @@ def enrich_inventory(sales: DataFrame, patch: DataFrame) -> DataFrame:
     first = ["ingest_order"] if "ingest_order" in patch.columns else cols
     p = p.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*first))).filter("_rn = 1")
     p = p.select(*key, *[F.col(c).alias(f"_p_{c}") for c in cols], F.lit(True).alias("_hit"))
-    j = sales.withColumn("_pkey", norm_name_key("product_name")).join(p, key, "left")
+    j = finish(sales.withColumn("_pkey", norm_name_key("product_name")).join(p, key, "left"))
     for c in cols:
         cur = F.col(c) if c in sales.columns else F.lit(None)
         j = j.withColumn(c, F.when(F.col("_hit"), F.col(f"_p_{c}")).otherwise(cur))
@@ -120,13 +123,15 @@ def enrich_inventory(sales: DataFrame, patch: DataFrame) -> DataFrame:
              .drop("_pkey", "_hit", *[f"_p_{c}" for c in cols]))
 
 
-def enrich_into(sales: DataFrame, patch: DataFrame, out_path: str, fmt: str = "parquet") -> dict[str, int]:
+def enrich_into(sales: DataFrame, patch: DataFrame, out_path: str, fmt: str = "parquet",
+                finish: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> dict[str, int]:
     """K6 as a job: write the enriched rows to ``out_path`` and give the counters matched,
     not_found and failed, which the write itself collects (no second pass)."""
     seen = Observation("enrich_inventory")
     count = lambda k: F.coalesce(F.sum((F.col("_match") == k).cast("long")), F.lit(0)).alias(k)
-    rows = enrich_inventory(sales, patch).observe(seen, *[count(k) for k in MATCHES])
-    rows.write.mode("overwrite").format(fmt).save(out_path)
+    rows = enrich_inventory(sales, patch, finish).observe(seen, *[count(k) for k in MATCHES])
+    packed = {"compression": "zstd"} if fmt == "parquet" else {}
+    rows.write.mode("overwrite").format(fmt).options(**packed).save(out_path)
     return {k: int(seen.get[k]) for k in MATCHES}
 
 

@@ -16,7 +16,7 @@ from shelfcast.plans.catalog import register, sql_forecast_ctes
 from shelfcast.plans.q_inventory import SNAP, snap
 from shelfcast.session import ensure_checkpoint_dir
 from shelfcast.sources import dump, files
-from shelfcast.sources.tpch import BASE_YEARS, TARGET_YEAR, table, tpch_sales, with_sales
+from shelfcast.sources.tpch import BASE_YEARS, TARGET_YEAR, sale_columns, sale_rows, table, tpch_sales, with_sales
 
 COLUMNS = ["sale_id", "sale_date", "store_id", "product_id", "quantity", "product_name", "category_id", "price", "category_name",
            "store_name", "city", "country", "total_sales"]
@@ -78,7 +78,7 @@ FROM sales s LEFT JOIN patch ON patch.sale_date = s.sale_date AND patch.store_id
 def k6(spark, d):
     """Counters of the job that writes the enriched sales."""
     patch = K.synth_store_stock(snap(spark, d).filter("status <> 'Normal'").withColumn("ingest_order", F.col("sale_id")))
-    got = K.enrich_into(tpch_sales(spark, d), patch, folder(spark, "enriched"))
+    got = K.enrich_into(sale_rows(spark, d), patch, folder(spark, "enriched"), finish=sale_columns)
     return spark.createDataFrame([tuple(got[k] for k in K.MATCHES)], "matched long, not_found long, failed long")
 
 

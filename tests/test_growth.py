@@ -322,3 +322,17 @@ def test_products_of_bundles_are_made_once(spark):
     for query in (q_scoring.w10_campaign, q_scoring.w10_fallback):
         got = query(spark, "/root/testdata/sf0.001")
         assert "lineitem" not in got._jdf.queryExecution().toString() and not got.isEmpty()
+
+
+def test_enriched_rows_move_without_the_columns_that_others_imply(spark):
+    from shelfcast.operators import prep as K
+    from shelfcast.plans.q_inventory import snap
+    from shelfcast.sources.tpch import sale_columns, sale_rows, tpch_sales
+    d = "/root/testdata/sf0.001"
+    patch = K.synth_store_stock(snap(spark, d).filter("status <> 'Normal'").withColumn("ingest_order", F.col("sale_id")))
+    got, want = K.enrich_inventory(sale_rows(spark, d), patch, sale_columns), K.enrich_inventory(tpch_sales(spark, d), patch)
+    got = got.select(*want.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    joined = text[text.index("Join LeftOuter"):text.index("Window")]
+    assert "concat_ws" in text[:text.index("Join LeftOuter")] and "concat_ws" not in joined
