@@ -336,3 +336,33 @@ def test_enriched_rows_move_without_the_columns_that_others_imply(spark):
     text = got._jdf.queryExecution().optimizedPlan().toString()
     joined = text[text.index("Join LeftOuter"):text.index("Window")]
     assert "concat_ws" in text[:text.index("Join LeftOuter")] and "concat_ws" not in joined
+
+
+def test_blocks_reach_python_a_few_at_a_time(spark, monkeypatch):
+    """Factor blocks of a megabyte and more: not all that a task reads in one Arrow batch."""
+    from shelfcast.operators import latent
+    most = latent.HANDED
+
+    def checked(make):
+        def of(*a):
+            run = make(*a)
+
+            def bounded(batches):
+                def few():
+                    for b in batches:
+                        assert b.num_rows <= most, b.num_rows
+                        yield b
+                yield from run(few())
+            return bounded
+        return of
+    for name in ("_products", "_scored"):
+        monkeypatch.setattr(latent, name, checked(getattr(latent, name)))
+    monkeypatch.setattr(latent, "PARTS", 2)
+    rng = np.random.default_rng(9)
+    e = matrix_of(spark, rng.poisson(0.4, (80, 90)).astype(float)).select(F.col("x").alias("r"), F.col("p").alias("c"), F.col("q").alias("v"))
+    rows, cols = (latent.blocks_of(e.select(F.col(c).alias("id")).distinct(), 2).cache() for c in "rc")
+    u, w = latent.svd_factors(latent.tiles_of(e, rows, cols).cache(), cols, 5, rows.count(), cols.count(), power=1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = latent.top_products(latent.vectors(u, rows), latent.vectors(w, cols), e.select(F.col("r").alias("id"), F.col("c").alias("item")), 3, size=2)
+    assert got.groupBy("id").count().count() > 70
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before != str(most)
