@@ -366,3 +366,37 @@ def test_blocks_reach_python_a_few_at_a_time(spark, monkeypatch):
     got = latent.top_products(latent.vectors(u, rows), latent.vectors(w, cols), e.select(F.col("r").alias("id"), F.col("c").alias("item")), 3, size=2)
     assert got.groupBy("id").count().count() > 70
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before != str(most)
+
+
+def test_neighbours_products_move_once_by_store(spark):
+    sales = spark.createDataFrame([(f"s{i}", f"p{(i * j) % 11}", i + j) for i in range(6) for j in range(1, 8)],
+                                  "store_id string, product_id string, quantity int").withColumn("sale_id", F.lit("x"))
+    health = spark.createDataFrame([(f"p{j}", 100.0 + 10 * j) for j in range(5)] + [("p4", 90.0), ("p6", None), (None, 500.0)],
+                                   "product_id string, health_index double")
+    near = [("s0", "s1"), ("s0", "s2"), ("s1", "s4"), ("s2", "s5"), ("s2", "s3"), ("s2", "s0")]
+    sim = spark.createDataFrame([(a, b, 0.5, 1) for a, b in near], "store_id string, other_store string, similarity double, sim_rank int")
+    got = recommend.collab_boost(sales, health, sim)
+    q, h = {}, {}
+    for r in sales.collect():
+        q[r.store_id, r.product_id] = q.get((r.store_id, r.product_id), 0) + r.quantity
+    for r in health.collect():
+        h.setdefault(r.product_id, []).append(1.2 if (r.health_index or 0) >= 120 else 1.0)
+    want = set()
+    for s in {a for a, _ in near}:
+        others = [b for a, b in near if a == s]
+        total = {}
+        for (o, p), n in q.items():
+            if o in others:
+                total[p] = total.get(p, 0) + n
+        score = sorted((-(n / len(others)) * b, p, b, n / len(others)) for p, n in total.items() for b in h.get(p, [1.0]))[:3]
+        want |= {(s, p, round(base, 2), b, round(-x, 2), i) for i, (x, p, b, base) in enumerate(score, 1)}
+    assert {tuple(r) for r in got.collect()} == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan_of(recommend.collab_boost(sales, health, sim))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = text[:text.index("SortMergeJoin")]
+    assert above.count("Exchange") == 1 and "Exchange hashpartitioning(store_id" in above
