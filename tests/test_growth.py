@@ -400,3 +400,14 @@ def test_neighbours_products_move_once_by_store(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     above = text[:text.index("SortMergeJoin")]
     assert above.count("Exchange") == 1 and "Exchange hashpartitioning(store_id" in above
+
+
+def test_engines_read_the_joined_sales_that_are_written_once(spark, monkeypatch):
+    from shelfcast.plans import q_recommend
+    seen = []
+    monkeypatch.setattr(q_recommend.R, "store_recommendations", lambda sales, engines, cols: seen.append((sales, engines)))
+    monkeypatch.setattr(q_recommend.R, "association", lambda s: s)
+    q_recommend._r9(spark, "/root/testdata/sf0.001", "association")
+    (sales, engines), = seen
+    text = sales._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in text and engines["association"] is sales
